@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .op2_quality import op2_quality
+from .op3_packing import op3_packing
+from .op5_shuffle import op5_shuffle
+from .op6_secrets import op6_secrets
+from .op7_templates import op7_templates
 from .op8_simhash import op8_simhash
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op5_shuffle": op5_shuffle,
+    "op6_secrets": op6_secrets,
+    "op7_templates": op7_templates,
     "op8_simhash": op8_simhash,
 }
 
