@@ -6,9 +6,13 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap at most: 8 MB.
+BITMAP = 1 << 26
 #: Code points that the contracts call white space.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -65,3 +69,25 @@ def words_of(text: Column) -> Column:
 def worker_cache() -> dict:
     """A dictionary that outlives a task in a reused Python worker."""
     return sys.__dict__.setdefault("_tallyweave_worker", {})
+
+
+def bitmap(keys: DataFrame):
+    """A broadcast bitmap of the column k of keys, two bits a key, and its size; at most BITMAP bits, whatever the number of keys."""
+    n = keys.count()
+    bits = 1 << 12
+    while bits < min(16 * n, BITMAP):
+        bits *= 2
+    places = F.explode(F.array(*bitmap_places(bits))).alias("p")
+    words = keys.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(held), bits
+
+
+def bitmap_places(bits: int) -> tuple[Column, Column]:
+    return F.pmod("k", F.lit(bits)), F.pmod(F.xxhash64("k"), F.lit(bits))
+
+
+def maybe_in(held: np.ndarray, p: pa.Array, q: pa.Array) -> np.ndarray:
+    at = lambda x: (held[x >> 6] >> (x & 63)) & 1 > 0
+    return at(p.to_numpy(zero_copy_only=False)) & at(q.to_numpy(zero_copy_only=False))

@@ -16,7 +16,7 @@ contexts would move 400 bytes a trigger where grouping by hash moves 16. Hashes
 probe's, 128 bits in all.
 
 At scale: grouping is by hash with partial sums, hot contexts are joined by joins that adaptive execution splits. Texts are read three times, and
-only those in which something was found are shuffled: a bitmap of at most BITMAP bits tells them on the map side; where
+only those in which something was found are shuffled: a bitmap of bounded size tells them on the map side; where
 it is full it lets too much through, never too little.
 """
 
@@ -31,13 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_dealt_anew, table, written
+from .common import bitmap, bitmap_places, join_dealt_anew, maybe_in, table, written
 
 LENGTH = 400
 W, GRAM = 256, 16
 BLOCK = 32
 SLICE = 1 << 20
-BITMAP = 1 << 26
 TABLE = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 NONE = -(1 << 63)
 
@@ -116,35 +115,13 @@ def _contexts(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("text", "d", "k").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _bitmap(keys: DataFrame):
-    """A broadcast bitmap of the column k of keys, two bits a key, and its size; at most BITMAP bits, whatever the number of keys."""
-    n = keys.count()
-    bits = 1 << 12
-    while bits < min(16 * n, BITMAP):
-        bits *= 2
-    places = F.explode(F.array(*_places(bits))).alias("p")
-    words = keys.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
-    held = np.zeros(bits // 64, np.int64)
-    held[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(held), bits
-
-
-def _places(bits: int):
-    return F.pmod("k", F.lit(bits)), F.pmod(F.xxhash64("k"), F.lit(bits))
-
-
-def _maybe(held: np.ndarray, p: pa.Array, q: pa.Array) -> np.ndarray:
-    at = lambda x: (held[x >> 6] >> (x & 63)) & 1 > 0
-    return at(p.to_numpy(zero_copy_only=False)) & at(q.to_numpy(zero_copy_only=False))
-
-
 def _visit(keyed: DataFrame, listed: DataFrame, visit: Callable, schema: str, names: list[str]) -> DataFrame:
     """visit(text, d, k, list) -> rows, for the documents of listed (d, k, list). Only texts that the bitmap lets through are shuffled."""
-    held, bits = _bitmap(listed.select("k"))
+    held, bits = bitmap(listed.select("k"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(b.columns[:3], ["text", "d", "k"]).filter(pa.array(_maybe(held.value, b.column(3), b.column(4))))
+            yield pa.RecordBatch.from_arrays(b.columns[:3], ["text", "d", "k"]).filter(pa.array(maybe_in(held.value, b.column(3), b.column(4))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +134,7 @@ def _visit(keyed: DataFrame, listed: DataFrame, visit: Callable, schema: str, na
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    p, q = _places(bits)
+    p, q = bitmap_places(bits)
     texts = keyed.select("text", "d", "k", p.alias("p"), q.alias("q")).mapInArrow(pick, "text string, d long, k long")
     return texts.join(listed, ["d", "k"]).select("text", "d", "k", "list").mapInArrow(run, schema)
 
@@ -238,7 +215,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = _keyed(docs)
     spans = repeated_spans(keyed, length)
     listed = written(spans.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("list")), "spans")
-    held, bits = _bitmap(listed.select("k"))
+    held, bits = bitmap(listed.select("k"))
 
     def done(doc: int | None, text: bytes, runs: list[list[int]]) -> tuple:
         kept = hashlib.sha256()
@@ -254,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = _maybe(held.value, b.column(4), b.column(5))
+            hit = maybe_in(held.value, b.column(4), b.column(5))
             rows = [(i, None, None, None, None, None) if h else done(i, _raw(t.as_py()), []) for i, t, h in zip(b.column(0).to_pylist(), b.column(1), hit.tolist(), strict=True)]
             texts = [t.as_py() if h else None for t, h in zip(b.column(1), hit.tolist(), strict=True)]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
@@ -271,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    p, q = _places(bits)
+    p, q = bitmap_places(bits)
     ready = keyed.select("doc_id", "text", "d", "k", p.alias("p"), q.alias("q")).mapInArrow(prepare, schema + ", text string, d long, k long")
     return ready.join(listed, ["d", "k"], "left").select(*names, "text", "list").mapInArrow(finish, schema)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -15,8 +16,13 @@ from .common import worker_cache
 
 #: Before a single space between visible characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A word that the byte-level pre-tokenizer leaves whole.
+LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# The byte-level alphabet: visible Latin-1 characters stand for their bytes, the other bytes for U+0100 and on, in order.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 #: Pieces kept per Python worker; beyond that the memo starts anew. About 150 bytes each.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +42,11 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.memo, self.known = memo, {}
+        self.bpe, code = self.tok.model.tokenize, "H" if self.dtype is np.uint16 else "I"
+        self.packed = lambda ids: array(code, ids).tobytes()
+        newline = self._ids("\n")
+        self.newline = newline[0] if len(newline) == 1 else None
+        self._forget()
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -44,11 +55,45 @@ class Encoder:
             cache[key] = cls(path)
         return cache[key]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.known.update({"": b"", "\n": self._ids("\n").tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()})
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Words in one go, a newline between them; a full stop or comma after a Latin letter is a piece of its own."""
+        known, ended, words, odd = self.known, [], set(), []
+        for p in pieces:
+            if p[-1] in ".," and len(p) > 1 and p[-2].isalnum() and p[-2] < "\u0250":
+                ended.append(p)
+                p = p[:-1]
+                if p in known:
+                    continue
+            if LATIN.fullmatch(p):
+                # one pre-token for certain: straight to the library's model, in its alphabet for bytes
+                q = p if p.isascii() else p.encode().decode("latin-1")
+                known[p] = self.packed([t.id for t in self.bpe(q.translate(ALPHABET))])
+            elif self.newline is None or any(map(str.isspace, p[1:])) or p.isspace():
+                odd.append(p)
+            else:
+                words.add(p)
+        some = list(words)
+        for at in range(0, len(some), 2000):
+            part = some[at : at + 2000]
+            ids = self._ids("\n".join(part))
+            cut = np.flatnonzero(ids == self.newline)
+            if len(cut) != len(part) - 1:
+                odd += part
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            starts, ends = [0, *(size * (cut + 1)).tolist()], [*(size * cut).tolist(), len(raw)]
+            known.update({p: raw[x:y] for p, x, y in zip(part, starts, ends, strict=True)})
+        for p in odd:
+            known[p] = self._ids(p).tobytes()
+        for p in ended:
+            known[p] = known[p[:-1]] + known[p[-1]]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -63,9 +108,9 @@ class Encoder:
         if not text:
             return np.zeros(0, self.dtype)
         if len(self.known) > self.memo:
-            self.known.clear()
+            self._forget()
         pieces = self.pieces(text)
         missing = set(pieces).difference(self.known)
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.dtype)
