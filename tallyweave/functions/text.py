@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Stop words of the web tokenizer.
-STOP = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "what", "with")
+STOP = tuple("a an and are as be by for from in is it of on or that the then to use what with how much many difference between please search find".split())
 
 
 def extract_json(text: Column) -> Column:
