@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..operators import agents as A
 from ..operators import datasets as D
 from ..operators import evaluate as E
 from ..operators import retrieval as R
@@ -407,3 +408,112 @@ def next_tool_rows(spark, d) -> DataFrame:
 def chat_rows(spark, d) -> DataFrame:
     got = D.chat_rows(table(spark, d, "conversations"))
     return got.select("conv_id", F.size("messages").alias("n"), F.to_json("messages").alias("messages"), F.size(D.prompt_prefix(F.col("messages"))).alias("prefix"))
+
+
+# --- agents, grids and comparisons ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT count(*) AS num_samples, {_rate('k <> 4')} AS json_valid_rate, {_rate('k <> 4')} AS no_extra_text_rate, {_rate('k <> 4')} AS action_valid_rate, {_rate('k <> 4 AND k <> 5')} AS action_accuracy, {_rate('k <> 4')} AS tool_valid_rate, {_rate('k <> 4 AND id % 11 <> 0')} AS tool_accuracy, {_rate('k <> 4 AND id % 11 <> 0', 'k <> 5')} AS tool_accuracy_on_gold_tool_turns FROM {X.duck_tool()} q")
+def agent_action_eval(spark, d) -> DataFrame:
+    rows = X.tool(spark, d).select(F.col("raw_tool").alias("raw"), F.when(F.col("k") == 5, "final").otherwise("tool_call").alias("gold_action"), F.lit("calculator").alias("gold_tool"))
+    return A.action_metrics(rows)
+
+
+_YEARS = "(SELECT n_name AS symbol, 'revenue' AS metric, year(o_orderdate) AS period, CAST(round(sum(o_totalprice)) AS BIGINT) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"
+
+
+def _facts(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return o.groupBy(F.col("n_name").alias("symbol"), F.lit("revenue").alias("metric"), F.year("o_orderdate").alias("period")).agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).cast("long").alias("value"))
+
+
+@query(f"""SELECT symbol, metric, period, 'How much did ' || metric || ' of ' || symbol || ' grow from ' || since || ' to ' || period || '?' AS question, 'subtract(' || value || ', ' || before || '), divide(#0, ' || before || ')' AS program, round((value - before) / before, 6) AS answer
+FROM (SELECT *, lag(value) OVER w AS before, lag(period) OVER w AS since FROM {_YEARS.replace('sum(o_totalprice)', 'sum(CAST(o_totalprice AS DECIMAL(18,2)))')} f WINDOW w AS (PARTITION BY symbol, metric ORDER BY period)) t WHERE before IS NOT NULL AND before <> 0""")
+def fact_traces(spark, d) -> DataFrame:
+    return A.growth_traces(_facts(spark, d))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN n_name IS NULL THEN 'not found' END AS error FROM orders LEFT JOIN nation ON o_custkey % 30 = n_nationkey")
+def fact_lookup(spark, d) -> DataFrame:
+    facts = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("symbol"), F.lit("Keys").alias("metric"), F.lit("fy").alias("period"), F.col("n_nationkey").cast("double").alias("value"), F.lit("x").alias("unit"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("N"), (F.col("o_custkey") % 30).cast("string")).alias("symbol"), F.lit("KEYS").alias("metric"), F.lit("FY").alias("period"))
+    return A.fact_lookup(asked, facts).select("id", "error")
+
+
+_CALL = """'{"action":"tool_call","tool_call":{"name":"calculator","arguments":{"program":"' || regexp_extract(raw_output, '"program": "([^"]*)"', 1) || '"}}}'"""
+
+
+@query(f"SELECT id, 'system' AS role, 'Use the calculator.' AS content FROM {X.duck_qa()} q UNION ALL SELECT id, 'user', 'What is the change of ' || id || '?' FROM {X.duck_qa()} q UNION ALL SELECT id, 'assistant', {_CALL} FROM {X.duck_qa()} q")
+def toolcall_rows(spark, d) -> DataFrame:
+    df = E.parsed(X.qa(spark, d)).withColumn("question", F.concat(F.lit("What is the change of "), F.col("id").cast("string"), F.lit("?")))
+    return A.tool_rows(df, "Use the calculator.").select("id", F.inline("messages"))
+
+
+@query(f"""SELECT id, kind, chosen, rejected FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(concat('26:', CAST(id AS VARCHAR))), id) AS r FROM (SELECT id, CASE WHEN {_STATUS} = 'scaled_correct' THEN 'anchor' ELSE 'wrong' END AS kind, gold AS chosen,
+CASE WHEN {_STATUS} = 'scaled_correct' THEN '{{"action": "final", "answer": "direct answer"}}' ELSE raw_output END AS rejected FROM {FACTS}) s) t WHERE (kind = 'wrong' AND r <= 3200) OR (kind = 'anchor' AND r <= 1600)""")
+def pairs_mixed(spark, d) -> DataFrame:
+    c = E.candidate_status(X.tool(spark, d)).select("id", "status").join(X.qa(spark, d).select("id", F.col("raw_output").alias("raw"), F.col("gold").alias("gold_call")), "id")
+    return A.mixed_pairs(c, {"wrong": 3200, "anchor": 1600}, 26)
+
+
+@query(f"SELECT id, CASE WHEN k = 6 THEN 'table_sum(' || a || ', none)' WHEN k = 7 THEN 'nested' ELSE '' END AS what FROM {FACTS} WHERE k >= 4")
+def repair_rows(spark, d) -> DataFrame:
+    from ..functions.programs import execute_programs
+
+    runs = execute_programs(E.parsed(X.qa(spark, d)), "program", "run", "strict").withColumn("question", F.lit("q"))
+    program = F.regexp_extract("prompt", r"Program: (.*)", 1)
+    return A.repair_rows(runs).select("id", F.when(program.startswith("divide(subtract"), "nested").otherwise(program).alias("what"))
+
+
+@query(f"""WITH p AS (SELECT query_id, chunk_id AS i, rank FROM {_duck_lists(64)} l), st AS (SELECT k, b, a FROM (SELECT unnest([5,10,15,20]) AS k) CROSS JOIN (SELECT unnest([{{'b':0,'a':0}},{{'b':1,'a':1}},{{'b':1,'a':2}},{{'b':2,'a':2}}], recursive := true))),
+x AS (SELECT DISTINCT k, b, a, query_id, unnest(range(i - b, i + a + 1)) AS c FROM p CROSS JOIN st WHERE rank <= k), g AS (SELECT DISTINCT * FROM {_GOLD} y), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+q AS (SELECT k, b, a, x.query_id, count(*) AS s, count(g.chunk_id) AS h FROM x LEFT JOIN g ON g.query_id = x.query_id AND g.chunk_id = x.c GROUP BY 1,2,3,4)
+SELECT k, b AS before, a AS after, count(*) AS num_queries, round(avg(CAST(h > 0 AS INT)), 9) AS any_recall, round(avg(CAST(coalesce(h = n, false) AS INT)), 9) AS all_recall, round(avg(coalesce(h / n, 0.0)), 9) AS coverage, round(avg(s), 9) AS avg_chunks FROM q LEFT JOIN n USING (query_id) GROUP BY 1,2,3""")
+def evidence_grid(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("part"))
+    gold = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", "chunk_index"), ["label", "part"]).select("query_id", "chunk_index")
+    return A.evidence_grid(_lists(spark, d, 64).select("query_id", F.col("chunk_id").alias("chunk_index"), "rank"), gold, (5, 10, 15, 20), ((0, 0), (1, 1), (1, 2), (2, 2)))
+
+
+@query(f"SELECT method, k, num_queries_with_gold, recall, all_recall, coverage, ndcg, mrr FROM (SELECT 'full' AS method, * FROM ({ORACLE_SQL['retrieval_eval']}) a UNION ALL SELECT 'half' AS method, * FROM ({ORACLE_SQL['retrieval_eval'].replace(_duck_lists(64), _duck_lists(32))}) b) t")
+def method_comparison(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("part"))
+    gold = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", "chunk_id"), ["label", "part"]).select("query_id", "chunk_id")
+    one = lambda name, dims: E.retrieval_metrics(_lists(spark, d, dims), gold).withColumn("method", F.lit(name))
+    return one("full", 64).unionByName(one("half", 32))
+
+
+@query("SELECT * FROM (VALUES ('quality', 'Labelled good'), ('toxic', 'Labelled toxic'), ('absent', 'Not run')) r(run, title) LEFT JOIN (SELECT 'quality' AS run, printf('%.2f', round(avg(quality) * 100, 2)) AS rate UNION ALL SELECT 'toxic', printf('%.2f', round((SELECT avg(toxic) FROM labels) * 100, 2))) m USING (run)".replace("SELECT * FROM", "SELECT run, title, coalesce(rate, '-') AS rate FROM").replace("round(avg(quality) * 100, 2)", "round((SELECT avg(quality) FROM labels) * 100, 2)"))
+def comparison_table(spark, d) -> DataFrame:
+    means = table(spark, d, "labels").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    metrics = means.select(F.stack(F.lit(2), F.lit("quality"), F.col("quality"), F.lit("toxic"), F.col("toxic")).alias("run", "value")).withColumn("name", F.lit("rate"))
+    runs = spark.createDataFrame([("quality", "Labelled good"), ("toxic", "Labelled toxic"), ("absent", "Not run")], "run string, title string")
+    return A.comparison(metrics, runs, ["rate"])
+
+
+@query(f"SELECT id, reason FROM (SELECT id, reason FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY md5(concat('7:', CAST(id AS VARCHAR))), id) AS r FROM (SELECT id, CASE WHEN NOT {_S5} THEN 'wrong' WHEN id % 3 = 0 THEN 'focus' ELSE 'anchor' END AS reason FROM {FACTS}) s) t WHERE (reason = 'wrong' AND r <= 1500) OR (reason = 'focus' AND r <= 650) OR (reason = 'anchor' AND r <= 350) ORDER BY CASE reason WHEN 'wrong' THEN 0 WHEN 'focus' THEN 1 ELSE 2 END, md5(concat('7:', CAST(id AS VARCHAR))), id LIMIT 2500) u")
+def hard_set(spark, d) -> DataFrame:
+    s = scaled_match(spark, d)
+    return D.hard_set(s.select("id", (~F.col("s5")).alias("wrong"), (F.col("id") % 3 == 0).alias("focus"), F.lit(True).alias("anchor")), {"wrong": 1500, "focus": 650, "anchor": 350}, 2500)
+
+
+@query(f"""SELECT * FROM (SELECT item_id || ':' || doc_id AS query_id, chunk_id, score, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT item_id, doc_id, chunk_index AS chunk_id,
+ round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, t))::DOUBLE / len(q) + 0.7 * coalesce(len([x FOR x IN list_intersect(q, t) IF regexp_matches(x, '[0-9]')])::DOUBLE / nullif(len([x FOR x IN q IF regexp_matches(x, '[0-9]')]), 0), 0.0) + CASE WHEN chunk_index = 0 THEN 0.03 ELSE 0.08 END END, 6) AS score
+ FROM (SELECT b.item_id, d.doc_id, c.chunk_index, list_distinct({_TOK.format('b.text')}) AS q, list_distinct({_TOK.format('c.text')}) AS t FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0 JOIN {X.DUCK_CHUNKS} c ON c.sample_id = d.doc_id) z) y) w WHERE rank <= 10""")
+def lexical_rerank(spark, d) -> DataFrame:
+    gold = gold_contains(spark, d)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    c = X.chunks(spark, d).withColumnRenamed("sample_id", "doc_id")
+    rows = gold.join(items, "query_id").join(c, "doc_id").select(F.concat_ws(":", "query_id", "doc_id").alias("query_id"), F.col("chunk_index").alias("chunk_id"), "query", "text", F.when(F.col("chunk_index") == 0, "table_header").otherwise("table_row").alias("chunk_type"))
+    return R.lexical_rerank(rows)
+
+
+@query()
+def web_retrieval(spark, d) -> DataFrame:
+    """Stored pages to chunks to the best ones per language query, within a word budget."""
+    p = table(spark, d, "pages")
+    chunks = R.page_chunks(p).join(p.select("page_id", "url", F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("lang")), "page_id")
+    queries = table(spark, d, "benchmark").where("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.element_at(F.array(F.lit("es"), F.lit("es"), F.lit("en"), F.lit("en")), (F.col("item_id") + 1).cast("int")).alias("lang"))
+    cand = chunks.join(queries, "lang").select("query_id", F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), "query", F.lit("").alias("title"), "text", "url", F.col("page_id").alias("source_rank"), "chunk_index")
+    best = R.web_lexical(cand, 10).join(cand.select("query_id", "chunk_id", F.size(F.split("text", " ")).alias("words")), ["query_id", "chunk_id"])
+    return R.word_budget(best, 600)
