@@ -177,3 +177,19 @@ def with_scores(df: DataFrame, scorer, query: str = "query", text: str = "text")
             yield scorer(q, t)
 
     return df.withColumn("score", score(query, text))
+
+
+def gold_by_table(chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """chunks (sample_id, chunk_id, label, header, text) of table rows, gold (sample_id, gold): rows that share enough with the gold text.
+
+    Enough is 0.6 of the label's tokens and a number; or two numbers and three tokens; or a number and two tokens of label or header.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(T.norm_corpus(F.col(c)), F.lit(r"[a-z]+|\d+(?:\.\d+)?%?"), F.lit(0)))
+    digits = lambda a: F.filter(a, lambda x: x.rlike("[0-9]"))
+    names = lambda a: F.filter(a, lambda x: ~x.rlike("^[0-9]"))
+    j = chunks.withColumns({"l": names(words("label")), "h": names(words("header")), "t": words("text")}).join(gold.withColumn("g", words("gold")), "sample_id")
+    both = lambda a, b: F.size(F.array_intersect(a, b))
+    nums, label = both(digits(F.col("t")), digits(F.col("g"))), both(F.col("l"), F.col("g"))
+    share = F.coalesce(F.try_divide(label, F.size("l")), F.lit(0.0))
+    enough = ((share >= 0.6) & (nums >= 1)) | ((nums >= 2) & (both(F.col("t"), F.col("g")) >= 3)) | ((nums >= 1) & (both(F.array_union("l", "h"), F.col("g")) >= 2))
+    return j.where(enough).select("sample_id", "chunk_id", "gold").distinct()

@@ -517,3 +517,43 @@ def web_retrieval(spark, d) -> DataFrame:
     cand = chunks.join(queries, "lang").select("query_id", F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), "query", F.lit("").alias("title"), "text", "url", F.col("page_id").alias("source_rank"), "chunk_index")
     best = R.web_lexical(cand, 10).join(cand.select("query_id", "chunk_id", F.size(F.split("text", " ")).alias("words")), ["query_id", "chunk_id"])
     return R.word_budget(best, 600)
+
+
+@query("SELECT o_orderkey AS id, round((CAST(round(o_totalprice) AS BIGINT) - o_custkey) / 7.0::DOUBLE + 3 * power(2, 3), 6) AS value FROM orders")
+def infix_eval(spark, d) -> DataFrame:
+    """Distinct expressions run once in Arrow batches, then join back."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.format_string("(%d - %d) / 7 + 3 * 2 ** 3", F.round("o_totalprice").cast("long"), "o_custkey").alias("e"))
+    return o.join(o.select("e").distinct().withColumn("value", F.round(A.infix_value("e"), 6)), "e").select("id", "value")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE round(CAST(round(o_totalprice) AS BIGINT) * power(10, 6 + 3 * (o_orderkey % 4)), 0) END AS usd FROM orders")
+def amount_parse(spark, d) -> DataFrame:
+    unit = F.get(F.array(F.lit("Million"), F.lit("billion"), F.lit("Trillion"), F.lit("apples")), (F.col("o_orderkey") % 4).cast("int"))
+    said = F.concat(F.lit("worth $"), F.format_number(F.round("o_totalprice").cast("long"), 0), F.lit(" "), unit, F.lit(" in all"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(A.amount(said), 0).alias("usd"))
+
+
+@query("SELECT o_orderkey AS id, 'Orders.Get' AS name, '{\"customer\": ' || o_custkey || ', \"status\": \"' || o_orderstatus || '\"}' AS args FROM orders")
+def api_rows(spark, d) -> DataFrame:
+    said = F.format_string("Thought. API-Request: [Orders.Get(status='%s', customer=%d)]", "o_orderstatus", "o_custkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), A.api_name(said).alias("name"), A.api_arguments(said).alias("args"))
+
+
+@query(f"SELECT DISTINCT d.doc_id AS sample_id, c.chunk_index AS chunk_id, b.item_id FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0 JOIN {X.DUCK_CHUNKS} c ON c.sample_id = d.doc_id CROSS JOIN LATERAL (SELECT {{0}} AS g, {{1}} AS t) n WHERE n.t <> '' AND n.g <> '' AND (n.t = n.g OR (length(n.t) >= 20 AND position(n.t IN n.g) > 0) OR (length(n.g) >= 20 AND position(n.g IN n.t) > 0))".replace("{0}", "trim(regexp_replace(regexp_replace(regexp_replace(lower(b.text), '([a-z])2019([a-z])', '\\1''\\2', 'g'), '[^a-z0-9.%\\-]+', ' ', 'g'), ' +', ' ', 'g'))").replace("{1}", "trim(regexp_replace(regexp_replace(regexp_replace(lower(c.text), '([a-z])2019([a-z])', '\\1''\\2', 'g'), '[^a-z0-9.%\\-]+', ' ', 'g'), ' +', ' ', 'g'))"))
+def gold_label_text(spark, d) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold"))
+    gold = gold_contains(spark, d).join(items, "query_id").select(F.col("doc_id").alias("sample_id"), "query_id", "gold")
+    c = X.chunks(spark, d).select("sample_id", F.col("chunk_index").alias("chunk_id"), "text")
+    hit = R.gold_by_text(c, gold.drop("query_id").distinct())
+    return hit.join(gold, ["sample_id", "gold"]).select("sample_id", "chunk_id", F.col("query_id").alias("item_id")).distinct()
+
+
+@query("""SELECT o_orderkey AS sample_id, l_linenumber AS chunk_id FROM (SELECT DISTINCT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 3) t""")
+def gold_label_table(spark, d) -> DataFrame:
+    """Gold text names lines one to three of each order's table."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("chunk_id")).distinct()
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    rows = li.join(orders, "sample_id").withColumns({"label": F.concat(F.lit("line item "), F.col("chunk_id").cast("string")), "header": F.lit("quantity")})
+    rows = rows.withColumn("text", F.concat_ws(" ; ", "label", F.lit("quantity")))
+    gold = orders.withColumn("gold", F.explode(F.array(*[F.lit(f"the line item {i} of the order") for i in (1, 2, 3)])))
+    return R.gold_by_table(rows, gold).select("sample_id", "chunk_id").distinct()
