@@ -27,7 +27,7 @@ from .tokens import Encoder, vocabulary_path
 
 END = 2
 LIMIT = 18
-STEP = 256
+STEP = 64
 BLOCK = 1 << 17
 #: Bytes of ids in one range of documents, about one file.
 RANGE_BYTES = 16 << 20
@@ -126,6 +126,7 @@ def _tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
         tail = np.array([end], enc.dtype).tobytes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.ids(t.as_py()).tobytes() + tail for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 

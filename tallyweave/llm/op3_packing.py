@@ -107,7 +107,7 @@ def packed(docs: DataFrame, path: str | None = None, end: int = END, tiers: tupl
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, unit = Encoder.of_worker(path).ids, 0
+        enc, unit = Encoder.of_worker(path), 0
         ids: list[np.ndarray] = []
         doc: list[int | None] = []
         part, tokens = 0, 0
@@ -135,7 +135,7 @@ def packed(docs: DataFrame, path: str | None = None, end: int = END, tiers: tupl
         for b in batches:
             for i, t, p in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 part = p.as_py()
-                got = encode(t.as_py())
+                got = enc.ids(t.as_py())
                 ids.append(np.append(got, np.array([end], got.dtype)))
                 doc.append(i.as_py())
                 tokens += len(ids[-1])
@@ -144,6 +144,7 @@ def packed(docs: DataFrame, path: str | None = None, end: int = END, tiers: tupl
                     ids, doc, tokens, unit = [], [], 0, unit + 1
         if ids:
             yield from flush()
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group int"

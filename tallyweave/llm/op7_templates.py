@@ -29,7 +29,7 @@ COVER = 0.5
 LITERALS = 4
 #: Items in one broadcast table.
 BLOCK = 20_000
-MEMO = 600_000
+MEMO = 150_000
 EDGE = "\"'`.,;:!?()[]{}<>*_~«»“”‘’…-–—"
 NUMBER = re.compile(r"[+\-]?[$€£¥]?[+\-]?\d[\d.,/:]*(?:%|st|nd|rd|th)?|[$€£¥]?\d[\d.,]*[km]?", re.I)
 MEASURE = re.compile(r"([+\-]?[$€£¥]?\d[\d.,/]*)([a-zµ°]+\d?)", re.I)
@@ -214,6 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
             for b in batches:
                 found = [(i.as_py(), *m) for i, t in zip(b.column(0), b.column(1), strict=True) for m in match(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names)
+            _matcher(held).memo.clear()  # idle workers keep their memory
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -230,6 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
             match = _matcher(held).match
             for b in batches:
                 yield b.filter(pa.array([not match(t.as_py()) for t in b.column(at)], pa.bool_()))
+            _matcher(held).memo.clear()  # idle workers keep their memory
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 #: Pieces kept per Python worker; beyond that the memo starts anew. About 150 bytes each.
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,7 +46,7 @@ class Encoder:
         self.packed = lambda ids: array(code, ids).tobytes()
         newline = self._ids("\n")
         self.newline = newline[0] if len(newline) == 1 else None
-        self._forget()
+        self.forget()
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -58,7 +58,8 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the memo; a task does so at its end, since idle workers keep their memory."""
         self.known.clear()
         self.known.update({"": b"", "\n": self._ids("\n").tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()})
 
@@ -108,7 +109,7 @@ class Encoder:
         if not text:
             return np.zeros(0, self.dtype)
         if len(self.known) > self.memo:
-            self._forget()
+            self.forget()
         pieces = self.pieces(text)
         missing = set(pieces).difference(self.known)
         if missing:
