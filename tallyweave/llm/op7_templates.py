@@ -2,8 +2,11 @@
 
 Numbers, names and units become typed placeholders (a run of names is one), other words lose case and edge
 punctuation. Windows of eight template tokens are looked up by hash among the benchmark's windows. Hits in
-order make an occurrence; it counts if it covers half the item's windows and its slots are consistent: a value of the
+order make an occurrence: a run, a diagonal, or the longest chain that goes on in both texts, as a window can stand more than once in
+an item. It counts if it covers half the item's windows and its slots are consistent: a value of the
 benchmark's slots stands for one value of the document's. So re-parameterised questions are caught as well as copies.
+Windows of eight words as they are, without placeholders, are looked up beside them: so copies of items that are mostly
+placeholders count, and copies whose first word is no name in the item but one in the document.
 
 At scale: the benchmark is a stated query set. It is taken in blocks of BLOCK items, each block a hash table that goes
 to every executor; documents are read once a block, whole, and never shuffled. Nothing but hits leaves a task.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +71,13 @@ class Words(dict):
         return value
 
 
-def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Template tokens, whether each is a slot, the place of its first word, and the words."""
+def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Template tokens, whether each is a slot, the place of its first word, the words, and the words' hashes."""
     words = (text or "").split()
     v = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     flags = (v & MASK).astype(np.uint8)
-    token = v & ~MASK
+    plain = v & ~MASK
+    token = plain.copy()
     if len(words):
         after = np.empty(len(words), bool)  # starts a sentence
         after[0] = True
@@ -88,9 +93,9 @@ def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, np.
             keep = np.ones(len(words), bool)
             keep[1:] = ~(name[1:] & name[:-1])
             at = np.flatnonzero(keep)
-            return token[at], slot[at], at, words
-        return token, slot, np.arange(len(words)), words
-    return token, np.zeros(0, bool), np.zeros(0, np.int64), words
+            return token[at], slot[at], at, words, plain
+        return token, slot, np.arange(len(words)), words, plain
+    return token, np.zeros(0, bool), np.zeros(0, np.int64), words, plain
 
 
 def windows(token: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +117,20 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], k: int = WINDOW, cover: float = COVER) -> None:
         self.memo, self.cover = Words(), cover
         self.items: dict[int, tuple[int, list[str], int, int]] = {}
+        self.copies: dict[int, tuple[int, np.ndarray, int, int]] = {}
         self.at: dict[int, list[tuple[int, int]]] = {}
+        self.plain_at: dict[int, list[tuple[int, int]]] = {}
         self.lengths: set[int] = set()
+        self.plain_lengths: set[int] = set()
         for number, (item, text) in enumerate(items):
-            token, slot, place, words = template(text, self.memo)
+            token, slot, place, words, plain = template(text, self.memo)
+            size = min(k, len(plain))
+            h, _ = windows(plain, np.zeros(len(plain), bool), size)
+            if len(h):
+                self.plain_lengths.add(size)
+                self.copies[number] = (item, place[slot], size, len(h))
+                for q, x in enumerate(h.tolist()):
+                    self.plain_at.setdefault(x, []).append((number, q))
             size = min(k, len(token))
             h, ok = windows(token, slot, size)
             if not ok.any():
@@ -124,9 +139,14 @@ class Matcher:
             self.items[number] = (item, self.values(slot, place, words), size, int(ok.sum()))
             for q in np.flatnonzero(ok).tolist():
                 self.at.setdefault(int(h[q]), []).append((number, q))
-        self.bits = np.zeros(1 << 22, bool)
-        for h in self.at:
-            self.bits[h & (1 << 22) - 1] = True
+        self.bits, self.plain_bits = self.filled(self.at), self.filled(self.plain_at)
+
+    @staticmethod
+    def filled(at: dict[int, list[tuple[int, int]]]) -> np.ndarray:
+        bits = np.zeros(1 << 22, bool)
+        for h in at:
+            bits[h & (1 << 22) - 1] = True
+        return bits
 
     @staticmethod
     def values(slot: np.ndarray, place: np.ndarray, words: list[str]) -> list[str | None]:
@@ -135,20 +155,16 @@ class Matcher:
 
     def match(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item, windows found, windows of the item, slots, slots with another value) for each item that the text holds."""
-        token, slot, place, words = template(text, self.memo)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for k in self.lengths:
-            h, ok = windows(token, slot, k)
-            for p in np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] & ok).tolist():
-                for number, q in self.at.get(int(h[p]), ()):
-                    hits.setdefault(number, []).append((p, q))
-        if not hits:
+        token, slot, place, words, plain = template(text, self.memo)
+        hits = self.hits(token, slot, self.lengths, self.bits, self.at)
+        copied = self.hits(plain, np.zeros(len(plain), bool), self.plain_lengths, self.plain_bits, self.plain_at)
+        if not hits and not copied:
             return []
-        own, out = self.values(slot, place, words), []
+        own, out = self.values(slot, place, words), {}
         for number, found in hits.items():
             item, values, k, total = self.items[number]
             best = None
-            for run in self.occurrences(found, len(values)):
+            for run in self.alignments(found, len(values)):
                 n = len({q for _, q in run})
                 if n < self.cover * total or best and n <= best[1]:
                     continue
@@ -159,8 +175,63 @@ class Matcher:
                 if 3 * clash <= len(said) - len(first):
                     best = (item, n, total, len(said), sum(a != b for a, b in said))
             if best:
-                out.append(best)
-        return out
+                out[number] = best
+        for number, found in copied.items():
+            if number in out:
+                continue
+            item, slots, k, total = self.copies[number]
+            run = max(self.alignments(found, total + k - 1), key=lambda run: len({q for _, q in run}))
+            n = len({q for _, q in run})
+            if n >= self.cover * total:
+                words_of = {q + j for _, q in run for j in range(k)}
+                out[number] = (item, n, total, sum(x in words_of for x in slots.tolist()), 0)
+        return [out[number] for number in sorted(out)]
+
+    @staticmethod
+    def hits(token: np.ndarray, slot: np.ndarray, lengths: set[int], bits: np.ndarray, at: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
+        """The places (p in the text, q in the item) of equal windows, by item."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for k in lengths:
+            h, ok = windows(token, slot, k)
+            for p in np.flatnonzero(bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] & ok).tolist():
+                for number, q in at.get(int(h[p]), ()):
+                    hits.setdefault(number, []).append((p, q))
+        return hits
+
+    @classmethod
+    def alignments(cls, found: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
+        """Runs in order of the text; where those can cut a copy, as a window stands more than once, diagonals and longest chains too."""
+        runs = list(cls.occurrences(found, size))
+        yield from runs
+        if len(runs) == 1 and len({p for p, _ in found}) == len({q for _, q in found}) == len(found):
+            return
+        diagonals: dict[int, list[tuple[int, int]]] = {}
+        for p, q in sorted(found):
+            diagonals.setdefault(p - q, []).append((p, q))
+        yield from diagonals.values()
+        near: list[tuple[int, int]] = []
+        for p, q in sorted(found, key=lambda x: (x[0], -x[1])):
+            if near and p - near[-1][0] > size:
+                yield cls.chain(near)
+                near = []
+            near.append((p, q))
+        yield cls.chain(near)
+
+    @staticmethod
+    def chain(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """A longest chain of hits in which both places grow; found is in order of p, and for one p of falling q."""
+        ends: list[int] = []
+        last: list[int] = []
+        before: list[int] = []
+        for i, (_, q) in enumerate(found):
+            at = bisect_left(ends, q)
+            before.append(last[at - 1] if at else -1)
+            ends[at : at + 1], last[at : at + 1] = [q], [i]
+        out, i = [], last[-1]
+        while i >= 0:
+            out.append(found[i])
+            i = before[i]
+        return out[::-1]
 
     @staticmethod
     def occurrences(found: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
@@ -199,8 +270,8 @@ def _matcher(held) -> Matcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of docs and item that it holds: doc_id, item_id, n_windows, item_windows, n_slots, n_changed.
 
-    Null and empty texts hold nothing; items that are null, or whose every window is mostly placeholders, match nothing. Items
-    shorter than a window are matched whole. Repeated rows of docs give repeated rows; items with equal text each give a
+    Null and empty texts hold nothing; items that are null match nothing. An item found only by its words as they are has its word
+    windows counted instead, and no slot changed. Items shorter than a window are matched whole. Repeated rows of docs give repeated rows; items with equal text each give a
     row. Null ids keep their rows. An empty table on either side gives no row; further columns are ignored.
     """
     spark, out = docs.sparkSession, None
