@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,59 @@ def web_lexical(candidates: DataFrame, k: int = 10) -> DataFrame:
     return ranked(candidates.withColumn("score", score), k, order=[F.desc("score"), F.asc("source_rank"), F.asc("chunk_index"), F.asc("chunk_id")]).select("query_id", "chunk_id", "score", "rank")
 
 
+def web_search(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
+    """chunks (chunk_id, title, text, url, source_rank, chunk_index, words), queries (query_id, query): web_lexical of every query against every chunk.
+
+    Queries are a stated set, taken in blocks of `block` that go to every executor with an index of their tokens; chunks are read once a
+    block, each scored for the whole block. A task returns its own top k of a query. Adds rank, score and the chunk's words.
+    """
+    body = F.concat_ws(" ", "title", "text")
+    line = F.col("chunk_id").cast("string").alias("chunk_id")
+    ready = chunks.select(line, F.greatest("source_rank", F.lit(1)).cast("long").alias("source"), F.col("source_rank").cast("long").alias("source_rank"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("words").cast("long").alias("words"), F.lower(body).alias("body"), T.web_tokens(F.concat_ws(" ", body, T.host(F.col("url")))).alias("tokens"))
+    asked = queries.select("query_id", F.lower(T.squeeze(F.col("query"))).alias("phrase"), T.web_tokens(F.col("query")).alias("tokens")).orderBy("query_id")
+    kind = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kind}, chunk_id string, score double, source_rank long, chunk_index long, words long"
+    out, rows, parts = None, [], []
+    for r in asked.toLocalIterator():
+        rows.append((r.query_id, r.phrase, list(r.tokens or [])))
+        if len(rows) == block:
+            parts, rows = [*parts, rows], []
+    for part in [*parts, rows] if rows else parts:
+        held = chunks.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            asks = held.value
+            size = np.array([max(1, len(t)) for _, _, t in asks], float)
+            at: dict[str, list[int]] = {}
+            for i, (_, _, tokens) in enumerate(asks):
+                for t in tokens:
+                    at.setdefault(t, []).append(i)
+            places = {t: np.array(v) for t, v in at.items()}
+            best: list[list[tuple]] = [[] for _ in asks]
+            worst = np.full(len(asks), -1.0)
+            for b in batches:
+                for c in b.to_pylist():
+                    overlap = np.zeros(len(asks))
+                    for t in c["tokens"]:
+                        if t in places:
+                            overlap[places[t]] += 1
+                    said = np.array([2.0 if p is not None and p in c["body"] else 0.0 for _, p, _ in asks])
+                    score = np.floor((3.0 * overlap / size + 0.15 * overlap + said + 0.2 / c["source"]) * 1e6 + 0.5) / 1e6
+                    for i in np.flatnonzero(score >= worst).tolist():
+                        best[i].append((-score[i], c["source_rank"], c["chunk_index"], c["chunk_id"], c["words"]))
+                        if len(best[i]) >= 4 * k:
+                            best[i] = sorted(best[i])[:k]
+                            worst[i] = -best[i][-1][0]
+            found = [(asks[i][0], x[3], -x[0], x[1], x[2], x[4]) for i, own in enumerate(best) for x in sorted(own)[:k]]
+            if found:
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "chunk_id", "score", "source_rank", "chunk_index", "words"), x, strict=True)) for x in found])
+
+        got = ready.mapInArrow(run, schema)
+        out = got if out is None else out.union(got)
+    out = chunks.sparkSession.createDataFrame([], schema) if out is None else out
+    return ranked(out, k, order=[F.desc("score"), F.asc("source_rank"), F.asc("chunk_index"), F.asc("chunk_id")]).select("query_id", "chunk_id", "score", "rank", "words")
+
+
 def gold_by_text(chunks: DataFrame, gold: DataFrame, least: int = 20) -> DataFrame:
     """chunks (sample_id, chunk_id, text), gold (sample_id, gold): pairs that are equal, or one within the other where that one has `least` characters."""
     c, g = T.norm_corpus(F.col("text")), T.norm_corpus(F.col("gold"))

@@ -510,13 +510,11 @@ def lexical_rerank(spark, d) -> DataFrame:
 
 @query()
 def web_retrieval(spark, d) -> DataFrame:
-    """Stored pages to chunks to the best ones per language query, within a word budget."""
+    """Stored pages to chunks to the best ones per benchmark item, within a word budget."""
     p = table(spark, d, "pages")
-    chunks = R.page_chunks(p).join(p.select("page_id", "url", F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("lang")), "page_id")
-    queries = table(spark, d, "benchmark").where("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.element_at(F.array(F.lit("es"), F.lit("es"), F.lit("en"), F.lit("en")), (F.col("item_id") + 1).cast("int")).alias("lang"))
-    cand = chunks.join(queries, "lang").select("query_id", F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), "query", F.lit("").alias("title"), "text", "url", F.col("page_id").alias("source_rank"), "chunk_index")
-    best = R.web_lexical(cand, 10).join(cand.select("query_id", "chunk_id", F.size(F.split("text", " ")).alias("words")), ["query_id", "chunk_id"])
-    return R.word_budget(best, 600)
+    chunks = R.page_chunks(p).join(p.select("page_id", "url"), "page_id").select(F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), F.lit("").alias("title"), "text", "url", F.col("page_id").alias("source_rank"), "chunk_index", F.size(F.split("text", " ")).alias("words"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.word_budget(R.web_search(chunks, queries, 10), 600)
 
 
 @query("SELECT o_orderkey AS id, round((CAST(round(o_totalprice) AS BIGINT) - o_custkey) / 7.0::DOUBLE + 3 * power(2, 3), 6) AS value FROM orders")
