@@ -2,7 +2,8 @@
 
 Each text gives a vector of transformed statistics. For every (lang, source) the minimum-covariance-determinant
 estimate is found by concentration steps: distances to the current centre and scatter, moments of the closest
-`share` of the rows, and again; then one reweighted estimate. A row is rejected if its squared Mahalanobis
+`share` of the rows, and again; then one reweighted estimate. A group of fewer than MIN_GROUP rows is judged by the estimate of its language
+over all sources, and where that is as small, by that of all rows. A row is rejected if its squared Mahalanobis
 distance to its group's estimate exceeds `cutoff`.
 
 At scale: the texts are read once and reduced to a narrow table of integers. A concentration step is one
@@ -104,6 +105,8 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
 
 
 G = ["lang_k", "source_k"]
+#: The key of all languages or sources; keys of values begin with "=" or are empty.
+ALL = "*"
 
 
 def _moments(df: DataFrame) -> list[Column]:
@@ -114,6 +117,25 @@ def _again(parts: DataFrame) -> list[Column]:
     return [F.sum(c).alias(c) for c in parts.columns if c == "n" or c[0] == "s" and c[1].isdigit()]
 
 
+def _judges(rows: DataFrame) -> DataFrame:
+    """(lang_k, source_k, to_lang, to_source): the group whose estimate judges each group of rows."""
+    sizes = rows.groupBy(*G).agg(F.count("*").alias("n"))
+    tongues = sizes.groupBy("lang_k").agg(F.sum("n").alias("all"))
+    own, tongue = F.col("n") >= MIN_GROUP, F.col("all") >= MIN_GROUP
+    return written(sizes.join(tongues, "lang_k").select(*G, F.when(own | tongue, F.col("lang_k")).otherwise(ALL).alias("to_lang"), F.when(own, F.col("source_k")).otherwise(ALL).alias("to_source")), "judges")
+
+
+def _with_fallbacks(rows: DataFrame, judges: DataFrame) -> DataFrame:
+    """rows of the groups that judge, and again all rows of each language, and of all, that judges small groups."""
+    x = [f"x{i}" for i in P]
+    groups = judges.select(F.col("to_lang").alias("lang_k"), F.col("to_source").alias("source_k")).distinct()
+    own = rows.join(groups, G)
+    tongues = groups.where((F.col("source_k") == ALL) & (F.col("lang_k") != ALL)).select("lang_k")
+    wide = rows.join(tongues, "lang_k").select("lang_k", F.lit(ALL).alias("source_k"), *x)
+    whole = rows.crossJoin(groups.where(F.col("lang_k") == ALL).select("lang_k").distinct().withColumnRenamed("lang_k", "_any")).select(F.lit(ALL).alias("lang_k"), F.lit(ALL).alias("source_k"), *x)
+    return own.select(*G, *x).union(wide).union(whole)
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and quartile ranges per group, from counts per hundredth: a table bounded by groups and bins."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(f"x{i}") / 10).alias("b")) for i in P]))
@@ -125,11 +147,11 @@ def _start(rows: DataFrame) -> DataFrame:
     one = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
     scale = lambda i: F.sqrt(F.pow((one(i, "hi") - one(i, "lo")) / 1.349, 2) + FLOOR[i] ** 2)
     cols = [one(i, "mid").cast("double").alias(f"m{i}") for i in P] + [(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in P for j in range(i + 1)]
-    return quart.groupBy(*G).agg(F.max("all").alias("all"), *cols).where(F.col("all") >= MIN_GROUP).drop("all")
+    return quart.groupBy(*G).agg(*cols)
 
 
 def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """rows: lang_k, source_k, x0..x4 -> one row for each group of MIN_GROUP rows or more: centre and Cholesky factor."""
+    """rows: lang_k, source_k, x0..x4 -> one row for each group: centre and Cholesky factor."""
     est = written(_start(rows), "mcd")
     for _ in range(steps):
         near = _distance(rows.join(est, G)).withColumn("bin", F.floor(16 * F.log2(1 + F.col("d2"))))
@@ -149,7 +171,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _estimates_of(counted: DataFrame) -> DataFrame:
-    return mcd_estimates(counted.where("not base_failed").select(*G, *[f"x{i}" for i in P]))
+    """One row for each group past the base rules: the estimate that judges it."""
+    rows = counted.where("not base_failed").select(*G, *[f"x{i}" for i in P])
+    judges = _judges(rows)
+    est = mcd_estimates(written(_with_fallbacks(rows, judges), "judging")).withColumnsRenamed({"lang_k": "to_lang", "source_k": "to_source"})
+    return written(judges.join(est, ["to_lang", "to_source"]).drop("to_lang", "to_source"), "mcd")
 
 
 def _verdict(counted: DataFrame, est: DataFrame, cutoff: float) -> DataFrame:
@@ -163,7 +189,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, distance (squared) and kept.
 
     Null and empty texts have no words and fail the base rules. Null lang or source form groups of their own.
-    Groups with fewer than MIN_GROUP rows past the base rules reject nothing (distance null). Repeated rows are
+    Rows that fail the base rules have no distance; all others have one, those of small groups from a wider group's estimate. Repeated rows are
     judged alike and stay repeated; an empty table gives no row; further columns are ignored.
     """
     base = written(_counted(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
