@@ -1,7 +1,8 @@
 """Token ids of a byte-level vocabulary file by the tokenizers library, with a bounded memo of words.
 
 The vocabulary's pre-tokenizer never lets a token cross from a visible character to a single following space or
-newline. So a text may be cut there, equal pieces encoded once, and the ids joined: the result is the library's own.
+newline, nor from a letter to a full stop or comma. So a text may be cut there, equal pieces encoded once, and the ids
+joined: the result is the library's own (tests compare with an untouched tokenizer). Texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,15 +15,13 @@ import numpy as np
 
 from .common import worker_cache
 
-#: Before a single space between visible characters.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A word that the byte-level pre-tokenizer leaves whole.
-LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Words that the byte-level pre-tokenizer leaves whole.
+WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 # The byte-level alphabet: visible Latin-1 characters stand for their bytes, the other bytes for U+0100 and on, in order.
 VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 #: Pieces kept per Python worker; beyond that the memo starts anew. About 150 bytes each.
-MEMO = 500_000
+MEMO = 600_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,22 +30,49 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """Piece -> packed ids. A piece is a word after a space, or a newline and a word. Other pieces raise KeyError."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        first = piece[:1] == "\n"
+        word, enc = piece[1:] if first else piece, self.encoder
+        if WORD.fullmatch(word):
+            # straight to the library's model, in its alphabet for bytes
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+            ids = enc.packed([t.id for t in enc.bpe(plain if first else enc.space + plain)])
+            ids = enc.line + ids if first else ids
+        elif word[-1:] in (".", ",") and WORD.fullmatch(word, 0, len(word) - 1):
+            ids = self[piece[:-1]] + enc.ends[word[-1]]
+        elif len(word.split()) != 1 or word.strip() != word:
+            raise KeyError(piece)
+        else:
+            ids = enc.whole(piece if first else " " + piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """ids(text) -> numpy uint16 or uint32 array. One for each worker and vocabulary file."""
+    """ids(text) -> numpy uint16 or uint32 array. One for each worker and vocabulary file.
+
+    The strings of special tokens in a text give those tokens' ids, as the library does by itself; with special_as_text they are ordinary text.
+    """
 
-    def __init__(self, path: str, memo: int = MEMO) -> None:
+    def __init__(self, path: str, memo: int = MEMO, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo, self.known = memo, {}
-        self.bpe, code = self.tok.model.tokenize, "H" if self.dtype is np.uint16 else "I"
+        self.tok.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype(np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.memo, self.known = memo, Pieces(self)
+        self.bpe, code = self.tok.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         self.packed = lambda ids: array(code, ids).tobytes()
-        newline = self._ids("\n")
-        self.newline = newline[0] if len(newline) == 1 else None
-        self.forget()
+        self.space, self.line, self.ends = chr(ALPHABET[32]), self.whole("\n"), {c: self.whole(c) for c in ".,"}
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -55,63 +81,26 @@ class Encoder:
             cache[key] = cls(path)
         return cache[key]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def forget(self) -> None:
         """Empties the memo; a task does so at its end, since idle workers keep their memory."""
         self.known.clear()
-        self.known.update({"": b"", "\n": self._ids("\n").tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()})
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Words in one go, a newline between them; a full stop or comma after a Latin letter is a piece of its own."""
-        known, ended, words, odd = self.known, [], set(), []
-        for p in pieces:
-            if p[-1] in ".," and len(p) > 1 and p[-2].isalnum() and p[-2] < "\u0250":
-                ended.append(p)
-                p = p[:-1]
-                if p in known:
-                    continue
-            if LATIN.fullmatch(p):
-                # one pre-token for certain: straight to the library's model, in its alphabet for bytes
-                q = p if p.isascii() else p.encode().decode("latin-1")
-                known[p] = self.packed([t.id for t in self.bpe(q.translate(ALPHABET))])
-            elif self.newline is None or any(map(str.isspace, p[1:])) or p.isspace():
-                odd.append(p)
-            else:
-                words.add(p)
-        some = list(words)
-        for at in range(0, len(some), 2000):
-            part = some[at : at + 2000]
-            ids = self._ids("\n".join(part))
-            cut = np.flatnonzero(ids == self.newline)
-            if len(cut) != len(part) - 1:
-                odd += part
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            starts, ends = [0, *(size * (cut + 1)).tolist()], [*(size * cut).tolist(), len(raw)]
-            known.update({p: raw[x:y] for p, x, y in zip(part, starts, ends, strict=True)})
-        for p in odd:
-            known[p] = self._ids(p).tobytes()
-        for p in ended:
-            known[p] = known[p[:-1]] + known[p[-1]]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """text in pieces whose ids, joined, are those of the text."""
-        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
-            # no white space but single spaces and newlines inside: a space leads its word, a newline stands alone
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return CUT.split(text)
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text, without special tokens. Null and empty texts: none."""
+        """Ids of a whole text, no special token added. Null and empty texts: none."""
         if not text:
             return np.zeros(0, self.dtype)
+        if any(s in text for s in self.special):
+            return np.frombuffer(self.whole(text), self.dtype)
         if len(self.known) > self.memo:
             self.forget()
-        pieces = self.pieces(text)
-        missing = set(pieces).difference(self.known)
-        if missing:
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.dtype)
+        # a newline before the text, whose id is taken off again, makes its first word like any other line's
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\n" + pieces[0]
+        try:
+            got = b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return np.frombuffer(self.whole(text), self.dtype)
+        return np.frombuffer(got, self.dtype, offset=len(self.line))
