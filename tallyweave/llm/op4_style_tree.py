@@ -1,13 +1,16 @@
 """Main text of pages by a site style tree.
 
-The DOMs of a host are merged: a node of the tree is a path of element styles (tag, class, id). A node's importance is
+The DOMs of a host are merged: a node of the tree is a chain of element styles (tag, class, id) from the root. A node's importance is
 the greater of two: of its presentation, the entropy of the child sequences it takes over the host's pages; of its
-content, one less the mean entropy with which its texts are spread over those pages, or that of the most important node below. Both are
-relative to the logarithm of the number of pages. Branches below THRESHOLD are cut from each page, as are those that HTML itself or
-their own names mark as no content; what a page's article or main element holds is preferred.
-
-At scale: pages are parsed twice and never shuffled; what is shuffled is (host, path, text hash) with partial sums, so
-a hot host is no hot task. The cut paths, a short list a host, are joined to the pages by Spark's own choice of join.
+content, one less the mean entropy with which its texts are spread over those pages. Both are relative to the logarithm of the number of
+pages with the node. Each is drawn towards the same node's in the tree of all hosts, which counts as much as PRIOR pages: so a host of one page is judged by what
+other hosts have there, and one of many by itself, without a threshold of pages in between. Texts right below nodes of less than
+THRESHOLD are cut from each page, as are those that HTML itself or their own names mark as no content; what a page's
+article or main element holds is preferred. Pages of a host with the same texts count once, else the tree would take copies for boilerplate; a page
+that would lose all its text keeps what the rules leave.
+
+At scale: pages are parsed twice and never shuffled; what is shuffled is (host, node, text hash) with partial sums, so
+a hot host is no hot task. The nodes cut, a short list a host, are joined to the pages by Spark's own choice of join.
 """
 
 from __future__ import annotations
@@ -21,13 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_dealt_anew, table, written
 
 THRESHOLD = 0.7
-#: Elements nested deeper count to the node above.
-DEEP = 64
-#: Pages with a node before the tree judges it.
-MIN_PAGES = 16
+#: Pages that the tree of all hosts counts for in a host's own.
+PRIOR = 8
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -45,21 +46,24 @@ CUT_WORDS = re.compile(
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 MAIN = frozenset(("article", "main"))
-#: Nodes that the tree doesn't cut: the page, its article, and plain text in them.
-CERTAIN = r"(?:^|>)(?:html|body|article|main|p|h[1-6])(?:\.[^>]*)?$"
+
+
+def hashed(text: str, seed: int = 0) -> int:
+    """63 bits of a text's hash."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
 
 
 class Node:
-    __slots__ = ("cut", "kids", "main", "path", "tag")  # path: styles from the root, to a depth of DEEP
+    __slots__ = ("cut", "kids", "main", "name", "tag")  # name: hash of the styles from the root on; kids: running hash of the child sequence
 
-    def __init__(self, tag: str, path: str, cut: bool, main: bool) -> None:
-        self.tag, self.path, self.cut, self.main, self.kids = tag, path, cut, main, []
+    def __init__(self, tag: str, name: int, cut: bool, main: bool) -> None:
+        self.tag, self.name, self.cut, self.main, self.kids = tag, name, cut, main, 0
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
-    """Blocks (path, within article or main, cut by a rule, text) in order, and the (path, child sequence) of each element."""
+def blocks(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int, int]]]:
+    """Blocks (node, within article or main, cut by a rule, text) in order, and the (node, hash of the child sequence) of each element."""
     page = page or ""
-    root = Node("", "", False, False)
+    root = Node("", 0, False, False)
     stack, out, text, styles = [root], [], [], []
     at, end = 0, len(page)
 
@@ -69,12 +73,12 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], list[tu
             said = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if said:
-                out.append((node.path, node.main, node.cut, said))
+                out.append((node.name, node.main, node.cut, said))
 
     def pop(i: int) -> None:
         for n in stack[i:]:
             if n.tag not in INLINE:
-                styles.append((n.path, ",".join(n.kids)))
+                styles.append((n.name, n.kids))
         del stack[i:]
 
     while at < end:
@@ -133,10 +137,10 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], list[tu
         if attrs and tag not in ("html", "body") and re.search(r"\bhidden\b|display\s*:\s*none", attrs, re.I):
             cut = True
         if tag not in INLINE:
-            parent.kids.append(style) if len(parent.kids) < 64 else None
+            parent.kids = hashed(style, parent.kids)
         if cut != parent.cut and tag in INLINE:
             flush()
-        stack.append(Node(tag, f"{parent.path}>{style}" if tag not in INLINE and len(stack) < DEEP else parent.path, cut, main))
+        stack.append(Node(tag, hashed(style, parent.name) if tag not in INLINE else parent.name, cut, main))
         if attrs.endswith("/") and tag in INLINE:
             stack.pop()
     flush()
@@ -144,66 +148,67 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], list[tu
     return out, styles
 
 
-def main_text(page: str | None, low: frozenset[str]) -> str:
-    """The blocks that neither a rule nor the tree cuts, joined by newlines."""
+def main_text(page: str | None, low: frozenset[int]) -> str:
+    """The blocks that neither a rule nor the tree cuts, an empty line between them."""
     found, _ = blocks(page)
-
-    def kept(path: str) -> bool:
-        return not low or not any(path[:i] in low for i in [*(k for k, c in enumerate(path) if c == ">" and k), len(path)])
-
-    ruled = [(p, m, t) for p, m, cut, t in found if not cut]
-    inside = [(p, m, t) for p, m, t in ruled if m]
-    return "\n".join([t for p, _, t in inside or ruled if kept(p)] or [t for _, _, t in inside or ruled])
+    ruled = [(node, main, said) for node, main, cut, said in found if not cut]
+    inside = [x for x in ruled if x[1]] or ruled
+    return "\n\n".join([said for node, _, said in inside if node not in low] or [said for _, _, said in inside])
 
 
 def _host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance), a row for each node of each host's tree; no text below it: null content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple[str, str, int, int]] = []
-            for host, page in zip(b.column(0), b.column(1), strict=True):
-                found, styles = blocks(page.as_py())
-                h, seen = host.as_py(), set()
-                for path, _, _, said in found:
-                    seen.add((h, path, 1, xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) >> 1))
-                    seen.add((h, path, 0, 0))
-                for path, kids in styles:
-                    seen.add((h, path, 2, xxhash.xxh3_64_intdigest(kids.encode("utf-8", "surrogatepass")) >> 1))
-                    seen.add((h, path, 0, 0))
-                rows += seen
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["host", "path", "kind", "feature"])
-
-    # kind 0: the page has the node; 1: a text right below it; 2: its child sequence
-    rows = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, kind int, feature long")
-    df = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+def _importance(features: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pages, presentation, content) from (by, kind, feature, n): n pages have the node (kind 0), a text right below it (1), a child sequence (2)."""
     n, ln = F.col("n"), F.col("n") * F.log("n")
     of = lambda k, x: F.coalesce(F.sum(F.when(F.col("kind") == k, x)), F.lit(0))
-    nodes = df.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, n)).alias("pages"), of(1, n).alias("s"), of(1, ln).alias("t"), of(2, n).alias("u"), of(2, ln).alias("v"))
+    nodes = features.groupBy(*by).agg(of(0, n).alias("pages"), of(1, n).alias("s"), of(1, ln).alias("t"), of(2, n).alias("u"), of(2, ln).alias("v"))
     base = F.log(F.greatest("pages", F.lit(2)))
-    nodes = written(nodes.select("host", "path", "pages", "s", (F.col("s") - F.col("t") / base).alias("w"), F.when(F.col("u") > 0, (F.log("u") - F.col("v") / F.col("u")) / base).otherwise(0.0).alias("presentation")), "nodes")
-    # a branch is as important as its most important part
-    above = F.expr("transform(sequence(2, greatest(2, size(split(path, '>')))), i -> substring_index(path, '>', i))")
-    content = nodes.where("s > 0").select("host", F.explode(above).alias("path"), "s", "w").groupBy("host", "path").agg(F.max(F.col("w") / F.col("s")).alias("content"))
-    tree = nodes.select("host", "path", "pages", "presentation").join(content, ["host", "path"], "left")
-    return tree.withColumn("importance", F.greatest("presentation", F.coalesce("content", F.lit(0.0))))
+    content = F.when(F.col("s") > 0, 1 - F.col("t") / base / F.col("s"))
+    return nodes.select(*by, "pages", F.when(F.col("u") > 0, (F.log("u") - F.col("v") / F.col("u")) / base).otherwise(0.0).alias("presentation"), content.alias("content"))
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def style_tree(pages: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(host, node, pages, presentation, content, importance), a row for each node of each host's tree; no text right below it: null content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[str, int, int, int, int]] = []
+            for host, page in zip(b.column(0), b.column(1), strict=True):
+                found, styles = blocks(page.as_py())
+                h, seen, page_of = host.as_py(), set(), 0
+                for node, _, _, said in found:
+                    page_of = hashed(said, page_of)
+                    seen.add((node, 1, hashed(said)))
+                    seen.add((node, 0, 0))
+                for node, kids in styles:
+                    seen.add((node, 2, kids))
+                    seen.add((node, 0, 0))
+                rows += [(h, *x, page_of) for x in seen]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["host", "node", "kind", "feature", "page"])
+
+    key = ["host", "node", "kind", "feature"]
+    rows = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, node long, kind int, feature long, page long")
+    features = written(rows.distinct().groupBy(*key).agg(F.count("*").alias("n")), "features")
+    own = _importance(features, ["host", "node"])
+    every = _importance(features.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), ["node"])
+    every = every.select("node", F.col("presentation").alias("p"), F.col("content").alias("c"))
+    drawn = lambda a, b: (F.col("pages") * F.col(a) + prior * F.col(b)) / (F.col("pages") + prior)
+    tree = join_dealt_anew(own, every, ["node"])
+    return tree.select("host", "node", "pages", "presentation", "content", F.greatest(drawn("presentation", "p"), drawn("content", "c")).alias("importance"))
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD, prior: int = PRIOR) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null and empty html give the empty string; a null url is a host of its own name (empty). Hosts with fewer than min_pages pages
-    are cut by the rules alone. A page that would lose all its text keeps what the rules leave. Repeated rows stay
-    repeated; an empty table gives no row; further columns are ignored.
+    Null and empty html give the empty string; a null url is a host of its own name (empty). A page that would lose all its text
+    to the tree keeps what the rules leave. Repeated rows stay repeated; an empty table gives no row; further columns are ignored.
     """
-    judged = (F.col("pages") >= min_pages) & F.col("content").isNotNull() & ~F.col("path").rlike(CERTAIN)
-    low = style_tree(pages).where(judged & (F.col("importance") < threshold)).groupBy("host").agg(F.collect_set("path").alias("low"))
-    low = written(low, "low")
+    tree = style_tree(pages, prior).where(F.col("content").isNotNull() & (F.col("importance") < threshold))
+    low = written(tree.groupBy("host").agg(F.collect_set("node").alias("low")), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -144,10 +144,46 @@ def test_op4(spark):
     for r in got:
         text[r.page_id].append(r.text)
         assert r.n_chars == len(r.text)
-    assert text[1] == ["Head 1\nFirst bold part 1.\nSecond <1>"] and text[2] == ["Body 2 text\nMore 2"]  # menu and tail go by the tree
+    assert text[1] == ["Head 1\n\nFirst bold part 1.\n\nSecond <1>"] and text[2] == ["Body 2 text\n\nMore 2"]  # menu and tail go by the tree
     assert text[100] == [""] and text[101] == [""] and text[102] == ["only this"] * 2
 
 
+def test_op4_tree(spark):
+    """Importance of each node against entropies computed one by one, and a host of one page judged by the others."""
+    page = "<body><div class='q'>{0}</div><div class='z'>{1}<span>s</span></div>{2}</body>"
+    rows = [(i, f"http://h{i % 5 if i < 40 else 9}.example/{i}", page.format(f"text {i}", "Shared line", "<ul></ul>" * (i % 3))) for i in range(41)]
+    pages = spark.createDataFrame([*rows, (50, None, None)], "page_id long, url string, html string")
+    got = {(r.host, r.node): r for r in op4_style_tree.style_tree(pages, 8).collect()}
+    tree, n_pages = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, url, html in rows:
+        host, (found, styles) = url[7:].split("/")[0], op4_style_tree.blocks(html)
+        for h in (host, "*"):
+            n_pages.update({(h, n) for n in {x[0] for x in found} | {x[0] for x in styles}})
+            for kind, x in {(1, (f[0], f[3])) for f in found} | {(2, s) for s in styles}:
+                tree[h, x[0], kind][x[1]] += 1
+
+    def parts(h, node):
+        base = np.log(max(2, n_pages[h, node]))
+        said, kids = np.array([*tree[h, node, 1].values()], float), np.array([*tree[h, node, 2].values()], float)
+        show = -sum(k / kids.sum() * np.log(k / kids.sum()) for k in kids) / base if len(kids) else 0.0
+        return show, 1 - sum(k * np.log(k) for k in said) / base / said.sum() if len(said) else None
+
+    for (host, node), r in got.items():
+        if host:
+            (a, b), (c, d), m = parts(host, node), parts("*", node), n_pages[host, node]
+            want = max((m * x + 8 * y) / (m + 8) for x, y in ((a, c), (b, d)) if x is not None)
+            assert r.pages == m and abs(r.importance - want) < 1e-9 and abs(r.presentation - a) < 1e-9
+    text = {r.page_id: r.text for r in op4_style_tree.extract(pages).collect()}
+    assert text == {**{i: f"text {i}" for i in range(41)}, 50: ""}  # no rule names the shared line
+
+
+def test_op4_deep():
+    deep = "<div>" * 3000 + "low down" + "</div>" * 3000 + "<ul>" + "<li>x</li>" * 500 + "</ul>"
+    assert op4_style_tree.main_text(deep, frozenset()) == "\n\n".join(["low down", *["x"] * 500])
+    long = "<ul>" + "<li>x</li>" * 99
+    assert op4_style_tree.blocks(long + "<p>")[1] != op4_style_tree.blocks(long + "<b></b><h1>")[1]
+
+
 def test_op5(spark, docs, texts):
     got = op5_shuffle.two_pass_shuffle(docs, shards=4, bucket_rows=5).collect()
     again = op5_shuffle.two_pass_shuffle(docs.repartition(5), shards=4, bucket_rows=5).collect()
