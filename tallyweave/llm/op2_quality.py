@@ -1,13 +1,13 @@
 """Quality rules: base counts and robust multivariate outliers, in built-in functions only.
 
-Each text gives a vector of transformed statistics. For every (lang, source) the minimum-covariance-determinant
-estimate is found by concentration steps: distances to the current centre and scatter, moments of the closest
-`share` of the rows, and again; then one reweighted estimate. A group of fewer than MIN_GROUP rows is judged by the estimate of its language
-over all sources, and where that is as small, by that of all rows. A row is rejected if its squared Mahalanobis
-distance to its group's estimate exceeds `cutoff`.
+Each text gives a vector of transformed statistics. For every (lang, source), for every language and for all rows the
+minimum-covariance-determinant estimate is found from three starts by concentration steps: distances to the current centre and scatter, moments of the closest
+`share` of the rows, and again; of the starts the one that ends with the least determinant counts, and one reweighted estimate follows. A group's estimate
+is drawn towards its language's, with equal weights at PRIOR rows, and that one's likewise towards all rows': so every row has a distance, and no group size is a
+threshold. A row is rejected if its squared Mahalanobis distance to its group's estimate exceeds `cutoff`.
 
 At scale: the texts are read once and reduced to a narrow table of integers. A concentration step is one
-aggregation to (group, distance bin), with partial sums on the map side, so a hot group costs no task more than
+aggregation to (group, start, distance bin), with partial sums on the map side, so a hot group costs no task more than
 another; sums are of integers, so results don't depend on partitioning. Estimates (one row a group) are joined
 by Spark's own choice of join: broadcast below its size threshold, else both sides dealt out and hot keys split.
 """
@@ -29,9 +29,16 @@ FLOOR = (40, 150, 150, 60, 150)
 SHARE = 0.75
 #: Consistency factor of the covariance of the closest three quarters in five dimensions, and the 97.5 % point of chi-square with 5 degrees.
 CONSISTENCY, REWEIGHT = 1.41, 12.83
-CUTOFF = 300.0
+#: Ten robust standard deviations. Whatever the distribution, at most 5 in 100 rows lie so far out (Chebyshev's bound in five dimensions); the chi-square
+#: point of 12.83 supposes a normal one and takes 2.4 % of the good rows of skewed statistics (README).
+CUTOFF = 100.0
 STEPS = 3
-MIN_GROUP = 50
+#: Rows at which a group's estimate and the wider one have equal weights; weights go by the square, so that a lone outlier in a tiny group doesn't judge itself.
+PRIOR = 50
+#: Of a start's histogram: cells of CELL thousandths, between these.
+CELL, LOWEST, HIGHEST = 50, -100, 400
+#: Recurring windows that are looked up one by one; with more of them a text's windows are sorted.
+FEW = 64
 P = range(len(FEATURES))
 CROSS = list(combinations_with_replacement(P, 2))
 
@@ -50,9 +57,13 @@ def statistics(docs: DataFrame) -> DataFrame:
         "_h",
         F.when(F.col("_n") >= 3, F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")),
     )
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array("_h")))
+    df = df.withColumn("_d", F.array_distinct(F.filter("_s", lambda x, j: x == F.get("_s", j + 1))))
+    few = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains("_d", F.get("_h", i)))
+    pairs = F.when(F.size("_d") > FEW, F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    df = df.withColumn("_s", pairs)
     again = F.filter("_s", lambda x, j: (F.get("_s", j - 1)["h"] == x["h"]) | (F.get("_s", j + 1)["h"] == x["h"]))
-    df = df.withColumn("_p", F.array_sort(F.transform(again, lambda x: x["i"])))
+    df = df.withColumn("_p", F.when(F.size("_d") > FEW, F.array_sort(F.transform(again, lambda x: x["i"]))).when(F.size("_d") > 0, few))
     covered = F.aggregate(F.transform("_p", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_p", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return df.withColumns(
         {
@@ -63,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "n_upper": (F.char_length(text) - _without(text, UPPER)).cast("long"),
         }
-    ).drop("_words", "_lines", "_n", "_h", "_s", "_p")
+    ).drop("_words", "_lines", "_n", "_h", "_s", "_d", "_p")
 
 
 def _vector(df: DataFrame) -> DataFrame:
@@ -83,14 +94,16 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in P), F.lit(0.0))).drop(*[f"y{i}" for i in P])
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """sums: k, n, s*, s*_* -> k, centre and Cholesky factor of factor times the scatter, plus the floors."""
-    mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in P}
-    df = sums.withColumns(mean)
+def _scatter(sums: DataFrame, factor: float) -> DataFrame:
+    """Adds centre m* and factor times the covariance plus the floors, c*_*, from n, s*, s*_*."""
     # n * cross - s * s in exact decimals, so that no digits cancel
     exact = lambda c: F.col(c).cast("decimal(38,0)")
-    cov = {f"c{i}_{j}": ((exact("n") * exact(f"s{i}_{j}") - exact(f"s{i}") * exact(f"s{j}")).cast("double") / (F.col("n").cast("double") * F.col("n")) * factor + (FLOOR[i] ** 2 if i == j else 0)) for i, j in CROSS}
-    df = df.withColumns(cov)
+    cov = {f"c{i}_{j}": (exact("n") * exact(f"s{i}_{j}") - exact(f"s{i}") * exact(f"s{j}")).cast("double") / (F.col("n").cast("double") * F.col("n")) * factor + (FLOOR[i] ** 2 if i == j else 0) for i, j in CROSS}
+    return sums.withColumns({**{f"m{i}": F.col(f"s{i}") / F.col("n") for i in P}, **cov})
+
+
+def _factored(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, centre and the Cholesky factor l*_* of c*_*."""
     for j in P:
         rest = F.col(f"c{j}_{j}")
         for k in range(j):
@@ -101,15 +114,17 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             df = df.withColumn(f"l{i}_{j}", rest / F.col(f"l{j}_{j}"))
-    return df.select("lang_k", "source_k", *mean, *[f"l{i}_{j}" for i in P for j in range(i + 1)])
+    return df.select(*keys, *[f"m{i}" for i in P], *[f"l{i}_{j}" for i in P for j in range(i + 1)])
 
 
 G = ["lang_k", "source_k"]
+X = [f"x{i}" for i in P]
 #: The key of all languages or sources; keys of values begin with "=" or are empty.
 ALL = "*"
+STARTS = 3
 
 
-def _moments(df: DataFrame) -> list[Column]:
+def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in P], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in CROSS]]
 
 
@@ -117,50 +132,63 @@ def _again(parts: DataFrame) -> list[Column]:
     return [F.sum(c).alias(c) for c in parts.columns if c == "n" or c[0] == "s" and c[1].isdigit()]
 
 
-def _judges(rows: DataFrame) -> DataFrame:
-    """(lang_k, source_k, to_lang, to_source): the group whose estimate judges each group of rows."""
-    sizes = rows.groupBy(*G).agg(F.count("*").alias("n"))
-    tongues = sizes.groupBy("lang_k").agg(F.sum("n").alias("all"))
-    own, tongue = F.col("n") >= MIN_GROUP, F.col("all") >= MIN_GROUP
-    return written(sizes.join(tongues, "lang_k").select(*G, F.when(own | tongue, F.col("lang_k")).otherwise(ALL).alias("to_lang"), F.when(own, F.col("source_k")).otherwise(ALL).alias("to_source")), "judges")
-
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row as one of its group, of its language and of all."""
+    keys = F.array(*[F.struct(a.alias("lang_k"), b.alias("source_k")) for a, b in ((F.col("lang_k"), F.col("source_k")), (F.col("lang_k"), F.lit(ALL)), (F.lit(ALL), F.lit(ALL)))])
+    return rows.select(F.explode(keys).alias("g"), *X).select("g.*", *X)
 
-def _with_fallbacks(rows: DataFrame, judges: DataFrame) -> DataFrame:
-    """rows of the groups that judge, and again all rows of each language, and of all, that judges small groups."""
-    x = [f"x{i}" for i in P]
-    groups = judges.select(F.col("to_lang").alias("lang_k"), F.col("to_source").alias("source_k")).distinct()
-    own = rows.join(groups, G)
-    tongues = groups.where((F.col("source_k") == ALL) & (F.col("lang_k") != ALL)).select("lang_k")
-    wide = rows.join(tongues, "lang_k").select("lang_k", F.lit(ALL).alias("source_k"), *x)
-    whole = rows.crossJoin(groups.where(F.col("lang_k") == ALL).select("lang_k").distinct().withColumnRenamed("lang_k", "_any")).select(F.lit(ALL).alias("lang_k"), F.lit(ALL).alias("source_k"), *x)
-    return own.select(*G, *x).union(wide).union(whole)
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to start from, by `start`: 0 medians and quartile ranges, 1 all rows, 2 the half of them with an even sum of x*.
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges per group, from counts per hundredth: a table bounded by groups and bins."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(f"x{i}") / 10).alias("b")) for i in P]))
+    The medians come from counts in cells of bounded number.
+    """
+    cell = lambda i: F.least(F.greatest(F.floor(F.col(f"x{i}") / CELL), F.lit(LOWEST)), F.lit(HIGHEST))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), cell(i).alias("b")) for i in P]))
     counts = rows.select(*G, cells.alias("c")).groupBy(*G, "c.f", "c.b").count()
     w = Window.partitionBy(*G, "f")
     ranked = counts.withColumns({"upto": F.sum("count").over(w.orderBy("b")), "all": F.sum("count").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("b") * 10 + 5))
-    quart = ranked.groupBy(*G, "f").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"), F.max("all").alias("all"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("b") * CELL + CELL // 2))
+    quart = ranked.groupBy(*G, "f").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
     one = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
-    scale = lambda i: F.sqrt(F.pow((one(i, "hi") - one(i, "lo")) / 1.349, 2) + FLOOR[i] ** 2)
-    cols = [one(i, "mid").cast("double").alias(f"m{i}") for i in P] + [(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in P for j in range(i + 1)]
-    return quart.groupBy(*G).agg(*cols)
-
-
-def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """rows: lang_k, source_k, x0..x4 -> one row for each group: centre and Cholesky factor."""
-    est = written(_start(rows), "mcd")
+    scale = lambda i: F.pow((one(i, "hi") - one(i, "lo")) / 1.349, 2) + FLOOR[i] ** 2
+    medians = quart.groupBy(*G).agg(*[one(i, "mid").cast("double").alias(f"m{i}") for i in P], *[(scale(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in CROSS])
+    half = F.pmod(sum((F.col(x) for x in X), F.lit(0)), F.lit(2)) == 0
+    sums = rows.withColumn("start", F.explode(F.when(half, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).groupBy(*G, "start").agg(*_moments())
+    names = [*G, "start", *[f"m{i}" for i in P], *[f"c{i}_{j}" for i, j in CROSS]]
+    return _factored(medians.withColumn("start", F.lit(0)).select(names).unionByName(_scatter(sums, 1.0).select(names)), [*G, "start"])
+
+
+def _drawn(own: DataFrame, wide: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """Centres and covariances of own (with n), drawn by keys towards those of wide, with weights n^2 and prior^2."""
+    values = [f"m{i}" for i in P] + [f"c{i}_{j}" for i, j in CROSS]
+    both = own.join(wide.select(*keys, *[F.col(v).alias(f"w_{v}") for v in values]), keys) if keys else own.crossJoin(wide.select(*[F.col(v).alias(f"w_{v}") for v in values]))
+    n, w = F.col("n").cast("double") * F.col("n"), float(prior) ** 2
+    return both.select(*G, "n", *[((n * F.col(v) + w * F.col(f"w_{v}")) / (n + w)).alias(v) for v in values])
+
+
+def mcd_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, prior: int = PRIOR) -> DataFrame:
+    """rows: lang_k, source_k, x0..x4 -> one row for each group: centre and Cholesky factor of its drawn estimate."""
+    rows = written(_levels(rows), "levels")
+    key = [*G, "start"]
+    tried = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    est = written(_starts(rows), "mcd")
     for _ in range(steps):
-        near = _distance(rows.join(est, G)).withColumn("bin", F.floor(16 * F.log2(1 + F.col("d2"))))
-        parts = near.groupBy(*G, "bin").agg(*_moments(near))
-        w = Window.partitionBy(*G)
+        near = _distance(tried.join(est, key)).withColumn("bin", F.floor(16 * F.log2(1 + F.col("d2"))))
+        parts = near.groupBy(*key, "bin").agg(*_moments())
+        w = Window.partitionBy(*key)
         closest = parts.withColumns({"before": F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(w)}).where(F.col("before") < share * F.col("all"))
-        est = written(_estimate(closest.groupBy(*G).agg(*_again(parts)), CONSISTENCY), "mcd")
-    kept = _distance(rows.join(est, G)).where(F.col("d2") <= REWEIGHT)
-    return written(_estimate(kept.groupBy(*G).agg(*_moments(kept)), 1.0), "mcd")
+        est = written(_factored(_scatter(closest.groupBy(*key).agg(*_again(parts)), CONSISTENCY), key), "mcd")
+    det = F.lit(1.0)
+    for i in P:
+        det = det * F.col(f"l{i}_{i}")
+    least = est.groupBy(*G).agg(F.min(F.struct(F.round(det, 6).alias("det"), "start")).alias("least")).select(*G, "least.start")
+    best = written(est.join(least, key).drop("start"), "mcd")
+    kept = _distance(rows.join(best, G)).where(F.col("d2") <= REWEIGHT)
+    plain = written(_scatter(kept.groupBy(*G).agg(*_moments()), 1.0), "mcd")
+    every = plain.where((F.col("lang_k") == ALL) & (F.col("source_k") == ALL))
+    tongues = _drawn(plain.where((F.col("lang_k") != ALL) & (F.col("source_k") == ALL)), every, [], prior)
+    return written(_factored(_drawn(plain.where(F.col("source_k") != ALL), tongues, ["lang_k"], prior), G), "mcd")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -170,16 +198,9 @@ def _counted(docs: DataFrame) -> DataFrame:
     return _vector(counts.withColumns({"lang_k": key("lang"), "source_k": key("source")}))
 
 
-def _estimates_of(counted: DataFrame) -> DataFrame:
-    """One row for each group past the base rules: the estimate that judges it."""
-    rows = counted.where("not base_failed").select(*G, *[f"x{i}" for i in P])
-    judges = _judges(rows)
-    est = mcd_estimates(written(_with_fallbacks(rows, judges), "judging")).withColumnsRenamed({"lang_k": "to_lang", "source_k": "to_source"})
-    return written(judges.join(est, ["to_lang", "to_source"]).drop("to_lang", "to_source"), "mcd")
-
-
-def _verdict(counted: DataFrame, est: DataFrame, cutoff: float) -> DataFrame:
-    return _distance(counted.join(est, G, "left")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
+def _verdict(counted: DataFrame, cutoff: float) -> DataFrame:
+    est = mcd_estimates(counted.where("not base_failed").select(*G, *X))
+    return _distance(counted.join(est, G, "left")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -189,24 +210,27 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, distance (squared) and kept.
 
     Null and empty texts have no words and fail the base rules. Null lang or source form groups of their own.
-    Rows that fail the base rules have no distance; all others have one, those of small groups from a wider group's estimate. Repeated rows are
+    Rows that fail the base rules have no distance; all others have one, whatever their group's size. Repeated rows are
     judged alike and stay repeated; an empty table gives no row; further columns are ignored.
     """
     base = written(_counted(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return _verdict(base, _estimates_of(base), cutoff).select("doc_id", *COUNTS, F.col("d2").alias("distance"), "kept")
+    return _verdict(base, cutoff).select("doc_id", *COUNTS, F.col("d2").alias("distance"), "kept")
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they were.
 
-    Texts are counted twice, once for the estimates and once for the verdict, and never shuffled or stored.
+    Texts are counted once, into a narrow table; the rejected rows' keys, hashes of 128 bits over id, text, lang and source, are joined back. Null and
+    empty texts go, as they fail the base rules; null lang or source form groups of their own; repeated rows are judged
+    alike; an empty table gives no row.
     """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], "text", "lang", "source")
-    base = written(_counted(docs.select("text", "lang", "source")).select("base_failed", *G, *[f"x{i}" for i in P]), "quality")
-    # a predicate on the counts, pushed below them, would repeat their array functions in every lambda; it stops at a row id
-    counted = _counted(plain).withColumn("_r", F.monotonically_increasing_id())
-    return _verdict(counted, _estimates_of(base), cutoff).where(F.col("kept") & (F.col("_r") >= 0)).select([F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] + ["doc_id", "text", "lang", "source"])
+    keys = {"_k": F.xxhash64("doc_id", "text", "lang", "source"), "_j": F.xxhash64(F.lit(2), "text", "source", "lang", "doc_id")}
+    plain = docs.select("doc_id", "text", "lang", "source").withColumns(keys)
+    base = written(_counted(plain).select("_k", "_j", "base_failed", *G, *X), "quality")
+    gone = written(_verdict(base, cutoff).where(~F.col("kept")).select("_k", "_j").distinct(), "rejected")
+    stay = named.withColumns(keys).join(gone, ["_k", "_j"], "left_anti")
+    return stay.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,18 +22,34 @@ def estimate(x, factor):
     return m, factor * ((x - m).T @ (x - m)) / len(x) + np.diag(np.square(np.array(Q.FLOOR, float)))
 
 
+def starts(x):
+    bins = np.sort(np.clip(np.floor(x / Q.CELL), Q.LOWEST, Q.HIGHEST), axis=0)
+    at = lambda q: bins[math.ceil(q * len(x)) - 1] * Q.CELL + Q.CELL // 2
+    yield at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + np.square(np.array(Q.FLOOR, float)))
+    yield estimate(x, 1.0)
+    even = x[x.sum(1) % 2 == 0]
+    if len(even):
+        yield estimate(even, 1.0)
+
+
 def mcd(x):
-    bins = np.sort(np.floor(x / 10), axis=0)
-    n = len(x)
-    at = lambda q: bins[math.ceil(q * n) - 1] * 10 + 5
-    m = at(0.5)
-    cov = np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + np.square(np.array(Q.FLOOR, float)))
-    for _ in range(Q.STEPS):
-        b = np.floor(16 * np.log2(1 + distances(x, m, cov)))
-        order = np.sort(b)
-        last = order[max(0, math.ceil(Q.SHARE * n) - 1)]  # whole bins until the share is reached
-        m, cov = estimate(x[b <= last], Q.CONSISTENCY)
-    return estimate(x[distances(x, m, cov) <= Q.REWEIGHT], 1.0)
+    """Of the starts the one that ends with the least determinant, reweighted."""
+    ends = []
+    for m, cov in starts(x):
+        for _ in range(Q.STEPS):
+            b = np.floor(16 * np.log2(1 + distances(x, m, cov)))
+            last = np.sort(b)[max(0, math.ceil(Q.SHARE * len(x)) - 1)]  # whole bins until the share is reached
+            m, cov = estimate(x[b <= last], Q.CONSISTENCY)
+        ends.append((round(math.sqrt(np.linalg.det(cov)), 6), m, cov))
+    _, m, cov = min(ends, key=lambda e: e[0])
+    near = x[distances(x, m, cov) <= Q.REWEIGHT]
+    return (len(near), *estimate(near, 1.0))
+
+
+def drawn(own, wide):
+    n, m, cov = own
+    w = n * n / (n * n + Q.PRIOR**2)
+    return n, w * m + (1 - w) * wide[1], w * cov + (1 - w) * wide[2]
 
 
 def test_against_numpy(spark):
@@ -56,9 +72,12 @@ def test_against_numpy(spark):
             v = (math.log(g.word_chars / g.n_words), math.log1p(1000 * g.n_symbols / g.word_chars), math.log1p(100 * g.n_dup_lines / g.n_words), math.sqrt(g.n_repeat_words / g.n_words), math.log1p(1000 * upper / g.word_chars))
             groups.setdefault((lang, source), []).append((i, [half_up(1000 * a) for a in v]))
     assert len(groups) == 3
-    for members in groups.values():
+    of = lambda keep: np.array([v for k, rows in groups.items() if keep(k) for _, v in rows], float)
+    every = mcd(of(lambda k: True))
+    for key, members in groups.items():
         x = np.array([v for _, v in members], float)
-        want = distances(x, *mcd(x))
+        tongue = drawn(mcd(of(lambda k, lang=key[0]: k[0] == lang)), every)
+        want = distances(x, *drawn(mcd(x), tongue)[1:])
         have = np.array([got[i].distance for i, _ in members])
         assert np.allclose(have, want, rtol=1e-6)
         assert [got[i].kept for i, _ in members] == (want <= Q.CUTOFF).tolist()

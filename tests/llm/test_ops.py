@@ -83,9 +83,22 @@ def test_op2(spark, docs, texts):
         lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), failed)
-        assert r.kept == (not failed)  # groups this small reject nothing more
+        assert r.kept <= (not failed) and (r.distance is None) == failed
     assert op2_quality.judged(docs.limit(0)).count() == 0
-    assert op2_quality.keep_good(docs).columns == docs.columns
+    kept = op2_quality.keep_good(docs)
+    assert kept.columns == docs.columns and op2_quality.keep_good(docs.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
+
+
+def test_op2_repeats(spark, monkeypatch):
+    """Both ways of finding windows that recur."""
+    r = random.Random(6)
+    rows = make(spark, [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (2, 3, 4, 50, 300, 900)])
+    got = []
+    for few in (0, 1, 64, 1000):
+        monkeypatch.setattr(op2_quality, "FEW", few)
+        got.append([x.n_repeat_words for x in op2_quality.statistics(rows).orderBy("doc_id").collect()])
+    assert got[0] == got[1] == got[2] == got[3] and got[0][-1] > 100
 
 
 def test_op2_outliers(spark):

@@ -1,4 +1,4 @@
-"""Rows of small groups are judged by the estimate of their language, or of all rows."""
+"""Rows of small groups are judged by estimates drawn towards their language's and all rows'."""
 
 import random
 
@@ -10,8 +10,8 @@ def test_every_row_has_a_distance(spark):
     word = lambda symbols: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + ("%$#&*" * 3 if symbols else "")
     text = lambda symbols: " ".join(word(symbols) for _ in range(120))
     rows = [(i, text(False), "en", "large") for i in range(120)]
-    rows += [(200 + i, text(i == 0), "en", f"small{i % 2}") for i in range(20)]  # language's estimate
-    rows += [(300 + i, text(i == 0), "xx", "small") for i in range(10)]  # all rows' estimate
+    rows += [(200 + i, text(i == 0), "en", f"small{i % 2}") for i in range(20)]
+    rows += [(300 + i, text(i == 0), "xx", "small") for i in range(10)]
     rows += [(400, text(True), None, None), (401, text(False), None, None), (500, "too short", "en", "large")]
     got = {x.doc_id: x for x in op2_quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(got) == len(rows)
