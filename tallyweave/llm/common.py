@@ -18,12 +18,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset (tests) one of our own."""
+    """A folder of this application in the one that driver and executors share, spark.checkpoint.dir; it can be deleted when the application has ended.
+
+    Where the setting is missing, a local session (as in tests) gets a folder of its own; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = sys.__dict__.setdefault("_tallyweave_shared", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sys._tallyweave_shared = at
-    return at.rstrip("/")
+    return f"{at.rstrip('/')}/tallyweave-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

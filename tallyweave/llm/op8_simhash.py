@@ -73,8 +73,9 @@ def bucket_rows(fps: DataFrame, radius: int) -> DataFrame:
 def links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints at `radius` or fewer differing bits.
 
-    radius is at most 2: the values at distance one of two such fingerprints meet, and any two fingerprints
-    that share such a value are within 2. So a star within each value's group is exact, and a group is bounded.
+    At radius 2, the values at distance one of two such fingerprints meet, and any two fingerprints
+    that share such a value are within 2: a star within each value's group is exact, and a group is bounded. At radius 1 the star's centre is
+    the value itself, where it is a fingerprint; at radius 0 distinct fingerprints have no link.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
@@ -85,8 +86,9 @@ def links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     big = join_dealt_anew(rows, buckets.where("n > 2").select("t", "key"), ["t", "key"]).select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     around = big.select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    stars = around.select(F.explode("all").alias("a"), "b").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return pairs.union(stars)
+    if radius < 2:
+        around = around.where(F.array_contains("all", F.col("value")) & F.lit(radius == 1)).withColumn("b", F.col("value"))
+    return pairs.union(around.select(F.explode("all").alias("a"), "b").where("a <> b"))
 
 
 def simhash_components(docs: DataFrame, k: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:

@@ -17,6 +17,11 @@ from tallyweave.llm.components import connected_components
 from tallyweave.llm.near_dedup import keep_one_each
 from tallyweave.llm.tokens import Encoder, vocabulary_path
 
+
+def shingled(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, fp string, kept string, spans string, base string, d string, _k string"
 
 
@@ -213,6 +218,14 @@ def test_op5(spark, docs, texts):
     assert sorted(perm) == list(range(50)) and perm != sorted(perm)
 
 
+def test_op5_equal_rows(spark):
+    """Thousands of equal rows are spread like others."""
+    docs = make(spark, ["same"] * 6000, [1] * 6000).repartition(3)
+    got = op5_shuffle.two_pass_shuffle(docs, shards=4, bucket_rows=100).select("bucket", "place").collect()
+    assert sorted(r.place for r in got) == list(range(6000))
+    assert max(collections.Counter(r.bucket for r in got).values()) < 200
+
+
 def entropy(s):
     return max(-sum(c / 20 * np.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
 
@@ -302,6 +315,9 @@ def test_op8_links(spark):
     edges = op8_simhash.links(spark.createDataFrame([(x,) for x in f], "fp long"))
     got = {e.node: e.root for e in connected_components(edges).collect()}
     assert {x: got.get(x, x) for x in f} == {x: find(x) for x in f}
+    for radius in (0, 1):
+        got = {(min(e.a, e.b), max(e.a, e.b)) for e in op8_simhash.links(spark.createDataFrame([(x,) for x in f], "fp long"), radius).collect()}
+        assert got == {(min(x, y), max(x, y)) for i, x in enumerate(f) for y in f[:i] if bits(x, y) <= radius}
     masks = [m & (1 << 64) - 1 for m in op8_simhash.covering_masks(2)]
     assert all(any(not m >> a & 1 and not m >> b & 1 for m in masks) for a in range(64) for b in range(a + 1))
 
@@ -317,8 +333,15 @@ def test_near_dedup(spark, docs, texts):
     kept = keep_one_each(docs)
     assert kept.columns == docs.columns
     got = [r.doc_id for r in kept.collect()]
-    # null, empty and blank are one; copies and the edited copy are one; a row repeated in full stays once
-    assert sorted(got) == sorted(set(range(len(texts))) - {1, 2, 4, 6, 7})
+    # null, empty and blank are one; a row repeated in full stays once; all links at 0.8 or more, by brute force over all pairs
+    sets = [shingled(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert sorted(got) == sorted(set(root)) and {0, 3, 5} <= set(got) and not {1, 2, 4, 6, 7} & set(got)
     assert keep_one_each(docs.limit(0)).count() == 0
 
 
