@@ -76,13 +76,13 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_tallyweave_worker", {})
 
 
-def bitmap(keys: DataFrame):
-    """A broadcast bitmap of the column k of keys, two bits a key, and its size; at most BITMAP bits, whatever the number of keys."""
+def bitmap(keys: DataFrame, each: int = 16, of=None):
+    """A broadcast bitmap of the column k of keys, two bits a key, and its size; about `each` bits a key, at most BITMAP, whatever the number of keys."""
     n = keys.count()
     bits = 1 << 12
-    while bits < min(16 * n, BITMAP):
+    while bits < min(each * n, BITMAP):
         bits *= 2
-    places = F.explode(F.array(*bitmap_places(bits))).alias("p")
+    places = F.explode(F.array(*(of or bitmap_places)(bits))).alias("p")
     words = keys.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
     held = np.zeros(bits // 64, np.int64)
     held[words.column("w").to_numpy()] = words.column("v").to_numpy()
@@ -93,6 +93,17 @@ def bitmap_places(bits: int) -> tuple[Column, Column]:
     return F.pmod("k", F.lit(bits)), F.pmod(F.xxhash64("k"), F.lit(bits))
 
 
+def plain_places(bits: int) -> tuple[Column, Column]:
+    """Places that numpy finds as well, for keys that are hashes."""
+    return F.col("k").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("k", 29).bitwiseAND(F.lit(bits - 1))
+
+
+def plain_maybe_in(held: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes h the bitmap of plain_places may hold."""
+    at = lambda x: (held[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)).astype(np.int64)) & 1 > 0
+    return at(h & np.uint64(bits - 1)) & at((h >> np.uint64(29)) & np.uint64(bits - 1))
+
+
 def maybe_in(held: np.ndarray, p: pa.Array, q: pa.Array) -> np.ndarray:
     at = lambda x: (held[x >> 6] >> (x & 63)) & 1 > 0
     return at(p.to_numpy(zero_copy_only=False)) & at(q.to_numpy(zero_copy_only=False))
