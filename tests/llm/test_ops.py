@@ -37,7 +37,7 @@ def texts():
     base, passage = w(300), w(110)
     edited = base.split()
     edited[150] = "changed"
-    return [None, "", " \n\t ", "one", "one", base, base, " ".join(edited), w(90) + " " + passage + " " + w(70), w(30) + " " + passage, w(200), w(60) + "\n" + w(60) + "\n" + w(60), "é ß ñ " * 150, "aaaa" * 300, "then <|endoftext|> more", w(50) + " " + base + " " + w(5) + " " + base[:900], "two words", w(1500)]
+    return [None, "", " \n\t ", "one", "one", base, base, " ".join(edited), w(90) + " " + passage + " " + w(70), w(30) + " " + passage, w(200), w(60) + "\n" + w(60) + "\n" + w(60), "é ß ñ " * 150, "aaaa" * 300, "then <|endoftext|> more", w(50) + " " + base + " " + w(5) + " " + base[:900], "two words", w(1500), w(60) + " " + passage + " " + w(70) + " " + passage, passage[:420] + " " + w(55) + " " + passage[200:] + " " + passage[:300] + w(9)]
 
 
 @pytest.fixture(scope="module")
@@ -61,10 +61,21 @@ def test_op1(spark, docs, texts):
             gone[j : j + 400] |= n[b[j : j + 400]] > 1
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i] = (len(b), int(gone.sum()), int((gone[:-1] < gone[1:]).sum() + gone[0]), hashlib.sha256(kept).hexdigest())
+    rows, seen, passages = [*zip([*range(len(texts)), None, 10], (b.split() for b in t))], collections.defaultdict(set), {}
+    for i, w in rows:
+        for j in range(len(w) - 50):
+            seen[tuple(w[j : j + 51])].add(i)
+    for i, w in rows:
+        gone = np.zeros(len(w) + 1, bool)
+        for j in range(len(w) - 50):
+            gone[j : j + 51] |= len(seen[tuple(w[j : j + 51])]) > 1
+        passages[i] = (int((gone[:-1] < gone[1:]).sum() + gone[0]), int(gone.sum()))
+    assert passages[8][0] == 1 and passages[8][1] >= 110 and passages[10] == passages[13] == (0, 0)
     got = op1_repeats.remove_repeats(docs).collect()
     assert len(got) == len(t)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+        assert (r.n_passages, r.n_passage_words) == passages[r.doc_id], r.doc_id
     assert op1_repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
