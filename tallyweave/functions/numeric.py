@@ -56,10 +56,25 @@ def variants(value: Column, text: Column | None = None, scale: bool = True) -> C
     return F.transform(F.array_sort(F.array_distinct(F.transform(F.filter(every, lambda x: x.isNotNull()), by_size))), lambda s: s["v"])
 
 
+def _percent(text: Column | None) -> Column:
+    return F.lit(False) if text is None else F.coalesce(text.contains("%"), F.lit(False))
+
+
+def _any_close(p: Column, p_percent: Column, golds: list[tuple[Column, Column | None]], tol: float) -> Column:
+    """Whether a value that p may stand for is close to one of golds (number, and when it counts): a fixed OR of comparisons."""
+    hit = F.lit(False)
+    for g, when in golds:
+        one = p_percent & close(p / 100.0, g, tol)
+        for s in SCALES:
+            one = one | close(p * s, g, tol)
+        hit = hit | (one if when is None else when & one)
+    return hit
+
+
 def scaled_match(pred: Column, pred_text: Column | None, gold: Column, tol: float) -> Column:
     """Some variant of the number pred is close to gold as stated or, with a percent sign, to its hundredth."""
-    g = variants(extract_num(gold), gold, scale=False)
-    return F.coalesce(F.exists(variants(pred, pred_text), lambda p: F.exists(g, lambda x: close(p, x, tol))), F.lit(False))
+    parts = F.struct(pred.alias("p"), _percent(pred_text).alias("s"), extract_num(gold).alias("g"), _percent(gold).alias("t"))
+    return F.get(F.transform(F.array(parts), lambda x: _any_close(x["p"], x["s"], [(x["g"], None), (x["g"] / 100.0, x["t"])], tol)), 0)
 
 
 def nearest_variant(value: Column, gold: Column) -> Column:
@@ -84,4 +99,5 @@ def printed(value: Column) -> Column:
 
 def scaled_to(pred: Column, pred_text: Column | None, gold: Column, tol: float) -> Column:
     """Some variant of pred is close to the number gold itself."""
-    return F.coalesce(F.exists(variants(pred, pred_text), lambda p: close(p, gold, tol)), F.lit(False))
+    parts = F.struct(pred.alias("p"), _percent(pred_text).alias("s"), gold.alias("g"))
+    return F.get(F.transform(F.array(parts), lambda x: _any_close(x["p"], x["s"], [(x["g"], None)], tol)), 0)

@@ -1,4 +1,7 @@
-"""Calculator programs in a column, run in the JVM by a fold over their steps."""
+"""Calculator programs in a column, run in the JVM by a fold over their steps.
+
+Patterns are possessive and hold no nested repetition, so a long argument can't exhaust the regex engine's stack.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +13,28 @@ from .numeric import CONSTANTS, normalize_number
 # Operations of the two dialects.
 LENIENT = ("add", "subtract", "multiply", "divide", "average", "max", "min", "greater", "less", "exp")
 STRICT = ("add", "subtract", "multiply", "divide", "exp", "greater")
-#: Calls within calls that the step pattern follows; deeper nesting is an error value.
-NESTED = 4
+STEP = r"[A-Za-z_][A-Za-z0-9_]*+\s*+\([^()]*+\)"
+# What stands for brackets and commas within a call's brackets.
+HIDDEN, SHOWN = "\u0002\u0003\u0004", "(),"
+
 
+def bound(value: Column, then) -> Column:
+    """then(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-def _inner(levels: int) -> str:
-    return r"[^()]*" if not levels else rf"(?:[^()]|\({_inner(levels - 1)}\))*"
 
+def _flat(text: Column) -> Column:
+    """The text with brackets and commas inside calls hidden, to any depth; each piece from one bracket to the next is looked at once."""
 
-STEP = rf"[A-Za-z_][A-Za-z0-9_]*\s*\({_inner(NESTED)}\)"
-ARG = rf"(?:[^(),]|\({_inner(NESTED)}\))+"
+    def piece(acc: Column, x: Column) -> Column:
+        opens, closes = x.startswith("("), x.startswith(")")
+        depth = F.when(opens, acc["depth"] + 1).when(closes, acc["depth"] - 1).otherwise(acc["depth"])
+        inside = F.when(closes, acc["depth"] > 1).otherwise(depth > 1)
+        shown = F.when(inside, F.concat(F.translate(F.substring(x, 1, 1), SHOWN, HIDDEN), F.when(depth > 1, F.translate(F.substring(x, F.lit(2), F.char_length(x)), SHOWN, HIDDEN)).otherwise(F.substring(x, F.lit(2), F.char_length(x))))).otherwise(x)
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), F.concat(acc["text"], shown).alias("text"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.when(text.rlike(r"\([^()]*+\("), F.aggregate(F.split(text, r"(?=[()])"), start, piece, lambda a: a["text"])).otherwise(text)
 
 
 def _strict_number(token: Column) -> Column:
@@ -55,15 +70,12 @@ def run_program(program: Column, dialect: str = "lenient") -> Column:
     operations of two arguments that parse whole. `#k` is the k-th step's result.
     """
     ops = LENIENT if dialect == "lenient" else STRICT
-    text = F.coalesce(program, F.lit(""))
-    steps = F.regexp_extract_all(text, F.lit(STEP), F.lit(0))
-    rest = F.regexp_replace(text, STEP, "\u0001")
-    shaped = rest.rlike("^[\\s,]*(\u0001\\s*(,[\\s,]*|$))*$")
-    parsed = F.transform(
+    shown = lambda t: F.translate(F.btrim(F.trim(t), F.lit("\"'")), HIDDEN, SHOWN)
+    parsed = lambda steps: F.transform(
         steps,
         lambda s: F.struct(
-            F.regexp_extract(s, r"^\s*([A-Za-z_][A-Za-z0-9_]*)", 1).alias("op"),
-            F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(s, r"(?s)^[^(]*\((.*)\)\s*$", 1), F.lit(ARG), F.lit(0)), lambda t: F.btrim(F.trim(t), F.lit("\"'"))), lambda t: t != "").alias("args"),
+            F.regexp_extract(s, r"^([A-Za-z_][A-Za-z0-9_]*+)", 1).alias("op"),
+            F.filter(F.transform(F.split(F.regexp_extract(s, r"\(([^()]*+)\)", 1), ","), shown), lambda t: t != "").alias("args"),
         ),
     )
     number = normalize_number if dialect == "lenient" else _strict_number
@@ -73,30 +85,30 @@ def run_program(program: Column, dialect: str = "lenient") -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         args = F.transform(s["args"], lambda t: value(acc["values"], t))
-        # bound once by a one-element array, since each operation looks at the arguments
-        got = F.get(F.transform(F.array(args), lambda v: F.when(~F.exists(v, lambda x: x.isNull()) & (F.lit(dialect == "lenient") | (F.size(v) == 2)), _apply(s["op"], v))), 0)
-        fine = F.get(F.transform(F.array(got), lambda x: F.when(F.abs(x) < float("inf"), x)), 0)
-        known = s["op"].isin(*ops)
-        error = F.when(~known, F.concat(F.lit("unsupported op "), s["op"])).when(fine.isNull(), F.lit("bad arguments"))
-        return F.when(acc["error"].isNotNull(), acc).otherwise(
-            F.struct(F.when(error.isNull(), F.concat(acc["values"], F.array(fine))).otherwise(acc["values"]).alias("values"), F.when(error.isNull(), F.concat(acc["ops"], F.array(s["op"]))).otherwise(acc["ops"]).alias("ops"), error.alias("error"))
-        )
+        got = bound(args, lambda v: F.when(~F.exists(v, lambda x: x.isNull()) & (F.lit(dialect == "lenient") | (F.size(v) == 2)), _apply(s["op"], v)))
+        failed = lambda why: F.struct(acc["values"].alias("values"), acc["ops"].alias("ops"), why.alias("error"))
+        went = lambda x: F.when(
+            F.abs(x) < float("inf"), F.struct(F.concat(acc["values"], F.array(x)).alias("values"), F.concat(acc["ops"], F.array(s["op"])).alias("ops"), F.lit(None).cast("string").alias("error"))
+        ).otherwise(failed(F.lit("bad arguments")))
+        return F.when(acc["error"].isNotNull(), acc).when(~s["op"].isin(*ops), failed(F.concat(F.lit("unsupported op "), s["op"]))).otherwise(bound(got, went))
 
     start = F.struct(F.array().cast("array<double>").alias("values"), F.array().cast("array<string>").alias("ops"), F.lit(None).cast("string").alias("error"))
-    bad = F.when(~shaped, F.lit("bad step")).when(F.size(steps) == 0, F.lit("empty program"))
 
-    def finish(acc: Column) -> Column:
-        error = F.coalesce(bad, acc["error"])
-        return F.struct(error.isNull().alias("ok"), F.when(error.isNull(), F.element_at(acc["values"], -1)).alias("result"), acc["values"].alias("values"), acc["ops"].alias("ops"), error.alias("error"))
+    def read(text: Column) -> Column:
+        shaped = F.regexp_replace(text, STEP, "\u0001").rlike("^[\\s,]*+(?:\u0001\\s*+(?:,[\\s,]*+|$))*+$")
+        steps = F.regexp_extract_all(text, F.lit(STEP), F.lit(0))
+        return F.struct(steps.alias("steps"), F.when(~shaped, F.lit("bad step")).when(F.size(steps) == 0, F.lit("empty program")).alias("bad"))
+
+    def run(x: Column) -> Column:
+        done = F.when(x["bad"].isNull(), F.aggregate(parsed(x["steps"]), start, step)).otherwise(F.struct(start["values"].alias("values"), start["ops"].alias("ops"), x["bad"].alias("error")))
+        return bound(done, lambda a: F.struct(a["error"].isNull().alias("ok"), F.when(a["error"].isNull(), F.element_at(a["values"], -1)).alias("result"), a["values"].alias("values"), a["ops"].alias("ops"), a["error"].alias("error")))
 
-    return F.when(bad.isNull(), F.aggregate(parsed, start, step, finish)).otherwise(finish(start))
+    return bound(bound(_flat(F.coalesce(program, F.lit(""))), read), run)
 
 
 def execute_programs(df: DataFrame, program: str = "program", into: str = "run", dialect: str = "lenient") -> DataFrame:
-    """df with the column `into`: each distinct program runs once, then its result is joined back. Null programs: error 'empty program'."""
-    key = F.coalesce(F.col(program), F.lit(""))
-    runs = df.select(key.alias("_p")).distinct().withColumn(into, run_program(F.col("_p"), dialect))
-    return df.withColumn("_p", key).join(runs, "_p").drop("_p")
+    """df with the column `into`. Null programs: error 'empty program'. Programs run where their rows are: a run costs less than a shuffle of the row."""
+    return df.withColumn(into, run_program(F.col(program), dialect))
 
 
 def operators_of(program: Column) -> Column:

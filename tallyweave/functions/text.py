@@ -79,11 +79,15 @@ def sentences(text: Column) -> Column:
 
 def word_windows(text: Column, size: int = 160, overlap: int = 40, least: int = 25) -> Column:
     """Overlapping windows of words as array<string>; a tail of fewer than `least` words is dropped unless it is all."""
-    words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda s: F.slice(words, s + 1, F.least(F.lit(size), F.size(words) - s)))
-    kept = F.filter(cut, lambda w, i: (F.size(w) >= least) | (i == 0))
-    return F.transform(kept, lambda w: F.array_join(w, " "))
+
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(starts, lambda s: (F.size(words) - s >= least) | (s == 0))
+        return F.transform(kept, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
+
+    # the words are split once, bound by a one-element array
+    return F.get(F.transform(F.array(F.filter(F.split(squeeze(text), " "), lambda w: w != "")), cut), 0)
 
 
 def strip_tags(page: Column) -> Column:

@@ -162,17 +162,21 @@ def coordinates(text: Column) -> Column:
     return F.when(F.size(nums) >= 2, F.struct(fit(x).alias("x"), fit(y).alias("y"), ((x < 0) | (x > 1000) | (y < 0) | (y > 1000)).alias("out_of_range")))
 
 
-def evidence_grid(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...], spans: tuple[tuple[int, int], ...]) -> DataFrame:
+def evidence_grid(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...], spans: tuple[tuple[int, int], ...], queries: DataFrame | None = None) -> DataFrame:
     """ranked (query_id, chunk_index, rank), gold (query_id, chunk_index): recall and size of top-k evidence with neighbours, for every setting.
 
-    One pass for all settings; queries without gold count as 0.
+    One pass for all settings; queries without gold count as 0, and so do queries (query_id) without ranked rows.
     """
     settings = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("before"), F.lit(b).alias("after")) for k in ks for a, b in spans]))
     rows = ranked.withColumn("s", settings).where(F.col("rank") <= F.col("s.k"))
     near = rows.select("query_id", "s.k", "s.before", "s.after", F.explode(F.sequence(F.col("chunk_index") - F.col("s.before"), F.col("chunk_index") + F.col("s.after"))).alias("chunk_index")).distinct()
     hit = near.join(gold.distinct().withColumn("g", F.lit(1)), ["query_id", "chunk_index"], "left")
     sizes = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    per = hit.groupBy("k", "before", "after", "query_id").agg(F.count("*").alias("n"), F.count("g").alias("h")).join(sizes, "query_id", "left")
+    per = hit.groupBy("k", "before", "after", "query_id").agg(F.count("*").alias("n"), F.count("g").alias("h"))
+    if queries is not None:
+        every = queries.select("query_id").distinct().withColumn("s", settings).select("s.k", "s.before", "s.after", "query_id")
+        per = every.join(per, ["k", "before", "after", "query_id"], "left").fillna(0, ["n", "h"])
+    per = per.join(sizes, "query_id", "left")
     return per.groupBy("k", "before", "after").agg(
         F.count("*").alias("num_queries"), F.round(F.avg((F.col("h") > 0).cast("double")), 9).alias("any_recall"), F.round(F.avg(F.coalesce(F.col("h") == F.col("n_gold"), F.lit(False)).cast("double")), 9).alias("all_recall"),
         F.round(F.avg(F.coalesce(F.col("h") / F.col("n_gold"), F.lit(0.0))), 9).alias("coverage"), F.round(F.avg("n"), 9).alias("avg_chunks"),

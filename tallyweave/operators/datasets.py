@@ -14,7 +14,9 @@ def capped(df: DataFrame, caps: dict[str, int], by: str, seed: int, id_col: str
     """At most caps[value] rows of each value of `by`, in hash order; other values are dropped."""
     w = Window.partitionBy(by).orderBy(shuffled(seed, id_col), id_col)
     limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.try_element_at(limit, F.col(by))).drop("_n")
+    # the greatest cap first: Spark cuts each task's rows by it before the shuffle
+    near = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(caps.values()))
+    return near.where(F.col("_n") <= F.try_element_at(limit, F.col(by))).drop("_n")
 
 
 def dev_split(df: DataFrame, seed: int = 42, least: int = 500, share: float = 0.1, id_col: str = "id") -> DataFrame:
@@ -37,14 +39,15 @@ def replay_mix(new: DataFrame, old: DataFrame, cap: int, seed: int, id_col: str
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "name", order: str = "ordinal") -> DataFrame:
-    """One row a name: the one with the highest ordinal, new before old."""
+    """One row a name: the one with the highest ordinal, new before old; ties by the greater hash of the row."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(order))
+    w = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(order), F.desc(F.xxhash64(*both.columns)))
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """The row of each key with the highest order; ties by the greater hash of the row."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*df.columns)))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,34 @@ def ranked(scores: DataFrame, k: int, by: str = "query_id", order: list[Column]
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def blocks_of(rows: DataFrame, block: int) -> Iterator[list]:
+    """A stated query set in blocks; one block at a time is on the driver."""
+    part = []
+    for r in rows.toLocalIterator():
+        part.append(r)
+        if len(part) == block:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
+def containing(documents: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+    """documents (doc_id, text), passages (query_id, q) -> (query_id, doc_id) where the passage stands in the text, character by character.
+
+    A passage's inner pieces between spaces are whole in every text that holds it. So texts and passages are joined by the hash of the passage's first `words`
+    inner pieces, and only such pairs are compared. Passages with fewer pieces, a few, are looked for in all texts. Null texts and passages match nothing.
+    """
+    windows = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: i + words <= F.size(w)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
+    cut = passages.where("q is not null").select("query_id", "q", F.split("q", " ").alias("_w"))
+    anchored = cut.where(F.size("_w") >= words + 2).select("query_id", "q", F.xxhash64(*[F.get("_w", j + 1) for j in range(words)]).alias("_h"))
+    seen = documents.select("doc_id", F.explode(F.array_distinct(windows(F.split("text", " ")))).alias("_h"))
+    pairs = seen.join(anchored, "_h").select("doc_id", "query_id", "q").distinct()
+    found = documents.select("doc_id", "text").join(pairs, "doc_id").where(F.col("text").contains(F.col("q"))).select("query_id", "doc_id").distinct()
+    short = cut.where(F.size("_w") < words + 2).select("query_id", "q")
+    return found.union(documents.join(short, F.col("text").contains(F.col("q"))).select("query_id", "doc_id").distinct())
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
     """queries (query_id, sample_id, text), chunks (sample_id, chunk_id, text): top k chunks of the query's own sample.
 
@@ -41,10 +70,35 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b:
     return ranked(every.join(score, ["query_id", "chunk_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)), k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """queries (query_id, part, q), vectors (part, chunk_id, v): top k inner products within a part, in the JVM."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return ranked(queries.join(vectors, "part").select("query_id", "chunk_id", F.round(dot, 6).alias("score")), k)
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """queries (query_id, q), vectors (chunk_id, v): top k inner products of every query over all vectors; scores have six decimals.
+
+    Queries are a stated set, taken in blocks of `block` that go to every executor; vectors are read once a block, never shuffled. A task returns
+    the best k of a query in each of its batches. Null vectors, and those of another length than the block's first query, are not found.
+    """
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
+    out = None
+    for part in blocks_of(queries.select("query_id", "q").where("q is not null").orderBy("query_id"), block):
+        ids, held = [r[0] for r in part], vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in part], np.float64))
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, held=held) -> Iterator[pa.RecordBatch]:
+            asked = held.value
+            for b in batches:
+                fits = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(b.column(1)), asked.shape[1]), False)
+                b = b.filter(fits)
+                if not b.num_rows:
+                    continue
+                known, score = b.column(0), np.floor(asked @ b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64).T * 1e6 + 0.5) / 1e6
+                rows: list[tuple[int, int]] = []
+                for i, s in enumerate(score):
+                    at = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
+                    rows += [(i, j) for j in sorted(at.tolist(), key=lambda j: (-s[j], known[j].as_py()))[:k]]
+                q, c = np.array(rows).T
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), known.take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+
+        got = vectors.select("chunk_id", "v").mapInArrow(run, schema)
+        out = got if out is None else out.union(got)
+    return ranked(vectors.sparkSession.createDataFrame([], schema) if out is None else out, k)
 
 
 def rrf(lists: DataFrame, k: int = 20, c: int = 60) -> DataFrame:

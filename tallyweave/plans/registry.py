@@ -153,7 +153,9 @@ def reward_route(spark, d) -> DataFrame:
     return W.route_reward(df)
 
 
-@query()
+@query(f"""SELECT id, round(CASE WHEN id % 2 = 0 THEN CASE WHEN k = 4 THEN -0.90 WHEN id % 11 <> 0 THEN 1.20 ELSE 0.0 END WHEN k = 4 THEN -0.90
+ ELSE 0.15 + CASE WHEN id % 11 <> 0 THEN 0.10 ELSE -0.30 END + CASE WHEN k = 5 THEN -0.20 ELSE 0.05 END + CASE WHEN k = 5 THEN 0.0 WHEN w IS NOT NULL THEN 0.20 ELSE -0.30 END
+ + CASE WHEN {_scaled('w', 'false', GOLDS, 0.05)} THEN 1.0 ELSE 0.0 END + CASE WHEN {_scaled('w', 'false', GOLDS, 0.01)} THEN 0.5 ELSE 0.0 END + CASE WHEN abs(w) >= 1e-12 AND abs(g) >= 1e-12 AND sign(w) <> sign(g) THEN -0.20 ELSE 0.0 END END, 6) AS reward FROM {FACTS}""")
 def reward_mixed(spark, d) -> DataFrame:
     df = X.tool(spark, d).withColumns({"task_type": F.when(F.col("id") % 2 == 0, "route_replay").otherwise("program"), "gold_tool": F.lit("calculator")})
     return W.mixed_reward(df)
@@ -194,9 +196,8 @@ def error_attribution(spark, d) -> DataFrame:
 
 @query("SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0")
 def gold_contains(spark, d) -> DataFrame:
-    """The one theta join: passages of the query set within documents."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return table(spark, d, "documents").join(b, F.col("text").contains(F.col("q"))).select("query_id", "doc_id")
+    """Passages of the query set within documents."""
+    return R.containing(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
@@ -229,7 +230,7 @@ def chunk_windows(spark, d) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.word_windows(F.col("text"))).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(r"""SELECT doc_id, i AS chunk_index, array_to_string(list_slice(s, 2*i + 1, 2*i + 2), ' ') AS text FROM (SELECT doc_id, s, unnest(range(0, (len(s) + 1) // 2)) AS i FROM (SELECT doc_id, [trim(x) FOR x IN string_split(regexp_replace(trim(text), '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS s FROM documents) a) b""".replace("\\\\", "\\"))
 def chunk_sentences(spark, d) -> DataFrame:
     """Windows of two sentences, not overlapping."""
     s = T.sentences(F.col("text"))
@@ -265,15 +266,20 @@ def table_markdown(spark, d) -> DataFrame:
 
 
 def _lists(spark, d, dims: int, k: int = 20) -> DataFrame:
-    """Every hundredth vector as a query against all others of its label group's part."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, dims).alias("v"), (F.col("vec_id") % 5).alias("part"), "label")
-    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "part", F.col("v").alias("q"))
-    return R.dense_topk(q, e.select("part", F.col("vec_id").alias("chunk_id"), "v"), k)
+    """Every hundredth vector, the stated query set, against all vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.slice("embedding", 1, dims).alias("v"))
+    return R.dense_topk(e.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q")), e, k)
 
 
 def _duck_lists(dims: int, k: int = 20) -> str:
     return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id,
- round(list_inner_product(list_slice(q.embedding, 1, {dims})::DOUBLE[], list_slice(e.embedding, 1, {dims})::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 5 = e.vec_id % 5 WHERE q.vec_id % 100 = 0) s) r WHERE rank <= {k})"""
+ round(list_inner_product(list_slice(q.embedding, 1, {dims})::DOUBLE[], list_slice(e.embedding, 1, {dims})::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0) s) r WHERE rank <= {k})"""
+
+
+def _gold(spark, d, chunk: str = "chunk_id") -> DataFrame:
+    """What is relevant to a query: vectors of its label among the thousand ids around it."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 1000).alias("part"))
+    return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", chunk), ["label", "part"]).select("query_id", chunk)
 
 
 @query(f"SELECT query_id, chunk_id, score, rank FROM {_duck_lists(64, 10)} l")
@@ -299,16 +305,14 @@ def zscore_fusion(spark, d) -> DataFrame:
     return R.zscore_fusion(_lists(spark, d, 64), _lists(spark, d, 32))
 
 
-_GOLD = "(SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.vec_id % 5 = e.vec_id % 5 AND q.label = e.label WHERE q.vec_id % 100 = 0)"
+_GOLD = "(SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.vec_id // 1000 = e.vec_id // 1000 AND q.label = e.label WHERE q.vec_id % 100 = 0)"
 
 
 @query(f"""WITH g AS (SELECT * FROM {_GOLD} x), n AS (SELECT query_id, count(*) AS n_gold FROM g GROUP BY 1), h AS (SELECT l.query_id, l.rank FROM {_duck_lists(64)} l JOIN g USING (query_id, chunk_id)), k AS (SELECT unnest([1,3,5,10,20]) AS k),
 p AS (SELECT k, n.query_id, n_gold, count(rank) FILTER (rank <= k) AS h, coalesce(sum(CASE WHEN rank <= k THEN 1/log2(rank+1) END), 0.0) AS dcg, min(rank) AS first FROM n CROSS JOIN k LEFT JOIN h ON n.query_id = h.query_id GROUP BY 1,2,3)
 SELECT k, count(*) AS num_queries_with_gold, round(avg(CAST(h > 0 AS INT)), 9) AS recall, round(avg(CAST(h = n_gold AS INT)), 9) AS all_recall, round(avg(h / n_gold), 9) AS coverage, round(avg(dcg / list_sum([1/log2(i+1) FOR i IN range(1, least(n_gold, k) + 1)])), 9) AS ndcg, round(avg(coalesce(1.0::DOUBLE/first, 0.0)), 9) AS mrr FROM p GROUP BY k""")
 def retrieval_eval(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("part"))
-    gold = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", "chunk_id"), ["label", "part"]).select("query_id", "chunk_id")
-    return E.retrieval_metrics(_lists(spark, d, 64), gold)
+    return E.retrieval_metrics(_lists(spark, d, 64), _gold(spark, d))
 
 
 _TOK = "regexp_extract_all(lower({0}), '[a-z]+|\\d+(?:\\.\\d+)?|[%$]')"
@@ -404,7 +408,7 @@ def next_tool_rows(spark, d) -> DataFrame:
     return D.next_tool_rows(t, t.select("tool").distinct())
 
 
-@query()
+@query("""SELECT conv_id, len(m) AS n, to_json(m)::VARCHAR AS messages, coalesce(list_position([x['from'] FOR x IN m], 'gpt') - 1, len(m)) AS prefix FROM (SELECT conv_id, list({'from': CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, 'value': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id) c""")
 def chat_rows(spark, d) -> DataFrame:
     got = D.chat_rows(table(spark, d, "conversations"))
     return got.select("conv_id", F.size("messages").alias("n"), F.to_json("messages").alias("messages"), F.size(D.prompt_prefix(F.col("messages"))).alias("prefix"))
@@ -470,15 +474,13 @@ x AS (SELECT DISTINCT k, b, a, query_id, unnest(range(i - b, i + a + 1)) AS c FR
 q AS (SELECT k, b, a, x.query_id, count(*) AS s, count(g.chunk_id) AS h FROM x LEFT JOIN g ON g.query_id = x.query_id AND g.chunk_id = x.c GROUP BY 1,2,3,4)
 SELECT k, b AS before, a AS after, count(*) AS num_queries, round(avg(CAST(h > 0 AS INT)), 9) AS any_recall, round(avg(CAST(coalesce(h = n, false) AS INT)), 9) AS all_recall, round(avg(coalesce(h / n, 0.0)), 9) AS coverage, round(avg(s), 9) AS avg_chunks FROM q LEFT JOIN n USING (query_id) GROUP BY 1,2,3""")
 def evidence_grid(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("part"))
-    gold = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", "chunk_index"), ["label", "part"]).select("query_id", "chunk_index")
-    return A.evidence_grid(_lists(spark, d, 64).select("query_id", F.col("chunk_id").alias("chunk_index"), "rank"), gold, (5, 10, 15, 20), ((0, 0), (1, 1), (1, 2), (2, 2)))
+    lists = _lists(spark, d, 64).select("query_id", F.col("chunk_id").alias("chunk_index"), "rank")
+    return A.evidence_grid(lists, _gold(spark, d, "chunk_index"), (5, 10, 15, 20), ((0, 0), (1, 1), (1, 2), (2, 2)), table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
 
 
 @query(f"SELECT method, k, num_queries_with_gold, recall, all_recall, coverage, ndcg, mrr FROM (SELECT 'full' AS method, * FROM ({ORACLE_SQL['retrieval_eval']}) a UNION ALL SELECT 'half' AS method, * FROM ({ORACLE_SQL['retrieval_eval'].replace(_duck_lists(64), _duck_lists(32))}) b) t")
 def method_comparison(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("part"))
-    gold = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", "part").join(e.withColumnRenamed("vec_id", "chunk_id"), ["label", "part"]).select("query_id", "chunk_id")
+    gold = _gold(spark, d)
     one = lambda name, dims: E.retrieval_metrics(_lists(spark, d, dims), gold).withColumn("method", F.lit(name))
     return one("full", 64).unionByName(one("half", 32))
 
