@@ -150,7 +150,7 @@ def compact_usd(x: Column) -> Column:
 
 def tagged(text: Column, tag: str) -> Column:
     """What follows `<<<tag>>>:` up to the next tag."""
-    return F.trim(F.regexp_extract(text, rf"(?s)<<<{tag}>>>\s*:?(.*?)(?=<<<|\z)", 1))
+    return F.regexp_extract(text, rf"(?s)<<<{tag}>>>\s*:?\s*(.*?)\s*(?=<<<|\z)", 1)
 
 
 def coordinates(text: Column) -> Column:
@@ -189,3 +189,10 @@ def comparison(metrics: DataFrame, runs: DataFrame, names: list[str]) -> DataFra
     pct = lambda n: F.coalesce(F.format_string("%.2f", F.round(F.col(n) * 100, 2)), F.lit("-")).alias(n)
     shown = lambda n: F.when(F.col(n).isNull(), "-").otherwise(pct(n)).alias(n)
     return runs.join(wide, "run", "left").select("run", "title", *[shown(n) for n in names])
+
+
+def calculator_observation(runs: DataFrame) -> DataFrame:
+    """runs (id, run) of programs -> what the calculator tells: result as text, in billions, and the dollar forms; a failed run has its error alone."""
+    v, ok = F.col("run.result"), F.col("run.ok")
+    when = lambda c: F.when(ok, c)
+    return runs.select("id", ok.alias("ok"), when(v).alias("raw_result"), when(v / 1e9).alias("billion"), when(F.abs(v) / 1e9).alias("abs_billion"), when(compact_usd(v)).alias("formatted_usd"), when(compact_usd(F.abs(v))).alias("abs_formatted_usd"), "run.error")

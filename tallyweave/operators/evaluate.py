@@ -172,3 +172,56 @@ def trace_metrics(trace: DataFrame) -> DataFrame:
     """Per trace: steps, tools right at the first and at any step; then one row of means."""
     per = trace.groupBy("trace_id").agg(F.count("*").alias("steps"), F.count_if(F.col("gold_tool") == F.col("pred_tool")).alias("right"), F.count_distinct("gold_tool").alias("tools"))
     return per.agg(F.count("*").alias("traces"), F.round(F.avg("steps"), 9).alias("avg_steps"), F.round(F.sum("right") / F.sum("steps"), 9).alias("tool_accuracy"), F.round(F.avg(F.col("right") / F.col("steps")), 9).alias("avg_trace_accuracy"), F.max("tools").alias("max_tools"))
+
+
+def final_action(v: Column) -> tuple[Column, Column]:
+    """(answer, is a final action) of a parsed output; anything else has an empty answer."""
+    ok = T.is_object(v) & (T.field(v, "$.action") == "final")
+    return F.when(F.coalesce(ok, F.lit(False)), F.coalesce(T.field(v, "$.answer"), F.lit(""))).otherwise(""), F.coalesce(ok, F.lit(False))
+
+
+def candidate_metrics(preds: DataFrame) -> DataFrame:
+    """preds (gold, raw_tool) -> one row of rates over all rows, tool turn alone."""
+    return tool_parsed(preds).agg(F.count("*").alias("num_samples"), *_turn_rates())
+
+
+def _turn_rates() -> list[Column]:
+    c, hit = F.col, lambda tol: N.scaled_match(F.col("run.result"), None, F.col("gold"), tol)
+    return [
+        rate(c("tool_json_valid")).alias("tool_json_valid_rate"), rate(c("tool_name") == "calculator").alias("calculator_call_rate"), rate(F.trim("program") != "").alias("program_nonempty_rate"),
+        rate(c("run.ok")).alias("program_executable_rate"), rate(hit(0.01)).alias("scaled_execution_acc_at_1pct"), rate(hit(0.05)).alias("scaled_execution_acc_at_5pct"),
+    ]
+
+
+def controller_metrics(preds: DataFrame) -> DataFrame:
+    """preds (gold, raw_tool, raw_final) -> one row of both turns' rates, all over all rows."""
+    df = tool_parsed(preds).withColumn("_f", T.extract_json(F.col("raw_final")))
+    answer, ok = final_action(F.col("_f"))
+    df = df.withColumns({"final_answer": answer, "final_ok": ok})
+    last = lambda tol: N.scaled_match(N.extract_num(F.col("final_answer")), F.col("final_answer"), F.col("gold"), tol)
+    return df.agg(F.count("*").alias("num_samples"), *_turn_rates(), rate(F.col("final_ok")).alias("final_action_valid_rate"), rate(last(0.01)).alias("scaled_final_acc_at_1pct"), rate(last(0.05)).alias("scaled_final_acc_at_5pct"))
+
+
+def expected_tools(trace: DataFrame, expected: DataFrame) -> DataFrame:
+    """trace (task, step, tool), expected (task, tools) -> (task, called, hit): whether every expected tool was called; tasks without calls stay."""
+    called = trace.where("tool <> ''").groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "tool"))), lambda x: x["tool"]).alias("path"))
+    j = expected.join(called, "task", "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+    return j.select("task", F.array_join("path", ",").alias("called"), F.forall("tools", lambda t: F.array_contains("path", t)).alias("hit"))
+
+
+def selected_settings(grid: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows of an evidence grid that a report asks for, in its order; a setting that wasn't run is marked missing."""
+    asked = grid.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "place int, k int, before int, after int")
+    return asked.join(grid, ["k", "before", "after"], "left").select("place", "k", "before", "after", "any_recall", "coverage", F.col("num_queries").isNull().alias("missing"))
+
+
+def failure_flags(pairs: DataFrame) -> DataFrame:
+    """pairs (question, gold, pred, pred_program) of rows that a second run lost -> (flag, n); a row may have several flags."""
+    c, g, p = F.col, N.extract_num(F.col("gold")), N.extract_num(F.col("pred"))
+    ratio = F.lower("question")
+    flags = {
+        "question_percent": ratio.rlike("percent|percentage|rate|margin|growth"), "decimal_percent": c("gold").contains("%") & N.close(p * 100, g, 0.08),
+        "difference_not_ratio": ratio.rlike("percent|percentage|rate|growth") & c("pred_program").startswith("subtract("), "scale_large": (F.abs(g) > 1e6) & (F.abs(p / g) < 0.2), "blank": F.trim("pred") == "",
+    }
+    counts = pairs.agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in flags.items()])
+    return counts.select(F.stack(F.lit(len(flags)), *[x for k in flags for x in (F.lit(k), F.col(k))]).alias("flag", "n"))

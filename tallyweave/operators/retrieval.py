@@ -302,3 +302,40 @@ def gold_by_table(chunks: DataFrame, gold: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_divide(label, F.size("l")), F.lit(0.0))
     enough = ((share >= 0.6) & (nums >= 1)) | ((nums >= 2) & (both(F.col("t"), F.col("g")) >= 3)) | ((nums >= 1) & (both(F.array_union("l", "h"), F.col("g")) >= 2))
     return j.where(enough).select("sample_id", "chunk_id", "gold").distinct()
+
+
+def model_rerank(candidates: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
+    """candidates (query_id, chunk_id), scores (query_id, chunk_id, score) of a model -> top k by that score; candidates without one are left out."""
+    return ranked(candidates.select("query_id", "chunk_id").join(scores.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"]), k)
+
+
+def web_model_rerank(lexical: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
+    """lexical (query_id, chunk_id, score), scores of a model -> model score plus 0.05 of the lexical one, where there is none the lexical one; with the ranker's name."""
+    j = lexical.join(scores.select("query_id", "chunk_id", F.col("score").alias("model")), ["query_id", "chunk_id"], "left")
+    mixed = F.round(F.coalesce(F.col("model") + 0.05 * F.col("score"), F.col("score")), 6)
+    return ranked(j.select("query_id", "chunk_id", mixed.alias("score"), F.when(F.col("model").isNull(), "lexical").otherwise("model").alias("reranker")), k)
+
+
+def snippet_tokens(text: Column) -> Column:
+    """Letter and digit runs of a snippet in lower case, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def snippet_rerank(results: DataFrame, k: int = 10) -> DataFrame:
+    """results (query_id, chunk_id, query, title, body, href, rank): 3 title + body + 0.6 address overlap, phrase 4, domain 0.5 for official queries; ties by rank."""
+    q, low = snippet_tokens(F.col("query")), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    both = lambda c: F.size(F.array_intersect(q, snippet_tokens(F.col(c))))
+    phrase = F.when((F.trim(low("query")) != "") & F.concat_ws(" ", low("title"), low("body"), low("href")).contains(F.trim(low("query"))), 4.0).otherwise(0.0)
+    domain = F.when(low("query").contains("official") & low("href").rlike(r"\.com|\.org|docs\."), 0.5).otherwise(0.0)
+    score = F.round(3.0 * both("title") + both("body") + 0.6 * both("href") + phrase + domain, 4)
+    return ranked(results.withColumn("score", score), k, order=[F.desc("score"), F.asc("rank"), F.asc("chunk_id")]).select("query_id", "chunk_id", "score", "rank")
+
+
+def source_prior(results: DataFrame) -> DataFrame:
+    """results (query_id, chunk_id, query, title, href) plus prior: for official queries 6 for each term that is the host's name, 2 for one within it, 1 for an official title or address."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    host = F.replace(F.coalesce(F.nullif(F.regexp_extract(low("href"), "https?://([^/]+)", 1), F.lit("")), low("href")), F.lit("www."), F.lit(""))
+    terms = F.filter(snippet_tokens(F.col("query")), lambda t: ~t.isin("framework", "documentation"))
+    worth = lambda t: F.when(host.isin("") | t.isin(""), 0.0).when((host == F.concat(t, F.lit(".com"))) | (host == F.concat(t, F.lit(".org"))) | host.startswith(F.concat(t, F.lit("."))), 6.0).when(host.contains(t) & ~host.contains("doc"), 2.0).otherwise(0.0)
+    total = F.aggregate(F.transform(terms, worth), F.lit(0.0), lambda a, x: a + x) + F.when(low("title").contains("official") | low("href").contains("official"), 1.0).otherwise(0.0)
+    return results.select("query_id", "chunk_id", F.when(low("query").contains("official"), total).otherwise(0.0).alias("prior"))

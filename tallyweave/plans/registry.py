@@ -557,3 +557,6 @@ def gold_label_table(spark, d) -> DataFrame:
     rows = rows.withColumn("text", F.concat_ws(" ; ", "label", F.lit("quantity")))
     gold = orders.withColumn("gold", F.explode(F.array(*[F.lit(f"the line item {i} of the order") for i in (1, 2, 3)])))
     return R.gold_by_table(rows, gold).select("sample_id", "chunk_id").distinct()
+
+
+from . import reports  # noqa: E402, F401  registers its queries
