@@ -32,14 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> None:
+    """Three narrow columns, dealt out evenly: each row becomes texts that cost far more to score than to move."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).createOrReplaceTempView("fx_orders")
+
+
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions: right with percent sign, right as a ratio, sign flipped, ten times too large, no JSON, empty, unsupported, nested."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("fx_orders")
+    _orders(spark, sf_dir)
     return spark.sql(QA_SQL.replace("{orders}", "fx_orders"))
 
 
 def tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("fx_orders")
+    _orders(spark, sf_dir)
     return spark.sql(TOOL_SQL.replace("{qa}", QA_SQL.replace("{orders}", "fx_orders")))
 
 
