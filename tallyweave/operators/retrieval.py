@@ -41,7 +41,8 @@ def containing(documents: DataFrame, passages: DataFrame, words: int = 5) -> Dat
     windows = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: i + words <= F.size(w)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
     cut = passages.where("q is not null").select("query_id", "q", F.split("q", " ").alias("_w"))
     anchored = cut.where(F.size("_w") >= words + 2).select("query_id", "q", F.xxhash64(*[F.get("_w", j + 1) for j in range(words)]).alias("_h"))
-    seen = documents.select("doc_id", F.explode(F.array_distinct(windows(F.split("text", " ")))).alias("_h"))
+    # split once: bound by a one-element array, as the lambda looks at the pieces of each place
+    seen = documents.select("doc_id", F.explode(F.array_distinct(F.get(F.transform(F.array(F.split("text", " ")), windows), 0))).alias("_h"))
     pairs = seen.join(anchored, "_h").select("doc_id", "query_id", "q").distinct()
     found = documents.select("doc_id", "text").join(pairs, "doc_id").where(F.col("text").contains(F.col("q"))).select("query_id", "doc_id").distinct()
     short = cut.where(F.size("_w") < words + 2).select("query_id", "q")
