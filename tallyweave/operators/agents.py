@@ -196,3 +196,13 @@ def calculator_observation(runs: DataFrame) -> DataFrame:
     v, ok = F.col("run.result"), F.col("run.ok")
     when = lambda c: F.when(ok, c)
     return runs.select("id", ok.alias("ok"), when(v).alias("raw_result"), when(v / 1e9).alias("billion"), when(F.abs(v) / 1e9).alias("abs_billion"), when(compact_usd(v)).alias("formatted_usd"), when(compact_usd(F.abs(v))).alias("abs_formatted_usd"), "run.error")
+
+
+def cagr_traces(facts: DataFrame) -> DataFrame:
+    """facts (symbol, metric, period, value) -> yearly growth from the first to the last period of each: question, program, answer; one period or a first value of 0 or less: no row."""
+    ends = facts.groupBy("symbol", "metric").agg(F.min_by(F.struct("period", "value"), "period").alias("a"), F.max_by(F.struct("period", "value"), "period").alias("z"))
+    ends = ends.select("symbol", "metric", F.col("a.period").alias("since"), F.col("a.value").alias("first"), F.col("z.period").alias("until"), F.col("z.value").alias("last"), (F.col("z.period") - F.col("a.period")).alias("years")).where("years > 0 and first > 0")
+    text = lambda c: F.col(c).cast("string")
+    question = F.concat(F.lit("What was the yearly growth of "), "metric", F.lit(" of "), "symbol", F.lit(" from "), text("since"), F.lit(" to "), text("until"), F.lit("?"))
+    program = F.concat(F.lit("divide("), text("last"), F.lit(", "), text("first"), F.lit("), divide(1, "), text("years"), F.lit("), exp(#0, #1), subtract(#2, 1)"))
+    return ends.select("symbol", "metric", question.alias("question"), program.alias("program"), F.round(F.pow(F.col("last") / F.col("first"), 1.0 / F.col("years")) - 1, 6).alias("answer"))

@@ -108,12 +108,22 @@ def program_oracle(preds: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("num_samples"), rate(some).alias("program_parse_rate"), rate(F.col("run.ok")).alias("program_executable_rate"), rate(hit(0.01)).alias("scaled_at_1pct"), rate(hit(0.05)).alias("scaled_at_5pct"))
 
 
-def answer_override(preds: DataFrame) -> DataFrame:
-    """(id, answer, overridden): the executed value, at the scale nearest to gold, in place of the answer where the program runs."""
+def answer_override(preds: DataFrame, scale: str = "gold") -> DataFrame:
+    """(id, answer, overridden): the executed value in place of the answer where the program runs.
+
+    scale gold: at the scale nearest to gold; plain: as it is; answer: at the scale nearest to the model's own answer, whose percent sign stays.
+    """
     df = execute_programs(parsed(preds), "program", "run", "strict")
-    value = N.nearest_variant(F.col("run.result"), N.extract_num(F.col("gold")))
+    own = N.extract_num(F.col("answer"))
+    value = {"gold": N.nearest_variant(F.col("run.result"), N.extract_num(F.col("gold"))), "plain": F.col("run.result"), "answer": F.coalesce(N.nearest_variant(F.col("run.result"), own), F.col("run.result"))}[scale]
+    sign = F.when(F.col("answer").contains("%"), "%").otherwise("") if scale == "answer" else F.lit("")
     ran = (F.trim("program") != "") & F.col("run.ok")
-    return df.select("id", F.when(ran, N.format_number(value)).otherwise(F.col("answer")).alias("answer"), ran.alias("overridden"))
+    return df.select("id", F.when(ran, F.concat(N.format_number(value), sign)).otherwise(F.col("answer")).alias("answer"), ran.alias("overridden"))
+
+
+def examples(df: DataFrame, by: str, n: int, id_col: str = "id") -> DataFrame:
+    """The first n rows by id of each value of `by`: n is the report's. Spark cuts each task's rows before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(id_col))).where(F.col("_r") <= n).drop("_r")
 
 
 def candidate_status(preds: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.programs import execute_programs
 from ..operators import agents as A
 from ..operators import assembly as B
+from ..operators import datasets as D
 from ..operators import evaluate as E
 from ..operators import retrieval as R
 from . import fixtures as X
-from .registry import EXACT, FACTS, GOLDS, ORACLE_SQL, _close, _duck_lists, _lists, _rate, _scaled, evidence_grid, query, table
+from .registry import _STATUS, _YEARS, EXACT, FACTS, GOLDS, ORACLE_SQL, SCALES, _close, _duck_lists, _facts, _lists, _rate, _scaled, candidate_status, evidence_grid, query, table
 
 QUESTION = "concat(CASE id % 4 WHEN 0 THEN 'What is the percentage change' WHEN 1 THEN 'What is the total' WHEN 2 THEN 'What is the average amount' ELSE 'How much higher is line 2' END, ' of order ', CAST(id AS {string}), '?')"
 
@@ -345,3 +346,69 @@ def coordinates(spark, d) -> DataFrame:
 def canonical_args(spark, d) -> DataFrame:
     said = F.format_string('{"b": "%s",  "a": %d}', "o_orderstatus", "o_custkey")
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), A.canonical_args(said).alias("args"))
+
+
+# --- overrides, examples, recorded calls ------------------------------------------------------------------------------------
+
+_SHOWN = "round(CASE WHEN v IS NULL THEN x WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END, 2) + 0.0"
+
+
+def _override(spark, d, scale: str) -> DataFrame:
+    from ..functions import numeric as N
+
+    return E.answer_override(X.qa(spark, d), scale).select("id", "overridden", (F.round(N.extract_num(F.col("answer")), 2) + 0.0).alias("value"), F.col("answer").endswith("%").alias("percent"))
+
+
+@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS value, CASE WHEN v IS NULL THEN pct ELSE false END AS percent FROM (SELECT *, v AS u FROM {FACTS}) y")
+def answer_override_plain(spark, d) -> DataFrame:
+    return _override(spark, d, "plain")
+
+
+@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS value, pct AS percent FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_sort([{{'e': abs(s*v - x) / greatest(abs(x), 1e-6), 'm': abs(s*v), 'v': s*v}} FOR s IN {SCALES}])[1].v END AS u FROM {FACTS}) y")
+def answer_override_like(spark, d) -> DataFrame:
+    return _override(spark, d, "answer")
+
+
+@query(f"SELECT id, status FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY id) AS r FROM (SELECT id, {_STATUS} AS status FROM {FACTS}) s) t WHERE r <= 15")
+def status_examples(spark, d) -> DataFrame:
+    """Fifteen examples a class, as the report asks."""
+    return E.examples(candidate_status(spark, d), "status", 15)
+
+
+@query(f"SELECT symbol, metric, 'What was the yearly growth of ' || metric || ' of ' || symbol || ' from ' || a || ' to ' || z || '?' AS question, 'divide(' || l || ', ' || f || '), divide(1, ' || (z - a) || '), exp(#0, #1), subtract(#2, 1)' AS program, round(power(l / f, 1.0 / (z - a)) - 1, 6) AS answer FROM (SELECT symbol, metric, min(period) AS a, max(period) AS z, arg_min(value, period) AS f, arg_max(value, period) AS l FROM {_YEARS.replace('sum(o_totalprice)', 'sum(CAST(o_totalprice AS DECIMAL(18,2)))')} y GROUP BY 1, 2) t WHERE z > a AND f > 0")
+def cagr_traces(spark, d) -> DataFrame:
+    return A.cagr_traces(_facts(spark, d))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) t WHERE r = 1")
+def last_wins(spark, d) -> DataFrame:
+    return D.last_wins(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+_CALLS = "(SELECT event_id AS id, user_id AS conv_id, event_id AS turn, event_type AS tool, '{\"d\":' || (event_id % 5) || '}' AS args, event_type || '/' || event_id AS text FROM events)"
+
+
+@query(f"""WITH m AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM {_CALLS} c), o AS (SELECT tool, args, arg_max(seen, (conv_id, turn)) AS observation FROM m WHERE seen IS NOT NULL GROUP BY 1, 2), k AS (SELECT DISTINCT tool FROM o),
+q AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'none' ELSE tool END AS tool, '{{"d":' || (id % 7) || '}}' AS args FROM {_CALLS} c)
+SELECT q.id, o.observation, CASE WHEN k.tool IS NULL THEN 'unknown tool ' || q.tool WHEN o.observation IS NULL THEN 'no recorded observation' END AS error FROM q LEFT JOIN o ON o.tool = q.tool AND o.args = q.args LEFT JOIN k ON k.tool = q.tool""")
+def observation_replay(spark, d) -> DataFrame:
+    """Calls answered from the observations that recorded traces hold."""
+    e = table(spark, d, "events")
+    args = lambda n: F.format_string('{"d": %d}', F.col("event_id") % n)
+    said = e.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("tool"), args(5).alias("args"), F.concat_ws("/", "event_type", "event_id").alias("text"))
+    calls = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 == 0, "none").otherwise(F.col("event_type")).alias("tool"), args(7).alias("args"))
+    return A.replay_calls(calls, A.observation_cache(said)).select("id", "observation", "error")
+
+
+@query("""WITH q AS (SELECT c_custkey AS query_id, 'facts about ' || n_name AS query FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT o_custkey AS query_id, 'order/' || o_orderkey AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders),
+f AS (SELECT query_id, 'nation/' || n_nationkey AS url FROM q JOIN nation ON contains(lower(query), lower(n_name))), u AS (SELECT query_id, url, 0 AS late, 0 AS rank FROM f UNION ALL SELECT query_id, url, 1, rank FROM r)
+SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY late, rank, url) AS rank, late = 0 AS curated FROM u""")
+def alias_injection(spark, d) -> DataFrame:
+    """Pages of a nation go ahead of a customer's orders."""
+    from pyspark.sql import Window
+
+    n = table(spark, d, "nation")
+    q = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("facts about "), "n_name").alias("query"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("url"), rank.alias("rank"))
+    return R.alias_injection(q, r, n.select(F.col("n_name").alias("alias"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("url")))
