@@ -350,21 +350,22 @@ def canonical_args(spark, d) -> DataFrame:
 
 # --- overrides, examples, recorded calls ------------------------------------------------------------------------------------
 
-_SHOWN = "round(CASE WHEN v IS NULL THEN x WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END, 2) + 0.0"
+#: In hundredths, ties broken alike on both sides.
+_SHOWN = "CAST(floor((CASE WHEN v IS NULL THEN x WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END) * 100 + 0.500001) AS BIGINT)"
 
 
 def _override(spark, d, scale: str) -> DataFrame:
     from ..functions import numeric as N
 
-    return E.answer_override(X.qa(spark, d), scale).select("id", "overridden", (F.round(N.extract_num(F.col("answer")), 2) + 0.0).alias("value"), F.col("answer").endswith("%").alias("percent"))
+    return E.answer_override(X.qa(spark, d), scale).select("id", "overridden", F.floor(N.extract_num(F.col("answer")) * 100 + 0.500001).alias("cents"), F.col("answer").endswith("%").alias("percent"))
 
 
-@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS value, CASE WHEN v IS NULL THEN pct ELSE false END AS percent FROM (SELECT *, v AS u FROM {FACTS}) y")
+@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS cents, CASE WHEN v IS NULL THEN pct ELSE false END AS percent FROM (SELECT *, v AS u FROM {FACTS}) y")
 def answer_override_plain(spark, d) -> DataFrame:
     return _override(spark, d, "plain")
 
 
-@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS value, pct AS percent FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_sort([{{'e': abs(s*v - x) / greatest(abs(x), 1e-6), 'm': abs(s*v), 'v': s*v}} FOR s IN {SCALES}])[1].v END AS u FROM {FACTS}) y")
+@query(f"SELECT id, v IS NOT NULL AS overridden, {_SHOWN} AS cents, pct AS percent FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_sort([{{'e': abs(s*v - x) / greatest(abs(x), 1e-6), 'm': abs(s*v), 'v': s*v}} FOR s IN {SCALES}])[1].v END AS u FROM {FACTS}) y")
 def answer_override_like(spark, d) -> DataFrame:
     return _override(spark, d, "answer")
 
