@@ -1,10 +1,10 @@
 """Secret scan: base patterns plus sliding-window Shannon entropy, in built-in functions only.
 
 Candidates are maximal runs of 20 or more characters of [A-Za-z0-9+/_=-]. A candidate's character class
-(hexadecimal, alphanumeric, base64) sets the entropy that counts. The entropy of each window of 20 characters comes
+(digits, letters, hexadecimal, alphanumeric, base64, words with separators) sets the entropy that counts. The entropy of each window of 20 characters comes
 from the counts of the window before, by one character in and one out; f(c) = c log2 c is kept in integers, so that
-sums are exact. A candidate is reported whole if one of its windows reaches the threshold, unless the allow-list
-names it or a base span covers it.
+sums are exact. A candidate is reported whole if one of its windows reaches the threshold, unless
+a base span covers it. Of a candidate with a word of the allow-list only the parts between separators without such a word count.
 
 At scale: one pass over the texts, no shuffle. Only texts with a candidate enter the fold.
 """
@@ -28,8 +28,8 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window needs, by the candidate's class.
-BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: A candidate with one of these (lower case) inside is no secret.
+BITS = {"digits": 3.1, "letters": 4.0, "hex": 3.0, "alnum": 3.6, "base64": 3.8, "words": 3.9}
+#: Parts with one of these (lower case) inside are no secrets.
 ALLOWED = ("example", "placeholder", "changeme", "dummy", "redacted", "abcdefgh", "01234567", "xxxxxx", "000000")
 UNIT = 1_000_000_000
 TERMS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
@@ -75,29 +75,33 @@ def _least_sum(idx: Column) -> Column:
 def _limit(value: Column) -> Column:
     """The sum of f that a window may reach at most, by the class of the candidate; null: none of the classes."""
     most = {k: round(WINDOW * (math.log2(WINDOW) - b) * UNIT) for k, b in BITS.items()}
-    digit, letter = value.rlike("[0-9]"), value.rlike("[A-Za-z]")
+    mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
     return (
-        F.when(~(digit & letter), F.lit(None).cast("bigint"))
+        F.when(~value.rlike("[A-Za-z0-9]"), F.lit(None).cast("bigint"))
+        .when(value.rlike("^[0-9]+$"), F.lit(most["digits"]))
+        .when(value.rlike("^[A-Za-z]+$"), F.lit(most["letters"]))
         .when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(most["hex"]))
         .when(value.rlike("^[A-Za-z0-9]+$"), F.lit(most["alnum"]))
-        .when(value.rlike("[a-z]") & value.rlike("[A-Z]"), F.lit(most["base64"]))
+        .when(mixed, F.lit(most["base64"]))
+        .otherwise(F.lit(most["words"]))
     )
 
 
-def _allowed(value: Column) -> Column:
-    return F.lower(value).rlike("|".join(ALLOWED))
+def _allowed(value: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.lower(value).contains(w)) if words else F.lit(False)
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df plus `base` and `spans`: array<struct<start, kind, end>>, in order of start, kind, end. Null text: none."""
+def with_spans(df: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """df plus `base` and `spans`: array<struct<start, kind, end>>, in order of start, kind, end. Null text: none. allowed: the allow-list, in lower case."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(_runs(t, ASSIGN, 1), lambda x: F.char_length(x["value"]) >= 12)
     base = F.concat(F.transform(assign, _span(0)), F.transform(_runs(t, ACCESS), _span(1)), F.transform(_runs(t, HEX), _span(2)))
     df = df.withColumn("base", F.array_sort(base)).withColumn("_c", _runs(t, CANDIDATE))
-    df = df.withColumn("_c", F.filter("_c", lambda x: _limit(x["value"]).isNotNull() & ~_allowed(x["value"])))
     chars = lambda v: F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    df = df.withColumn("_c", F.transform("_c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _limit(x["value"]).alias("most"), chars(x["value"]).alias("idx"))))
-    df = df.withColumn("_c", F.filter("_c", lambda x: _least_sum(x["idx"]) <= x["most"]))
+    parts = lambda v: F.when(_allowed(v, allowed), F.filter(F.split(v, "[/=_-]"), lambda p: (F.char_length(p) >= WINDOW) & ~_allowed(p, allowed))).otherwise(F.array(v))
+    scored = lambda v: F.transform(F.filter(parts(v), lambda p: _limit(p).isNotNull()), lambda p: F.struct(_limit(p).alias("most"), chars(p).alias("idx")))
+    df = df.withColumn("_c", F.transform("_c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), scored(x["value"]).alias("parts"))))
+    df = df.withColumn("_c", F.filter("_c", lambda x: F.exists(x["parts"], lambda p: _least_sum(p["idx"]) <= p["most"])))
     free = F.filter("_c", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
     return df.withColumn("spans", F.array_sort(F.concat("base", F.transform(free, _span(3))))).drop("_c")
 
@@ -107,13 +111,13 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def secrets(docs: DataFrame) -> DataFrame:
+def secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """One row per row of docs: doc_id, counts of the base kinds, digest of the base spans, all spans.
 
     Null and empty texts have no spans (digest of the empty string). Repeated rows stay repeated; an empty table gives
     no row; further columns are ignored.
     """
-    df = with_spans(docs.select("doc_id", "text"))
+    df = with_spans(docs.select("doc_id", "text"), allowed=allowed)
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return df.select("doc_id", n(0), n(1), n(2), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
