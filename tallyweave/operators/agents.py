@@ -72,7 +72,7 @@ def tool_rows(preds: DataFrame, instruction: str) -> DataFrame:
 def mixed_pairs(candidates: DataFrame, caps: dict[str, int], seed: int) -> DataFrame:
     """candidates (id, status, raw, gold_call) -> preference pairs: wrong ones against the gold call, right ones against a direct answer."""
     kind = F.when(F.col("status") == "scaled_correct", "anchor").otherwise("wrong")
-    rejected = F.when(F.col("kind") == "anchor", F.lit('{"action": "final", "answer": "direct answer"}')).when(F.trim("raw") == "", F.lit("{}")).otherwise(F.col("raw"))
+    rejected = F.when(F.col("kind") == "anchor", F.lit('{"action": "final", "answer": "direct answer"}')).when(F.trim("raw") == "", F.lit('{"action":"final","answer":""}')).otherwise(F.col("raw"))
     df = candidates.withColumn("kind", kind).withColumn("rejected", rejected).where(F.col("rejected") != F.col("gold_call"))
     return capped(df, caps, "kind", seed).select("id", "kind", F.col("gold_call").alias("chosen"), "rejected")
 

@@ -559,4 +559,4 @@ def gold_label_table(spark, d) -> DataFrame:
     return R.gold_by_table(rows, gold).select("sample_id", "chunk_id").distinct()
 
 
-from . import reports  # noqa: E402, F401  registers its queries
+from . import actions, reports  # noqa: E402, F401  register their queries
