@@ -1,5 +1,7 @@
 """The registered queries on the smallest tables, those with SQL against DuckDB, and the pipeline."""
 
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -18,7 +20,8 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{DATA}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet{'/*.parquet' if Path(f'{DATA}/{t}.parquet').is_dir() else ''}'")
     assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(con.sql(queries.ORACLE_SQL[name]).df())
 
 
