@@ -26,6 +26,12 @@ def all_numbers(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(NUMBER + "%?"), F.lit(0))
 
 
+def last_number(text: Column) -> Column:
+    """The last number of a text, commas dropped; none: null."""
+    found = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(NUMBER), F.lit(0))
+    return F.get(found, F.size(found) - 1).try_cast("double")
+
+
 def normalize_number(text: Column) -> Column:
     """A calculator operand: constants, currency, percent, brackets for minus, exponents; finite or null."""
     t = F.btrim(F.trim(text), F.lit("\"'"))
@@ -84,12 +90,16 @@ def nearest_variant(value: Column, gold: Column) -> Column:
 
 
 def format_number(x: Column, digits: int = 10) -> Column:
-    """Shortest plain form: whole numbers from 1000 on without point, else `digits` significant digits without end zeros."""
-    size = F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300))))
-    power = F.pow(F.lit(10.0), digits - 1 - size)
-    sig = F.round(x * power) / power
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", sig), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(x.isNull(), "").when((F.abs(x) >= 1000) & (F.abs(x - F.round(x)) < 1e-6), F.round(x).cast("decimal(38,0)").cast("string")).otherwise(plain)
+    """Whole numbers from 1000 on without point, else `digits` significant digits without end zeros, with an exponent below 1e-4 and from 10^digits on.
+
+    Null gives the empty string; infinite values and NaN their names.
+    """
+    s = F.format_string(f"%.{digits - 1}e", x)
+    mantissa, power = F.regexp_replace(F.regexp_extract(s, "^([^e]*)e", 1), r"\.?0+$", ""), F.regexp_extract(s, r"e([+-]\d+)$", 1)
+    size = F.when(power != "", power).try_cast("int")
+    plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    other = F.when(size.isNull(), x.cast("string")).when((size < -4) | (size >= digits), F.concat(mantissa, F.lit("e"), power)).when(F.abs(x) == 0, "0").otherwise(plain)
+    return F.when(x.isNull(), "").when((F.abs(x) >= 1000) & (F.abs(x - F.round(x)) < 1e-6), F.coalesce(F.round(x).try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x))).otherwise(other)
 
 
 def printed(value: Column) -> Column:

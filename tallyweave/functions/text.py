@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 # Stop words of the web tokenizer.
 STOP = tuple("a an and are as be by for from in is it of on or that the then to use what with how much many difference between please search find".split())
@@ -67,6 +67,11 @@ def bm25_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]+|\d+(?:\.\d+)?|[%$]"), F.lit(0))
 
 
+def signed_tokens(text: Column) -> Column:
+    """Words and numbers with their signs and percent signs, in order, repeats kept."""
+    return F.regexp_extract_all(F.lower(squeeze(F.coalesce(text, F.lit("")))), F.lit(r"[a-z]+|[-+]?\d+(?:\.\d+)?%?"), F.lit(0))
+
+
 def web_tokens(text: Column) -> Column:
     """Words and numbers of two or more characters, stop words out, each once."""
     t = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9][a-z0-9_+.$%-]*"), F.lit(0))
@@ -141,3 +146,39 @@ def category(question: Column, classes: tuple = CLASSES_7) -> Column:
         hit = q.rlike("|".join(marks))
         out = out.when(hit, name)
     return out.otherwise("other")
+
+
+# Substrings that mark a hard question or program.
+HARD_KEYWORDS = ("percent", "percentage", "rate", "ratio", "margin", "average", "change", "increase", "decrease", "growth", "cagr", "return", "divided", "per")
+
+
+def hard_keyword(question: Column, program: Column) -> Column:
+    """Whether the question or the program has a hard keyword in it; null counts as empty."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return low(question).rlike("|".join(HARD_KEYWORDS)) | low(program).rlike("|".join(HARD_KEYWORDS))
+
+
+# Words that the ranking of search results leaves out.
+RANK_STOP = ("a", "an", "and", "are", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "then", "to", "use", "what", "with", "look", "up", "summarize", "official")
+
+
+def rank_tokens(text: Column) -> Column:
+    """Words of a search result in order, repeats kept: two characters or more, stop words out."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9_+-]*"), F.lit(0))
+    return F.filter(found, lambda t: (F.char_length(t) > 1) & ~t.isin(*RANK_STOP))
+
+
+def coalesced(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of the fields `names` (a dot leads into a struct) that df has and that isn't null; none: null."""
+    have: list[Column] = []
+    for name in names:
+        at, kind = name.split("."), df.schema
+        for part in at:
+            kind = kind[part].dataType if isinstance(kind, StructType) and part in kind.names else None
+        if kind is not None:
+            have.append(F.col(name).cast("string"))
+    return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+
+# Where predictions keep their text, gold answer and id.
+PREDICTION_KEYS = ("prediction", "raw_output", "response", "output", "model_output")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import ast
 import json
-import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, DoubleType
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from .datasets import capped
@@ -70,13 +69,28 @@ def tool_rows(preds: DataFrame, instruction: str) -> DataFrame:
 
 
 def mixed_pairs(candidates: DataFrame, caps: dict[str, int], seed: int) -> DataFrame:
-    """candidates (id, status, raw, gold_call) -> preference pairs: wrong ones against the gold call, right ones against a direct answer."""
+    """candidates (id, status, raw, gold_call, gold) -> preference pairs: wrong ones against the gold call, right ones against the gold answer said directly."""
     kind = F.when(F.col("status") == "scaled_correct", "anchor").otherwise("wrong")
-    rejected = F.when(F.col("kind") == "anchor", F.lit('{"action": "final", "answer": "direct answer"}')).when(F.trim("raw") == "", F.lit('{"action":"final","answer":""}')).otherwise(F.col("raw"))
-    df = candidates.withColumn("kind", kind).withColumn("rejected", rejected).where(F.col("rejected") != F.col("gold_call"))
+    rejected = F.when(F.col("kind") == "anchor", direct_answer(F.col("gold"))).when(F.trim("raw") == "", F.lit('{"action":"final","answer":""}')).otherwise(F.trim("raw"))
+    df = candidates.withColumn("kind", kind).withColumn("rejected", rejected)
     return capped(df, caps, "kind", seed).select("id", "kind", F.col("gold_call").alias("chosen"), "rejected")
 
 
+def direct_answer(answer: Column) -> Column:
+    """A final action as its writer spaces it."""
+    said = F.to_json(F.array(F.coalesce(answer, F.lit(""))))
+    return F.concat(F.lit('{"action": "final", "answer": '), F.substring(said, F.lit(2), F.length(said) - 2), F.lit("}"))
+
+
+def replay_pairs(turns: DataFrame, cap: int, seed: int) -> DataFrame:
+    """turns (id, chosen) of other sources -> up to `cap` pairs in hash order: a tool call against a call of the wrong tool, another answer against an empty one."""
+    v = T.extract_json(F.col("chosen"))
+    call = T.is_object(v) & (T.field(v, "$.action") == "tool_call") & T.is_object(F.try_variant_get(v, "$.tool_call", "variant"))
+    rejected = F.when(F.coalesce(call, F.lit(False)), F.lit('{"action": "tool_call", "tool_call": {"name": "web_search", "arguments": {"query": ""}}}')).otherwise(direct_answer(F.lit("")))
+    kept = capped(turns.where("chosen <> ''").withColumn("kind", F.lit("replay")), {"replay": cap}, "kind", seed)
+    return kept.select("id", "kind", "chosen", rejected.alias("rejected"))
+
+
 def repair_rows(runs: DataFrame) -> DataFrame:
     """runs (id, question, program, run): a prompt for each program that is missing or fails."""
     why = F.when(F.trim("program") == "", F.lit("The program is missing.")).otherwise(F.concat(F.lit("The program failed: "), "run.error", F.lit(".")))
@@ -95,45 +109,13 @@ def api_arguments(text: pd.Series) -> pd.Series:
     def one(s: str | None) -> str | None:
         try:
             call = ast.parse(s[s.index("[") + 1 : s.rindex("]")].strip(), mode="eval").body
-            return json.dumps({k.arg: ast.literal_eval(k.value) for k in call.keywords}, sort_keys=True)
-        except (ValueError, SyntaxError, AttributeError, TypeError):
+            return json.dumps({k.arg: ast.literal_eval(k.value) for k in call.keywords}, sort_keys=True, allow_nan=False)
+        except (ValueError, SyntaxError, AttributeError, TypeError, RecursionError, MemoryError):
             return json.dumps({"raw": s})
 
     return text.map(one)
 
 
-BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod}
-CALLS = {"abs": abs, "min": min, "max": max, "round": round, "sum": lambda *x: sum(x)}
-
-
-@F.pandas_udf(DoubleType())
-def infix_value(expression: pd.Series) -> pd.Series:
-    """Value of an arithmetic expression of numbers, + - * / ** %, signs and a few calls; anything else: null."""
-
-    def value(n: ast.AST) -> float:
-        if isinstance(n, ast.Constant) and type(n.value) in (int, float):
-            return float(n.value)
-        if isinstance(n, ast.BinOp) and type(n.op) in BINARY:
-            left, right = value(n.left), value(n.right)
-            if isinstance(n.op, ast.Pow) and abs(right) > 64:
-                raise ValueError
-            return float(BINARY[type(n.op)](left, right))
-        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.USub, ast.UAdd)):
-            return value(n.operand) * (-1 if isinstance(n.op, ast.USub) else 1)
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in CALLS and not n.keywords:
-            return float(CALLS[n.func.id](*map(value, n.args)))
-        raise ValueError
-
-    def one(s: str | None) -> float | None:
-        try:
-            x = value(ast.parse(s.replace(",", ""), mode="eval").body) if "(" not in s else value(ast.parse(s, mode="eval").body)
-            return x if abs(x) < float("inf") else None
-        except (ValueError, SyntaxError, TypeError, ZeroDivisionError, OverflowError, AttributeError, RecursionError):
-            return None
-
-    return expression.map(one).astype("float64")
-
-
 def amount(text: Column) -> Column:
     """Dollars in `$1.2 Trillion`, `Billion` or `Million`; no such amount: null."""
     number = F.regexp_extract(text, r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*(trillion|billion|million)", 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.programs import bound
 from .datasets import shuffled
 
 # Words of a question that asks for a ratio, and words that make a program question hard.
@@ -45,6 +46,23 @@ def report_chunks(reports: DataFrame) -> DataFrame:
     return reports.select(F.col("id").alias("sample_id"), F.inline(every)).where("text <> ''")
 
 
+def windowed_chunks(reports: DataFrame, sentences: int = 2) -> DataFrame:
+    """reports (id, pre_text, rows, post_text) -> (sample_id, ordinal, chunk_type, text): windows of sentences of each paragraph, then table rows as `header: value` parts.
+
+    ordinal counts a report's chunks on, blank ones left out. Null arrays have no chunks; a row of another width than the header, and the header itself, has its cells alone.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(dict(reports.dtypes)[c]))
+    cut = lambda s: F.transform(F.filter(F.transform(s, lambda x, i: i), lambda i: i % sentences == 0), lambda i: F.array_join(F.slice(s, i + 1, F.lit(sentences)), " "))
+    chunk = lambda kind: lambda x: F.struct(F.lit(kind).alias("chunk_type"), x.alias("text"))
+    lines = lambda c: F.transform(F.flatten(F.transform(some(c), lambda p: F.get(F.transform(F.array(T.sentences(p)), cut), 0))), chunk(c))
+    header = F.coalesce(F.get("rows", 0), F.array().cast("array<string>"))
+    pairs = lambda r: F.array_join(F.zip_with(header, r, lambda h, v: F.concat(h, F.lit(": "), v)), " | ")
+    row = lambda r, i: F.when(i == 0, F.array_join(r, " | ")).otherwise(F.when(F.size(r) == F.size(header), pairs(r)).otherwise(F.array_join(r, " | ")))
+    table = F.transform(some("rows"), lambda r, i: F.struct(F.when(i == 0, "table_header").otherwise("table_row").alias("chunk_type"), row(r, i).alias("text")))
+    every = F.filter(F.concat(lines("pre_text"), lines("post_text"), table), lambda x: F.trim(x["text"]) != "")
+    return reports.select(F.col("id").alias("sample_id"), F.posexplode(every).alias("ordinal", "c")).select("sample_id", F.col("ordinal").cast("long").alias("ordinal"), "c.chunk_type", "c.text")
+
+
 def gold_by_ordinal(chunks: DataFrame, gold: DataFrame, least: int = 12) -> DataFrame:
     """chunks (sample_id, ordinal, text), gold (sample_id, gold) -> chunks plus is_gold: a gold of digits names the ordinal, one of `least` characters contains or is contained."""
     g = gold.groupBy("sample_id").agg(F.collect_set(T.norm_corpus(F.col("gold"))).alias("_g"))
@@ -159,7 +177,7 @@ def zipped(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def number_text(x: Column) -> Column:
     """Whole numbers without point, others with six significant digits and no end zeros."""
-    return F.when(F.abs(x - F.round(x)) < 1e-9, F.round(x).cast("decimal(38,0)").cast("string")).otherwise(N.format_number(x, 6))
+    return F.when(F.abs(x - F.round(x)) < 1e-9, F.coalesce(F.round(x).try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x))).otherwise(N.format_number(x, 6))
 
 
 def subtract_only(program: Column, question: Column) -> tuple[Column, Column]:
@@ -169,11 +187,19 @@ def subtract_only(program: Column, question: Column) -> tuple[Column, Column]:
     return F.when(asked, F.concat(F.lit("subtract("), a, F.lit(", "), b, F.lit(")"))), F.when(asked, number_text(a.try_cast("double") - b.try_cast("double")))
 
 
-def ladder(rows: DataFrame, most_words: int = 2000) -> DataFrame:
-    """rows (id, question, gold, gold_program, raw_output, json_ok, answer) plus category and decision, the first rung that holds; rejected where one is kept.
+def dumped(*fields: tuple[str, Column]) -> Column:
+    """A JSON object of strings with the writer's blanks after colons and commas; null counts as empty."""
+    quoted = lambda v: bound(F.to_json(F.array(F.coalesce(v, F.lit("")))), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+    parts = [x for name, v in fields for x in (F.lit(f'{", " if name != fields[0][0] else ""}"{name}": '), quoted(v))]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
 
-    Wrong answers are kept unless without JSON, not numeric, a near miss, a decimal for a percentage or too long; for right ones the
-    difference alone is made where a ratio was asked for.
+def ladder(rows: DataFrame, most_words: int = 2000, prompt: str | None = None, gold_text: str | None = None) -> DataFrame:
+    """rows (id, question, gold, gold_program, raw_output, json_ok, answer, program) plus category and decision, the first rung that holds; rejected where one is kept.
+
+    A gold message without JSON (gold_text, where it is given) is left out first. Wrong answers are kept unless without JSON, not numeric, a near miss, a decimal for a percentage or too
+    long; for right ones the difference alone is made where a ratio was asked for, unless too long. Too long: the words of prompt (where it is given) with those of gold or of
+    the rejected text are over most_words. rejected is JSON made anew of program and answer.
     """
     c, close = F.col, N.numeric_match
     rows = rows.withColumns({"_p": N.extract_num(c("answer")), "_g": N.extract_num(c("gold")), "category": T.category(c("question"))})
@@ -182,13 +208,19 @@ def ladder(rows: DataFrame, most_words: int = 2000) -> DataFrame:
     right = (T.norm_answer(c("answer")) == T.norm_answer(c("gold"))) | close(c("answer"), c("gold"), 0.05)
     made = c("_sa").isNotNull() & (T.norm_answer(c("_sa")) != T.norm_answer(c("gold"))) & ~close(c("_sa"), c("gold"), 0.05)
     decimal = c("gold").contains("%") & N.close(c("_p") * 100, c("_g"), 0.08)
+    rows = rows.withColumns({"_wr": dumped(("program", c("program")), ("answer", c("answer"))), "_sr": dumped(("program", c("_sp")), ("answer", c("_sa")))})
+    n_words = lambda x: F.size(F.filter(F.split(T.squeeze(F.coalesce(x, F.lit(""))), " "), lambda w: w != ""))
+    asked = n_words(c(prompt)) if prompt else F.lit(0)
+    gold_said = c(gold_text) if gold_text else dumped(("program", c("gold_program")), ("answer", c("gold")))
+    long = lambda said: asked + F.greatest(n_words(gold_said), n_words(said)) > most_words
     wrong = (
         F.when(~c("json_ok"), "wrong_skip_invalid_json").when(c("_p").isNull() | c("_g").isNull(), "wrong_skip_non_numeric").when(close(c("answer"), c("gold"), 0.10), "wrong_skip_near_miss")
-        .when(decimal, "wrong_skip_decimal_percent_equiv").when(F.size(F.split(T.squeeze(c("raw_output")), " ")) > most_words, "wrong_skip_too_long").otherwise("wrong_keep")
+        .when(decimal, "wrong_skip_decimal_percent_equiv").when(long(c("_wr")), "wrong_skip_too_long").otherwise("wrong_keep")
     )
-    rows = rows.withColumn("decision", F.when(~right, wrong).when(made, "synthetic_keep").otherwise("right_skip"))
-    rejected = F.when(c("decision") == "wrong_keep", c("raw_output")).when(c("decision") == "synthetic_keep", F.to_json(F.struct(c("_sp").alias("program"), c("_sa").alias("answer"))))
-    return rows.withColumn("rejected", rejected).drop("_p", "_g", "_sp", "_sa")
+    bad_gold = ~T.is_object(T.extract_json(c(gold_text))) if gold_text else F.lit(False)
+    rows = rows.withColumn("decision", F.when(bad_gold, "bad_gold_json").when(~right, wrong).when(made & long(c("_sr")), "synthetic_skip_too_long").when(made, "synthetic_keep").otherwise("right_skip"))
+    rejected = F.when(c("decision") == "wrong_keep", c("_wr")).when(c("decision") == "synthetic_keep", c("_sr"))
+    return rows.withColumn("rejected", rejected).drop("_p", "_g", "_sp", "_sa", "_wr", "_sr")
 
 
 def balanced_pairs(laddered: DataFrame, most: int = 180) -> DataFrame:
@@ -205,3 +237,39 @@ def pair_profile(pairs: DataFrame) -> DataFrame:
     j = T.is_object(T.extract_json(F.col("rejected")))
     chosen = F.coalesce(T.field(T.extract_json(F.col("chosen")), "$.answer"), F.lit("")).contains("%")
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.lower(said).rlike("|".join(RATIO_WORDS)) | said.contains("%")).alias("percent_like"), F.count_if(chosen).alias("chosen_percent"), F.count_if(j).alias("rejected_json"), F.count_if(~j).alias("rejected_invalid"))
+
+
+def trace_chats(paths: DataFrame, pool: DataFrame, questions: DataFrame, instruction: str, distractors: int = 10, seed: int = 42) -> DataFrame:
+    """paths (trace_id, step, tool), pool (tool), questions (trace_id, question) -> (trace_id, turn, role, content): system, the task with candidate tools, then path_traces().
+
+    Candidates are the path's tools and `distractors` others of the pool, drawn without replacement: the pool stands in hash order once, and a trace takes a cyclic slice from a place
+    of its own, less the path; so nothing is sorted per trace but its few candidates. A pool of fewer others gives all of them. The pool is the tool registry, sent as one row.
+    """
+    h = lambda *parts: F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
+    ring = pool.where("tool is not null").select("tool").distinct().agg(F.transform(F.array_sort(F.collect_list(F.struct(h("tool").alias("h"), "tool"))), lambda x: x["tool"]).alias("ring"))
+    per = paths.groupBy("trace_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("step", "tool"))), lambda x: x["tool"])).alias("own"))
+    rows = per.join(questions, "trace_id", "left").crossJoin(F.broadcast(ring))
+    trace = F.col("trace_id").cast("string")
+    first = F.pmod(F.conv(F.substring(h(trace), 1, 8), 16, 10).cast("long"), F.greatest(F.size("ring"), F.lit(1)).cast("long")).cast("int")
+    many = F.least(F.size("ring"), F.size("own") + distractors)
+    cut = F.slice(F.concat("ring", "ring"), first + 1, many)
+    others = F.slice(F.array_except(cut, "own"), 1, distractors)
+    names = F.transform(F.array_sort(F.transform(F.concat("own", others), lambda t: F.struct(h(trace, t).alias("h"), t.alias("t")))), lambda x: F.concat(F.lit("- "), x["t"]))
+    task = F.concat(F.lit("Complete this task by selecting tools step by step.\n\nSample id: "), trace, F.lit("\n\nTask conversation:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nCandidate tools:\n"), F.array_join(names, "\n"))
+    opening = rows.select("trace_id", F.posexplode(F.array(message("system", F.lit(instruction)), message("user", task))).alias("turn", "m")).select("trace_id", "turn", "m.role", "m.content")
+    return opening.union(path_traces(paths).select("trace_id", F.col("turn") + 2, "role", "content"))
+
+
+def capped_turn_prompts(chats: DataFrame, cap: int, seed: int) -> DataFrame:
+    """chats (trace_id, turn, role, content) -> (trace_id, turn, gold_tool, gold_output, prompt): `cap` assistant turns that call a tool, in hash order, each with the messages before it.
+
+    The turns are chosen before messages are gathered, so only their traces are.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trace_id").cast("string"), F.col("turn").cast("string")).cast("binary"))
+    turns = turn_prompts(chats).select("trace_id", "turn", "gold_tool").orderBy(key, "trace_id", "turn").limit(cap)
+    own = chats.join(turns.select("trace_id").distinct(), "trace_id", "left_semi")
+    said = own.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("said"))
+    rows = turns.join(said, "trace_id")
+    before = F.transform(F.filter("said", lambda m: m["turn"] < F.col("turn")), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    gold = F.get(F.filter("said", lambda m: m["turn"] == F.col("turn")), 0)["content"]
+    return rows.select("trace_id", "turn", "gold_tool", gold.alias("gold_output"), before.alias("prompt"))

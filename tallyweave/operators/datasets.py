@@ -91,16 +91,12 @@ def next_tool_rows(traces: DataFrame, pool: DataFrame, distractors: int = 8, see
     return rows.select("trace_id", "pos", "gold_tool", F.array_join(F.slice("path", F.lit(1), F.col("pos")), ",").alias("previous"), F.array_join(cands, ",").alias("candidates"))
 
 
-def hard_set(rows: DataFrame, caps: dict[str, int], total: int, seed: int = 7) -> DataFrame:
-    """rows (id, wrong, focus, anchor flags): wrong ones first, then focus, then anchors, each up to its cap, one reason an id; `total` at most."""
-    reason = F.when(F.col("wrong"), "wrong").when(F.col("focus"), "focus").when(F.col("anchor"), "anchor")
-    tagged = rows.withColumn("reason", reason).where("reason is not null")
-    kept = capped(tagged, caps, "reason", seed)
-    order = F.when(F.col("reason") == "wrong", 0).when(F.col("reason") == "focus", 1).otherwise(2)
-    return kept.orderBy(order, shuffled(seed), "id").limit(total).select("id", "reason")
-
-
 def repair_merge(base: DataFrame, repairs: DataFrame) -> DataFrame:
     """base (id, program), repairs (id, program, ok): executable repairs replace the program."""
     good = repairs.where("ok").select("id", F.col("program").alias("new"))
     return base.join(good, "id", "left").select("id", F.coalesce("new", "program").alias("program"), F.col("new").isNotNull().alias("repaired"))
+
+
+def usable(rows: DataFrame, source: str) -> DataFrame:
+    """rows (source, answer, program) of one source that have an answer and a program; null and empty ones go."""
+    return rows.where((F.col("source") == source) & (F.coalesce("answer", F.lit("")) != "") & (F.coalesce("program", F.lit("")) != ""))

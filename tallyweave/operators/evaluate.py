@@ -235,3 +235,56 @@ def failure_flags(pairs: DataFrame) -> DataFrame:
     }
     counts = pairs.agg(*[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in flags.items()])
     return counts.select(F.stack(F.lit(len(flags)), *[x for k in flags for x in (F.lit(k), F.col(k))]).alias("flag", "n"))
+
+
+def error_report(preds: DataFrame, gold: DataFrame, evidence: DataFrame) -> DataFrame:
+    """preds (id, correct), gold and evidence (id, chunk) -> a row an id: correct, gold_n, missing_n and key, what an example of it is filed under.
+
+    Without gold: no_gold_label; all gold in the evidence: correct or wrong_but_all_gold; else correct_with_missing_gold or wrong_and_missing_gold.
+    """
+    g = gold.distinct().join(evidence.distinct().withColumn("_e", F.lit(1)), ["id", "chunk"], "left").groupBy("id").agg(F.count("*").alias("gold_n"), F.count_if(F.col("_e").isNull()).alias("missing_n"))
+    j = preds.join(g, "id", "left").fillna(0, ["gold_n", "missing_n"])
+    key = F.when(F.col("gold_n") == 0, "no_gold_label").when(F.col("missing_n") == 0, F.when(F.col("correct"), "correct").otherwise("wrong_but_all_gold")).otherwise(F.when(F.col("correct"), "correct_with_missing_gold").otherwise("wrong_and_missing_gold"))
+    return j.withColumn("key", key)
+
+
+def error_counts(report: DataFrame) -> DataFrame:
+    """error_report() -> (label, n, rate): counts that overlap, and their percentage of all rows with two decimals."""
+    key, some = F.col("key"), F.col("gold_n") > 0
+    labels = {
+        "correct": F.col("correct"), "wrong": ~F.col("correct"), "no_gold_label": ~some, "all_gold_in_evidence": some & (F.col("missing_n") == 0), "missing_gold": some & (F.col("missing_n") > 0),
+        "wrong_but_all_gold": key == "wrong_but_all_gold", "wrong_and_missing_gold": key == "wrong_and_missing_gold", "correct_with_missing_gold": key == "correct_with_missing_gold",
+    }
+    one = report.agg(F.count("*").alias("total"), *[F.count_if(v).alias(k) for k, v in labels.items()])
+    rows = one.select("total", F.stack(F.lit(len(labels)), *[x for k in labels for x in (F.lit(k), F.col(k))]).alias("label", "n"))
+    return rows.select("label", "n", F.round(F.try_divide(F.col("n"), F.col("total")) * 100, 2).alias("rate"))
+
+
+def lost_flags(both: DataFrame) -> DataFrame:
+    """both (question, gold, a_ok, b_ok, b_answer, b_program) of two runs -> (flag, n) over the rows that the first has right and the second wrong; a row may have several flags."""
+    lost = both.where("a_ok and not b_ok").select("question", "gold", F.col("b_answer").alias("pred"), F.col("b_program").alias("pred_program"))
+    percent = lost.agg(F.count_if(F.col("gold").contains("%")).alias("n")).select(F.lit("gold_percent").alias("flag"), "n")
+    return percent.union(failure_flags(lost))
+
+
+def profile(df: DataFrame, shown: int = 40) -> DataFrame:
+    """(column, type, rows, nulls, distinct, example) of a table's columns in one scan: values are counted by their hash, the example is the least text of `shown` characters."""
+    columns = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"`{c}`").cast("string").alias("v")) for c, t in df.dtypes if not t.startswith(("map", "variant"))])
+    values = df.select(F.inline(columns)).groupBy("column", "type", F.md5(F.col("v").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min(F.substring("v", 1, shown)).alias("least"))
+    return values.groupBy("column", "type").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("h").alias("distinct"), F.min("least").alias("example"))
+
+
+def agent_metrics(steps: DataFrame, golds: DataFrame) -> DataFrame:
+    """steps (trace_id, turn, raw, tool_ok) of agents, golds (trace_id, gold) -> one row: completed traces, steps with JSON, tool calls that went well, final answers close to gold.
+
+    A trace is completed if a step is a final action; the last one's answer counts, by its last number. Rates of answers and completion are over all of golds; a trace without steps counts as not completed.
+    """
+    v = T.extract_json(F.col("raw"))
+    df = steps.withColumn("_v", v).withColumns({"json": T.is_object(F.col("_v")), "action": F.coalesce(T.field(F.col("_v"), "$.action"), F.lit(""))})
+    answer, final = final_action(F.col("_v"))
+    tool = F.col("action") == "tool_call"
+    per = df.withColumns({"answer": F.when(final, F.struct("turn", answer.alias("a"))), "tool": tool}).groupBy("trace_id").agg(F.count("*").alias("steps"), F.count_if("json").alias("json"), F.count_if("tool").alias("tools"), F.count_if(F.col("tool") & F.coalesce("tool_ok", F.lit(False))).alias("tools_ok"), F.max("answer").alias("answer"))
+    j = golds.join(per, "trace_id", "left").fillna(0, ["steps", "json", "tools", "tools_ok"])
+    hit = lambda tol: N.close(N.last_number(F.col("answer.a")), N.last_number(F.col("gold")), tol)
+    share = lambda a, b: F.round(F.try_divide(F.sum(a), F.sum(b)), 9)
+    return j.agg(F.count("*").alias("num_samples"), rate(F.col("answer").isNotNull()).alias("completion_rate"), share("json", "steps").alias("json_valid_step_rate"), share("tools_ok", "tools").alias("tool_success_rate"), rate(hit(0.01)).alias("final_numeric_acc_1pct"), rate(hit(0.05)).alias("final_numeric_acc_5pct"))

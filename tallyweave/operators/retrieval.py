@@ -49,13 +49,13 @@ def containing(documents: DataFrame, passages: DataFrame, words: int = 5) -> Dat
     return found.union(documents.join(short, F.col("text").contains(F.col("q"))).select("query_id", "doc_id").distinct())
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, tokens=T.bm25_tokens) -> DataFrame:
     """queries (query_id, sample_id, text), chunks (sample_id, chunk_id, text): top k chunks of the query's own sample.
 
     Statistics are the sample's own; a negative idf is eps times the mean idf of the sample's vocabulary; repeated query
     terms count repeatedly; chunks without a term score 0 and are ranked too. Statistics come from one aggregation, not one index a query.
     """
-    tok = chunks.select("sample_id", "chunk_id", T.bm25_tokens(F.col("text")).alias("t"))
+    tok = chunks.select("sample_id", "chunk_id", tokens(F.col("text")).alias("t"))
     size = tok.select("sample_id", "chunk_id", F.size("t").alias("len"))
     stats = size.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     tf = tok.select("sample_id", "chunk_id", F.explode("t").alias("term")).groupBy("sample_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
@@ -63,7 +63,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b:
     idf = tf.groupBy("sample_id", "term").agg(F.count("*").alias("df")).join(stats, "sample_id").withColumn("raw", raw)
     mean = idf.groupBy("sample_id").agg(F.avg("raw").alias("mean"))
     idf = idf.join(mean, "sample_id").select("sample_id", "term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    q = queries.select("query_id", "sample_id", F.explode(T.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "sample_id", "term").agg(F.count("*").alias("qtf"))
+    q = queries.select("query_id", "sample_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "sample_id", "term").agg(F.count("*").alias("qtf"))
     hit = q.join(idf, ["sample_id", "term"]).join(tf, ["sample_id", "term"]).join(size, ["sample_id", "chunk_id"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     score = hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -120,6 +120,14 @@ def zscore_fusion(a: DataFrame, b: DataFrame, k: int = 20, weight: float = 0.5)
     return ranked(both.select("query_id", "chunk_id", F.round(weight * F.coalesce("za", F.lit(0.0)) + (1 - weight) * F.coalesce("zb", F.lit(0.0)), 6).alias("score")), k)
 
 
+def score_fusion(a: DataFrame, b: DataFrame, k: int = 40) -> DataFrame:
+    """a, b (query_id, chunk_id, score): sum of both z-scores over the candidates of either side, where one that a side lacks has score 0 there; population deviation, below 1e-8: 0."""
+    both = a.select("query_id", "chunk_id", F.col("score").alias("a")).join(b.select("query_id", "chunk_id", F.col("score").alias("b")), ["query_id", "chunk_id"], "full").fillna(0.0, ["a", "b"])
+    w = Window.partitionBy("query_id")
+    z = lambda c: F.when(F.stddev_pop(c).over(w) < 1e-8, 0.0).otherwise((F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w))
+    return ranked(both.select("query_id", "chunk_id", F.round(z("a") + z("b"), 6).alias("score")), k)
+
+
 def lexical_rerank(candidates: DataFrame, k: int = 10) -> DataFrame:
     """candidates (query_id, chunk_id, query, text, chunk_type): overlap + 0.7 number overlap + bonus for table rows and headers."""
     q, t = F.array_distinct(T.bm25_tokens(F.col("query"))), F.array_distinct(T.bm25_tokens(F.col("text")))
@@ -130,9 +138,9 @@ def lexical_rerank(candidates: DataFrame, k: int = 10) -> DataFrame:
     return ranked(candidates.select("query_id", "chunk_id", F.round(score, 6).alias("score")), k)
 
 
-def fused_rerank(candidates: DataFrame, k: int = 10) -> DataFrame:
+def fused_rerank(candidates: DataFrame, k: int = 10, tokens=T.bm25_tokens) -> DataFrame:
     """candidates (query_id, chunk_id, query, text, score): coverage of the query's tokens plus 0.05 of the fused score."""
-    q, t = F.array_distinct(T.bm25_tokens(F.col("query"))), F.array_distinct(T.bm25_tokens(F.col("text")))
+    q, t = F.array_distinct(tokens(F.col("query"))), F.array_distinct(tokens(F.col("text")))
     return ranked(candidates.select("query_id", "chunk_id", F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + 0.05 * F.col("score"), 6).alias("score")), k)
 
 
@@ -236,24 +244,30 @@ def word_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return out.select("query_id", F.col("a.used").alias("used"), F.posexplode("a.kept").alias("pos", "chunk_id"))
 
 
-def token_budget(candidates: DataFrame, budget: int) -> DataFrame:
+def token_budget(candidates: DataFrame, budget: int, length: Column | None = None) -> DataFrame:
     """candidates (query_id, rank, unit, chunk_id, tokens): a unit (candidate and neighbours) is taken whole if all its new chunks fit.
 
-    Order-dependent with de-duplication inside, so a pandas group a query; a query's candidates are few.
+    length: what a chunk costs, any Column of candidates (default: tokens). Units go by their least rank, ties by unit; a chunk named twice in a unit counts once,
+    with its greatest length. A fold over a query's short list of units, with the chunks taken so far in its state.
     """
+    kinds = dict(candidates.dtypes)
+    chunks = candidates.withColumn("_n", (F.col("tokens") if length is None else length).cast("long")).groupBy("query_id", "unit", "chunk_id").agg(F.max("_n").alias("n"), F.min("rank").alias("rank"))
+    units = chunks.groupBy("query_id", "unit").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("chunk_id", "n"))).alias("items"))
+    pair = f"array<struct<chunk_id:{kinds['chunk_id']},unit:{kinds['unit']}>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(pair).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = F.filter(x["items"], lambda i: ~F.exists(a["out"], lambda o: o["chunk_id"] == i["chunk_id"]))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        used, seen, out = 0, set(), []
-        for unit, rows in pdf.sort_values(["rank", "unit", "chunk_id"]).groupby("unit", sort=False):
-            new = [(c, t) for c, t in zip(rows.chunk_id, rows.tokens, strict=True) if c not in seen]
-            if used + sum(t for _, t in new) <= budget:
-                used += sum(t for _, t in new)
-                seen.update(c for c, _ in new)
-                out += [(key[0], c, unit) for c, _ in new]
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "unit"])
+        def take(new: Column) -> Column:
+            used = a["used"] + F.aggregate(new, F.lit(0).cast("long"), lambda s, i: s + F.coalesce(i["n"], F.lit(0).cast("long")))
+            more = F.transform(new, lambda i: F.struct(i["chunk_id"].alias("chunk_id"), x["unit"].alias("unit")))
+            return F.when(used <= budget, F.struct(used.alias("used"), F.concat(a["out"], more).alias("out"))).otherwise(a)
 
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, unit {kinds['unit']}")
+        return F.get(F.transform(F.array(new), take), 0)
+
+    order = F.array_sort(F.collect_list(F.struct("rank", "unit", "items")))
+    return units.groupBy("query_id").agg(F.aggregate(order, start, step).alias("a")).select("query_id", F.inline("a.out"))
 
 
 def alias_injection(queries: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -317,15 +331,10 @@ def web_model_rerank(lexical: DataFrame, scores: DataFrame, k: int = 10) -> Data
     return ranked(j.select("query_id", "chunk_id", mixed.alias("score"), F.when(F.col("model").isNull(), "lexical").otherwise("model").alias("reranker")), k)
 
 
-def snippet_tokens(text: Column) -> Column:
-    """Letter and digit runs of a snippet in lower case, each once."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-
-
 def snippet_rerank(results: DataFrame, k: int = 10) -> DataFrame:
     """results (query_id, chunk_id, query, title, body, href, rank): 3 title + body + 0.6 address overlap, phrase 4, domain 0.5 for official queries; ties by rank."""
-    q, low = snippet_tokens(F.col("query")), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    both = lambda c: F.size(F.array_intersect(q, snippet_tokens(F.col(c))))
+    q, low = T.rank_tokens(F.col("query")), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    both = lambda c: F.size(F.array_intersect(q, T.rank_tokens(F.col(c))))
     phrase = F.when((F.trim(low("query")) != "") & F.concat_ws(" ", low("title"), low("body"), low("href")).contains(F.trim(low("query"))), 4.0).otherwise(0.0)
     domain = F.when(low("query").contains("official") & low("href").rlike(r"\.com|\.org|docs\."), 0.5).otherwise(0.0)
     score = F.round(3.0 * both("title") + both("body") + 0.6 * both("href") + phrase + domain, 4)
@@ -333,10 +342,10 @@ def snippet_rerank(results: DataFrame, k: int = 10) -> DataFrame:
 
 
 def source_prior(results: DataFrame) -> DataFrame:
-    """results (query_id, chunk_id, query, title, href) plus prior: for official queries 6 for each term that is the host's name, 2 for one within it, 1 for an official title or address."""
+    """results (query_id, chunk_id, query, title, href) plus prior: for official queries 6 for each term (repeats count) that is the host's name, 2 for one within it, 1 for an official title or address."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     host = F.replace(F.coalesce(F.nullif(F.regexp_extract(low("href"), "https?://([^/]+)", 1), F.lit("")), low("href")), F.lit("www."), F.lit(""))
-    terms = F.filter(snippet_tokens(F.col("query")), lambda t: ~t.isin("framework", "documentation"))
-    worth = lambda t: F.when(host.isin("") | t.isin(""), 0.0).when((host == F.concat(t, F.lit(".com"))) | (host == F.concat(t, F.lit(".org"))) | host.startswith(F.concat(t, F.lit("."))), 6.0).when(host.contains(t) & ~host.contains("doc"), 2.0).otherwise(0.0)
+    terms = F.filter(T.rank_tokens(F.col("query")), lambda t: ~t.isin("framework", "documentation"))
+    worth = lambda t: F.when((host == F.concat(t, F.lit(".com"))) | (host == F.concat(t, F.lit(".org"))) | host.startswith(F.concat(t, F.lit("."))), 6.0).when(host.contains(t) & ~host.contains("doc"), 2.0).otherwise(0.0)
     total = F.aggregate(F.transform(terms, worth), F.lit(0.0), lambda a, x: a + x) + F.when(low("title").contains("official") | low("href").contains("official"), 1.0).otherwise(0.0)
     return results.select("query_id", "chunk_id", F.when(low("query").contains("official"), total).otherwise(0.0).alias("prior"))

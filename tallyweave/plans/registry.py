@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.infix import infix_value
 from ..operators import agents as A
 from ..operators import datasets as D
 from ..operators import evaluate as E
@@ -96,7 +97,7 @@ def op_counts(spark, d) -> DataFrame:
     return E.operator_counts(X.qa(spark, d))
 
 
-@query(f"SELECT id, v IS NOT NULL AS overridden, round(CASE WHEN v IS NULL THEN x WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END, 2) + 0.0 AS value FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_sort([{{'e': abs(s*v - g) / greatest(abs(g), 1e-6), 'm': abs(s*v), 'v': s*v}} FOR s IN {SCALES}])[1].v END AS u FROM {FACTS}) y")
+@query(f"SELECT id, v IS NOT NULL AS overridden, round(CASE WHEN v IS NULL THEN x WHEN u <> 0 AND abs(u) < 1e-4 THEN round(u / power(10.0, floor(log10(abs(u)))), 9) WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END, 2) + 0.0 AS value FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_sort([{{'e': abs(s*v - g) / greatest(abs(g), 1e-6), 'm': abs(s*v), 'v': s*v}} FOR s IN {SCALES}])[1].v END AS u FROM {FACTS}) y")
 def answer_override(spark, d) -> DataFrame:
     return E.answer_override(X.qa(spark, d)).select("id", "overridden", (F.round(N.extract_num(F.col("answer")), 2) + 0.0).alias("value"))
 
@@ -342,10 +343,15 @@ def word_budget(spark, d) -> DataFrame:
     return got.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT query_id, rank, chunk_id AS unit, unnest([chunk_id - 5, chunk_id, chunk_id + 5]) AS c FROM {_duck_lists(64)} x),
+u AS MATERIALIZED (SELECT query_id, unit, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), unit) AS rn, list({{'c': c, 't': 20 + ((c % 50) + 50) % 50}} ORDER BY c) AS items FROM l GROUP BY query_id, unit),
+r AS (SELECT query_id, unit, rn, CASE WHEN list_sum([i.t FOR i IN items]) <= 600 THEN list_sum([i.t FOR i IN items]) ELSE 0 END::BIGINT AS used, CASE WHEN list_sum([i.t FOR i IN items]) <= 600 THEN [i.c FOR i IN items] ELSE [] END AS seen, CASE WHEN list_sum([i.t FOR i IN items]) <= 600 THEN [i.c FOR i IN items] ELSE [] END AS took FROM u WHERE rn = 1
+ UNION ALL SELECT query_id, unit, rn, CASE WHEN fits THEN used + cost ELSE used END, CASE WHEN fits THEN list_concat(seen, fresh) ELSE seen END, CASE WHEN fits THEN fresh ELSE [] END
+ FROM (SELECT *, used + cost <= 600 AS fits FROM (SELECT u.query_id, u.unit, u.rn, r.used, r.seen, [i.c FOR i IN items IF NOT list_contains(r.seen, i.c)] AS fresh, coalesce(list_sum([i.t FOR i IN items IF NOT list_contains(r.seen, i.c)]), 0)::BIGINT AS cost FROM r JOIN u ON u.query_id = r.query_id AND u.rn = r.rn + 1) a) b)
+SELECT query_id, unnest(took) AS chunk_id, unit FROM r""")
 def token_budget_pack(spark, d) -> DataFrame:
     units = _lists(spark, d, 64).select("query_id", "rank", F.col("chunk_id").alias("unit"), F.explode(F.array(F.col("chunk_id") - 5, F.col("chunk_id"), F.col("chunk_id") + 5)).alias("chunk_id"))
-    return R.token_budget(units.withColumn("tokens", 20 + F.pmod("chunk_id", F.lit(50))), 600)
+    return R.token_budget(units.withColumn("tokens", F.lit(0)), 600, length=20 + F.pmod("chunk_id", F.lit(50)))
 
 
 @query(f"""WITH p AS (SELECT query_id, chunk_id AS i, rank FROM {_duck_lists(64, 5)} l), x AS (SELECT p.query_id, p.i + d AS chunk_index, rank, abs(d) AS far, d FROM p CROSS JOIN (SELECT unnest([-1,0,1]) AS d) s), c AS (SELECT vec_id FROM embeddings),
@@ -369,15 +375,6 @@ def replay_mix(spark, d) -> DataFrame:
     return D.replay_mix(o.where("o_orderstatus = 'O'").select("id"), o.select("id"), 900, 43)
 
 
-_CAPS = {"scaled_wrong": 1800, "scaled_correct": 1200, "wrong_tool": 800}
-
-
-@query(f"SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY md5(concat('27:', CAST(id AS VARCHAR))), id) AS r FROM (SELECT id, {_STATUS} AS status FROM {FACTS}) s) t WHERE (status = 'scaled_wrong' AND r <= 1800) OR (status = 'scaled_correct' AND r <= 1200) OR (status = 'wrong_tool' AND r <= 800)")
-def reward_set(spark, d) -> DataFrame:
-    """Caps are the mixture's own sizes."""
-    return D.capped(candidate_status(spark, d), _CAPS, "status", 27)
-
-
 @query(f"SELECT id, to_json({{'answer': gold}})::VARCHAR AS chosen, raw_output AS rejected FROM {FACTS} WHERE NOT {_close('x', 'g', 0.05)}")
 def pref_pairs(spark, d) -> DataFrame:
     df = E.parsed(X.qa(spark, d)).withColumn("correct", N.numeric_match(F.col("answer"), F.col("gold"), 0.05))
@@ -402,7 +399,9 @@ def repair_merge(spark, d) -> DataFrame:
     return D.repair_merge(base.select("id", F.lit("kept").alias("program")), repairs)
 
 
-@query()
+@query(f"""WITH t AS MATERIALIZED (SELECT trace_id, step, gold_tool AS tool FROM {X.DUCK_TRACE} t0), a AS (SELECT list(DISTINCT tool) AS pool FROM t), p AS (SELECT trace_id, list(tool ORDER BY step, tool) AS path FROM t GROUP BY 1),
+o AS (SELECT trace_id, path, [x.t FOR x IN list_sort([{{'h': md5(concat('42:', trace_id, q)), 't': q}} FOR q IN pool IF NOT list_contains(path, q)])][1:8] AS others FROM p, a)
+SELECT trace_id, i AS pos, path[i + 1] AS gold_tool, array_to_string(path[1:i], ',') AS previous, array_to_string(list_sort(list_concat(list_distinct(path), others)), ',') AS candidates FROM (SELECT *, unnest(range(0, len(path))) AS i FROM o) r""")
 def next_tool_rows(spark, d) -> DataFrame:
     t = X.trace(spark, d).select("trace_id", "step", F.col("gold_tool").alias("tool"))
     return D.next_tool_rows(t, t.select("tool").distinct())
@@ -453,13 +452,6 @@ def toolcall_rows(spark, d) -> DataFrame:
     return A.tool_rows(df, "Use the calculator.").select("id", F.inline("messages"))
 
 
-@query(f"""SELECT id, kind, chosen, rejected FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(concat('26:', CAST(id AS VARCHAR))), id) AS r FROM (SELECT id, CASE WHEN {_STATUS} = 'scaled_correct' THEN 'anchor' ELSE 'wrong' END AS kind, gold AS chosen,
-CASE WHEN {_STATUS} = 'scaled_correct' THEN '{{"action": "final", "answer": "direct answer"}}' ELSE raw_output END AS rejected FROM {FACTS}) s) t WHERE (kind = 'wrong' AND r <= 3200) OR (kind = 'anchor' AND r <= 1600)""")
-def pairs_mixed(spark, d) -> DataFrame:
-    c = E.candidate_status(X.tool(spark, d)).select("id", "status").join(X.qa(spark, d).select("id", F.col("raw_output").alias("raw"), F.col("gold").alias("gold_call")), "id")
-    return A.mixed_pairs(c, {"wrong": 3200, "anchor": 1600}, 26)
-
-
 @query(f"SELECT id, CASE WHEN k = 6 THEN 'table_sum(' || a || ', none)' WHEN k = 7 THEN 'nested' ELSE '' END AS what FROM {FACTS} WHERE k >= 4")
 def repair_rows(spark, d) -> DataFrame:
     from ..functions.programs import execute_programs
@@ -493,12 +485,6 @@ def comparison_table(spark, d) -> DataFrame:
     return A.comparison(metrics, runs, ["rate"])
 
 
-@query(f"SELECT id, reason FROM (SELECT id, reason FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY md5(concat('7:', CAST(id AS VARCHAR))), id) AS r FROM (SELECT id, CASE WHEN NOT {_S5} THEN 'wrong' WHEN id % 3 = 0 THEN 'focus' ELSE 'anchor' END AS reason FROM {FACTS}) s) t WHERE (reason = 'wrong' AND r <= 1500) OR (reason = 'focus' AND r <= 650) OR (reason = 'anchor' AND r <= 350) ORDER BY CASE reason WHEN 'wrong' THEN 0 WHEN 'focus' THEN 1 ELSE 2 END, md5(concat('7:', CAST(id AS VARCHAR))), id LIMIT 2500) u")
-def hard_set(spark, d) -> DataFrame:
-    s = scaled_match(spark, d)
-    return D.hard_set(s.select("id", (~F.col("s5")).alias("wrong"), (F.col("id") % 3 == 0).alias("focus"), F.lit(True).alias("anchor")), {"wrong": 1500, "focus": 650, "anchor": 350}, 2500)
-
-
 @query(f"""SELECT * FROM (SELECT item_id || ':' || doc_id AS query_id, chunk_id, score, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT item_id, doc_id, chunk_index AS chunk_id,
  round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, t))::DOUBLE / len(q) + 0.7 * coalesce(len([x FOR x IN list_intersect(q, t) IF regexp_matches(x, '[0-9]')])::DOUBLE / nullif(len([x FOR x IN q IF regexp_matches(x, '[0-9]')]), 0), 0.0) + CASE WHEN chunk_index = 0 THEN 0.03 ELSE 0.08 END END, 6) AS score
  FROM (SELECT b.item_id, d.doc_id, c.chunk_index, list_distinct({_TOK.format('b.text')}) AS q, list_distinct({_TOK.format('c.text')}) AS t FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0 JOIN {X.DUCK_CHUNKS} c ON c.sample_id = d.doc_id) z) y) w WHERE rank <= 10""")
@@ -521,9 +507,9 @@ def web_retrieval(spark, d) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, round((CAST(round(o_totalprice) AS BIGINT) - o_custkey) / 7.0::DOUBLE + 3 * power(2, 3), 6) AS value FROM orders")
 def infix_eval(spark, d) -> DataFrame:
-    """Distinct expressions run once in Arrow batches, then join back."""
+    """Expressions parsed and run in the JVM, where their rows are."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.format_string("(%d - %d) / 7 + 3 * 2 ** 3", F.round("o_totalprice").cast("long"), "o_custkey").alias("e"))
-    return o.join(o.select("e").distinct().withColumn("value", F.round(A.infix_value("e"), 6)), "e").select("id", "value")
+    return o.select("id", F.round(infix_value(F.col("e")), 6).alias("value"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE round(CAST(round(o_totalprice) AS BIGINT) * power(10, 6 + 3 * (o_orderkey % 4)), 0) END AS usd FROM orders")
@@ -559,4 +545,4 @@ def gold_label_table(spark, d) -> DataFrame:
     return R.gold_by_table(rows, gold).select("sample_id", "chunk_id").distinct()
 
 
-from . import actions, reports  # noqa: E402, F401  register their queries
+from . import actions, analyses, mixtures, reports  # noqa: E402, F401  register their queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.programs import execute_programs
 from ..operators import agents as A
 from ..operators import assembly as B
@@ -196,7 +197,7 @@ def filter_ladder(spark, d) -> DataFrame:
 
 
 _PAIRS = f"""(SELECT id, category, decision, '{{"program":"subtract(' || a || ', ' || b || '), divide(#0, ' || b || ')","answer":"' || gold || '"}}' AS chosen,
- CASE WHEN decision = 'wrong_keep' THEN raw_output ELSE '{{"program":"subtract(' || a || ', ' || b || ')","answer":"' || (a - b) || '"}}' END AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM {_LADDER} l WHERE decision LIKE '%keep') k WHERE r <= 180)"""
+ CASE WHEN decision = 'wrong_keep' THEN raw_output ELSE '{{"program": "subtract(' || a || ', ' || b || ')", "answer": "' || (a - b) || '"}}' END AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM {_LADDER} l WHERE decision LIKE '%keep') k WHERE r <= 180)"""
 
 
 @query(f"SELECT * FROM {_PAIRS} p")
@@ -305,23 +306,30 @@ def web_model_rerank(spark, d) -> DataFrame:
     return R.web_model_rerank(_lists(spark, d, 32), _lists(spark, d, 64))
 
 
-_SNIPPETS = "(SELECT page_id // 10 AS query_id, page_id AS chunk_id, 'official example the documentation' AS query, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS body, url AS href, page_id % 10 AS rank FROM pages)"
-_WORDS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
+_SNIPPETS = f"(SELECT page_id // 10 AS query_id, page_id AS chunk_id, 'Official ' || b.text AS query, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, x.text AS body, url AS href, page_id % 10 AS rank FROM pages JOIN ({ORACLE_SQL['html_strip']}) x USING (page_id) JOIN benchmark b ON b.item_id = (page_id // 10) % (SELECT count(*) FROM benchmark))"
+# The words that the ranking leaves out.
+_STOPPED = ", ".join(f"'{w}'" for w in "a an and are as be by for from in is it of on or that the then to use what with look up summarize official".split())
+_ALL = "[t FOR t IN regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9][a-z0-9_+-]*') IF length(t) > 1 AND t NOT IN (" + _STOPPED.replace("{", "{{") + ")]"
+_WORDS = f"list_distinct({_ALL})"
 
 
 def _snippets(spark, d) -> DataFrame:
+    """Pages as results, ten a query; queries are the benchmark's items in turn."""
+    items = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Official "), "text").alias("query"))
+    n = items.count()
     part = lambda tag: F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1)
-    return table(spark, d, "pages").select(F.floor(F.col("page_id") / 10).alias("query_id"), F.col("page_id").alias("chunk_id"), F.lit("official example the documentation").alias("query"), part("title").alias("title"), part("h1").alias("body"), F.col("url").alias("href"), (F.col("page_id") % 10).alias("rank"))
+    pages = table(spark, d, "pages").withColumn("query_id", F.floor(F.col("page_id") / 10))
+    return pages.join(items, F.col("query_id") % n == F.col("item_id")).select("query_id", F.col("page_id").alias("chunk_id"), "query", part("title").alias("title"), T.strip_tags(F.col("html")).alias("body"), F.col("url").alias("href"), (F.col("page_id") % 10).alias("rank"))
 
 
 @query(f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r, chunk_id) AS rank FROM (SELECT query_id, chunk_id, rank AS r, round(3.0 * len(list_intersect({_WORDS.format('query')}, {_WORDS.format('title')})) + len(list_intersect({_WORDS.format('query')}, {_WORDS.format('body')})) + 0.6 * len(list_intersect({_WORDS.format('query')}, {_WORDS.format('href')}))
- + CASE WHEN contains(lower(concat_ws(' ', title, body, href)), query) THEN 4.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower(href), '\\.com|\\.org|docs\\.') THEN 0.5 ELSE 0.0 END, 4)::DOUBLE AS score FROM {_SNIPPETS} s) t""")
+ + CASE WHEN contains(lower(concat_ws(' ', title, body, href)), trim(lower(query))) THEN 4.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower(href), '\\.com|\\.org|docs\\.') THEN 0.5 ELSE 0.0 END, 4)::DOUBLE AS score FROM {_SNIPPETS} s) t""")
 def snippet_rerank(spark, d) -> DataFrame:
     """Ten results a query, all kept."""
     return R.snippet_rerank(_snippets(spark, d))
 
 
-@query(f"""SELECT query_id, chunk_id, (list_sum([CASE WHEN host = t || '.com' OR host = t || '.org' OR starts_with(host, t || '.') THEN 6.0 WHEN contains(host, t) AND NOT contains(host, 'doc') THEN 2.0 ELSE 0.0 END FOR t IN ['official', 'example', 'the']]) + CASE WHEN contains(lower(title), 'official') OR contains(lower(href), 'official') THEN 1.0 ELSE 0.0 END)::DOUBLE AS prior
+@query(f"""SELECT query_id, chunk_id, (list_sum([CASE WHEN host = t || '.com' OR host = t || '.org' OR starts_with(host, t || '.') THEN 6.0 WHEN contains(host, t) AND NOT contains(host, 'doc') THEN 2.0 ELSE 0.0 END FOR t IN {_ALL.format('query')} IF t NOT IN ('framework', 'documentation')]) + CASE WHEN contains(lower(title), 'official') OR contains(lower(href), 'official') THEN 1.0 ELSE 0.0 END)::DOUBLE AS prior
 FROM (SELECT *, replace(regexp_extract(lower(href), 'https?://([^/]+)', 1), 'www.', '') AS host FROM {_SNIPPETS} s) h""")
 def source_prior(spark, d) -> DataFrame:
     return R.source_prior(_snippets(spark, d))

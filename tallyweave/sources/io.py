@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,13 +48,21 @@ def rename_splits(df: DataFrame, column: str = "split") -> DataFrame:
 
 
 def report_from_prompt(prompts: DataFrame) -> DataFrame:
-    """(id, text) prompts with section markers -> (id, section, pos, line, cells): markers are carried down, rules of tables dropped."""
-    lines = prompts.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    mark = F.regexp_extract(F.lower(F.trim("line")), r"^(pre[- ]?text|table|post[- ]?text)\s*:?$", 1)
+    """(id, text) prompts with section markers -> (id, section, pos, line, cells), pos within the context.
+
+    The context stands between `Financial context:` (or the text's beginning) and an empty line with `Question:`. A line that begins with a marker opens its section, what follows in
+    that line is dropped; lines before the first marker and blank ones are dropped, and within a table those that begin with `|` and a dash. Null texts have no lines.
+    """
+    own = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)^.*?Financial context:", "")
+    context = F.regexp_replace(own, r"(?s)\n\nQuestion:.*$", "")
+    lines = prompts.select("id", F.posexplode(F.split(context, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    mark = F.regexp_extract(F.lower("line"), r"^(pre-text|table|post-text):", 1)
     w = Window.partitionBy("id").orderBy("pos")
-    carried = lines.withColumn("mark", F.when(mark != "", F.regexp_replace(mark, "[- ]", "_"))).withColumn("section", F.last("mark", ignorenulls=True).over(w))
-    body = carried.where(F.col("mark").isNull() & F.col("section").isNotNull() & (F.trim("line") != "") & ~F.col("line").rlike(r"^\s*\|?[\s:|-]+\|?\s*$"))
-    cells = F.when(F.col("section") == "table", F.transform(F.split(F.btrim(F.trim("line"), F.lit("|")), r"\|"), lambda c: F.trim(c)))
+    carried = lines.withColumn("mark", F.when(mark != "", F.replace(mark, F.lit("-"), F.lit("_")))).withColumn("section", F.last("mark", ignorenulls=True).over(w))
+    rule = (F.col("section") == "table") & F.col("line").rlike(r"^\|\s*-")
+    body = carried.where(F.col("mark").isNull() & F.col("section").isNotNull() & (F.col("line") != "") & ~rule)
+    cells = F.when(F.col("section") == "table", F.transform(F.split(F.btrim("line", F.lit("| ")), r"\|"), lambda c: F.trim(c)))
     return body.select("id", "section", "pos", "line", cells.alias("cells"))
 
 
@@ -67,15 +77,72 @@ def write_metrics(metrics: DataFrame, bad: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Metrics documents of several runs as (run, name, value); runs without a file have no rows."""
-    out = None
-    for run, path in paths.items():
-        df = spark.read.json(path)
-        cols = [c for c, t in df.dtypes if t in ("double", "bigint")]
-        part = df.select(F.lit(run).alias("run"), F.explode(F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*[F.col(c).cast("double") for c in cols]))).alias("name", "value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Metrics documents of several runs as (run, name, value), one scan of all; fields that aren't numbers, and runs without a file, have no rows."""
+    none = spark.createDataFrame([], "run string, name string, value double")
+    there = {run: path for run, path in paths.items() if _exists(spark, path)}
+    if not there:
+        return none
+    docs = spark.read.text(sorted(set(there.values())), wholetext=True, pathGlobFilter="*.json").select(F.explode(F.split("value", "\n")).alias("value"), _file().alias("file"))
+    docs = docs.select("file", F.try_parse_json("value").alias("v")).where("v is not null")
+    # a file belongs to the run whose folder it stands in; runs are a short list
+    at = spark.createDataFrame([(run, _absolute(spark, path)) for run, path in there.items()], "run string, at string")
+    docs = docs.join(F.broadcast(at), F.col("file").startswith(F.concat("at", F.lit("/"))) | (F.col("file") == F.col("at")))
+    fields = docs.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return fields.select("run", F.col("key").alias("name"), F.try_variant_get("value", "$", "double").alias("value")).where("value is not null and schema_of_variant(v) like 'OBJECT%'")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(_path(spark, path))
+
+
+def _absolute(spark: SparkSession, path: str) -> str:
+    """The path with its file system, slashes behind the scheme made one."""
+    full = _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(_path(spark, path)).toString()
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", full).rstrip("/")
+
+
+def _file() -> Column:
+    """Where a row stands, written like _absolute()."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
+
+
+def stage_summary(spark: SparkSession, stages: list[tuple[str, str]], names: list[str]) -> DataFrame:
+    """stages (title, path of a metrics document) -> (place, title, missing, one column a name): all stages in order; a missing file or field shows as null."""
+    found = read_metrics(spark, dict(stages)).groupBy("run").agg(F.lit(True).alias("there"), *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    asked = spark.createDataFrame([(i, title) for i, (title, _) in enumerate(stages)], "place int, title string")
+    return asked.join(found, F.col("title") == F.col("run"), "left").select("place", "title", F.col("there").isNull().alias("missing"), *names)
 
 
 def source_histogram(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def write_splits(df: DataFrame, path: str, column: str = "split") -> None:
+    """A folder a split, names as in rename_splits()."""
+    rename_splits(df, column).write.partitionBy(column).parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, name: str, column: str = "split") -> DataFrame:
+    """The rows of one split: only its folder is scanned."""
+    return spark.read.parquet(path).where(F.col(column) == name)
+
+
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column]) -> dict:
+    """Writes df as Parquet and returns counters (aggregates over its rows), taken in the same pass."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in counters.items()]).write.parquet(path)
+    return seen.get
+
+
+def read_split_files(spark: SparkSession, paths: dict[str, str], schema: StructType | str) -> DataFrame:
+    """JSON lines of several splits as one table with a column split, by the folder or file that a row stands in: one scan."""
+    df = spark.read.schema(schema).json(list(paths.values()), mode="FAILFAST")
+    at = {name: _absolute(spark, path) for name, path in paths.items()}
+    file, split = _file(), F
+    for name, path in sorted(at.items(), key=lambda x: -len(x[1])):  # a folder within another comes first
+        split = split.when(file.startswith(path + "/") | (file == path), name)
+    return df.withColumn("split", split.otherwise(None))

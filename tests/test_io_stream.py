@@ -19,7 +19,7 @@ def test_jsonl_and_containers(spark, tmp_path):
 
 
 def test_report_from_prompt(spark):
-    text = "Ask\nPre text:\nfirst line\nTable:\n| a | b |\n| --- | --- |\n| 1 | 2 |\nPost text:\nlast"
+    text = "Ask\nPre-text: here\nfirst line\nTable:\n| a | b |\n| --- | --- |\n| 1 | 2 |\nPost-text:\nlast\n\nQuestion:\nTable: no"
     got = S.report_from_prompt(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("pos").collect()
     assert [(r.section, r.cells or r.line) for r in got] == [("pre_text", "first line"), ("table", ["a", "b"]), ("table", ["1", "2"]), ("post_text", "last")]
 

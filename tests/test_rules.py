@@ -7,6 +7,7 @@ from tallyweave.functions import numeric as N
 from tallyweave.functions import text as T
 from tallyweave.functions.programs import run_program
 from tallyweave.operators import datasets as D
+from tallyweave.operators import quotas as Q
 from tallyweave.operators import retrieval as R
 
 
@@ -104,7 +105,7 @@ def test_alias_and_mixture(spark):
     r = spark.createDataFrame([(1, "u1", 1), (1, "u2", 2)], "query_id long, url string, rank int")
     a = spark.createDataFrame([("tesla", "u2"), ("apple", "u9")], "alias string, url string")
     assert [(x["url"], x["curated"]) for x in R.alias_injection(q, r, a).orderBy("rank").collect()] == [("u2", True), ("u1", False)]
-    rows = spark.range(100).select("id", (F.col("id") < 50).alias("wrong"), (F.col("id") % 2 == 0).alias("focus"), F.lit(True).alias("anchor"))
-    got = D.hard_set(rows, {"wrong": 20, "focus": 10, "anchor": 5}, 30).collect()
-    assert len(got) == 30 and [sum(g["reason"] == k for g in got) for k in ("wrong", "focus", "anchor")] == [20, 10, 0]
+    rows = spark.range(100).select("id", (F.col("id") >= 50).alias("correct"), F.when(F.col("id") % 2 == 0, "ratio").alias("category"))
+    got = Q.hard_set(rows, 20, 10, 5, 30).collect()
+    assert len(got) == 30 and [sum(g["reason"] == k for g in got) for k in ("sft_wrong", "category_focus", "anchor_correct")] == [20, 10, 0]
     assert D.dev_split(rows, least=7).where("split = 'dev'").count() == 10
