@@ -7,10 +7,10 @@ pages with the node. Each is drawn towards the same node's in the tree of all ho
 other hosts have there, and one of many by itself, without a threshold of pages in between. Texts right below nodes of less than
 THRESHOLD are cut from each page, as are those that HTML itself or their own names mark as no content; what a page's
 article or main element holds is preferred. Pages of a host with the same texts count once, else the tree would take copies for boilerplate; a page
-that would lose all its text keeps what the rules leave.
+of boilerplate alone has no main text.
 
-At scale: pages are parsed twice and never shuffled; what is shuffled is (host, node, text hash) with partial sums, so
-a hot host is no hot task. The nodes cut, a short list a host, are joined to the pages by Spark's own choice of join.
+At scale: pages are parsed twice; what is shuffled in between is (host, node, text hash) with partial sums. The nodes cut, a short list a host, are joined to the pages by
+a join whose hot keys Spark splits, as both sides are dealt out for it.
 """
 
 from __future__ import annotations
@@ -31,17 +31,20 @@ THRESHOLD = 0.7
 PRIOR = 8
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))|"[^"]*"|'[^']*'""", re.I)
 # Kinds of elements in HTML.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CUT_TAGS = frozenset("head nav footer aside form button select option menu dialog audio video map applet fieldset legend datalist".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-CUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|newsletter|subscri\w+|sidebar|side|rail|widgets?|menus?|nav\w*|breadcrumbs?|crumbs|pagination|pager|footer|foot|masthead|topbar|toolbar|site-?header|page-?header|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|trending|login|signup|search|skip|copyright|disclaimer|alert)(?:$|[\s_-])",
-    re.I,
+# Whole class names and ids, `_` read as `-`; those of the second list hold within an article too, where a name says less.
+CUT_NAMES = frozenset(
+    "ads adv adsense sponsor sponsored sponsors promo promotion promotions banner cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notices notification notifications popup modal overlay newsletter subscribe subscription "
+    "sidebar side-bar left-sidebar right-sidebar rail widget widgets menu menus main-menu nav navbar nav-bar navigation main-nav site-nav breadcrumb breadcrumbs crumbs pagination pager footer site-footer page-footer masthead topbar toolbar site-header page-header "
+    "share sharing share-bar share-buttons social social-links related related-posts related-articles recommended recommendations trending login signup search search-form skip-link copyright disclaimer alert".split()
 )
+CUT_ANYWHERE = frozenset("ad advert adverts advertisement ad-slot ad-banner comment-list comments comments-section comment-section comment-form comments-area disqus disqus-thread".split())
 # Elements that the start of another closes.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -129,13 +132,14 @@ def blocks(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[tu
         if tag in VOID:
             continue
         parent, attrs = stack[-1], m[3] or m[6] or ""
-        names = {a.lower(): b or c or d for a, b, c, d in NAMED.findall(attrs)} if "=" in attrs else {}
+        names = {a.lower(): b or c or d for a, b, c, d in NAMED.findall(attrs) if a} if attrs else {}
         style = tag + "".join("." + re.sub(r"\d+", "#", names[k].strip().lower()) for k in ("class", "id") if names.get(k))
         main = parent.main or tag in MAIN
         cut = parent.cut or tag in CUT_TAGS or tag == "header" and not parent.main or names.get("role", "").lower() in CUT_ROLES
-        cut = cut or bool(names) and tag not in ("html", "body", *MAIN) and any(CUT_WORDS.search(names[k]) for k in ("class", "id") if names.get(k))
-        if attrs and tag not in ("html", "body") and re.search(r"\bhidden\b|display\s*:\s*none", attrs, re.I):
-            cut = True
+        if names and not cut and tag not in ("html", "body"):
+            called = {x.lower().replace("_", "-") for k in ("class", "id") for x in names.get(k, "").split()}
+            cut = tag not in MAIN and (not called.isdisjoint(CUT_ANYWHERE) or not main and not called.isdisjoint(CUT_NAMES))
+            cut = cut or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", names.get("style", ""), re.I))
         if tag not in INLINE:
             parent.kids = hashed(style, parent.kids)
         if cut != parent.cut and tag in INLINE:
@@ -153,7 +157,7 @@ def main_text(page: str | None, low: frozenset[int]) -> str:
     found, _ = blocks(page)
     ruled = [(node, main, said) for node, main, cut, said in found if not cut]
     inside = [x for x in ruled if x[1]] or ruled
-    return "\n\n".join([said for node, _, said in inside if node not in low] or [said for _, _, said in inside])
+    return "\n\n".join(said for node, _, said in inside if node not in low)
 
 
 def _host(url: str = "url"):
@@ -204,8 +208,7 @@ def style_tree(pages: DataFrame, prior: int = PRIOR) -> DataFrame:
 def extract(pages: DataFrame, threshold: float = THRESHOLD, prior: int = PRIOR) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null and empty html give the empty string; a null url is a host of its own name (empty). A page that would lose all its text
-    to the tree keeps what the rules leave. Repeated rows stay repeated; an empty table gives no row; further columns are ignored.
+    Null and empty html give the empty string; a null url is a host of its own name (empty). A page that loses all its text has the empty string. Repeated rows stay repeated; an empty table gives no row; further columns are ignored.
     """
     tree = style_tree(pages, prior).where(F.col("content").isNotNull() & (F.col("importance") < threshold))
     low = written(tree.groupBy("host").agg(F.collect_set("node").alias("low")), "low")
@@ -219,7 +222,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, prior: int = PRIOR)
                 texts.append(main_text(page.as_py(), sets.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    hosted = pages.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host")).join(low, "host", "left")
+    hosted = pages.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host"))
+    hosted = join_dealt_anew(hosted, low, ["host"], "left")
     return hosted.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
