@@ -35,19 +35,40 @@ UNIT = 1_000_000_000
 TERMS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
 
 
+#: Elements of a block of _prefix().
+BLOCK = 256
+
+
+def _prefix(values: Column, op) -> Column:
+    """Inclusive running op (sum, greatest) of an array<int> from 0 on, in two levels: a fold that appends copies its array each time, so it never runs over more than a block or one value a block."""
+    zero, last = F.lit(0), lambda a: F.get(a, F.size(a) - 1)
+    none = F.array().cast("array<int>")
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    ups = lambda a, x: F.concat(a, F.array(op(last(a), x)))
+    bases = lambda blocks: F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), F.array(zero), ups)
+    inner = lambda b, base: F.when(b.isNotNull(), F.aggregate(b, F.array(base), ups, lambda a: F.slice(a, F.lit(2), F.size(a) - 1))).otherwise(none)
+    whole = lambda v: F.get(F.transform(F.array(cut(v)), lambda blocks: F.flatten(F.zip_with(blocks, bases(blocks), inner))), 0)
+    return F.get(F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none)), 0)
+
+
+def _covered(spans: Column, by: Column) -> Column:
+    """Of spans (start, end, ...) those that lie within none of by (start, end), in order: the farthest end of what starts no later is a running maximum."""
+    mark = lambda x, kind, end: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), end.alias("reach"))
+    both = F.array_sort(F.concat(F.transform(by, lambda x: mark(x, 0, x["end"])), F.transform(spans, lambda x: mark(x, 1, F.lit(0)))))
+    reached = lambda b: F.zip_with(b, _prefix(F.transform(b, lambda x: x["reach"]), F.greatest), lambda x, r: F.when((x["kind"] == 1) & (r < x["end"]), F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.array_compact(F.get(F.transform(F.array(both), reached), 0))
+
+
 def _runs(text: Column, pattern: str, groups: int = 0) -> Column:
     """Matches in order as array<struct<start, end, value>>, in code points; value is the group's text."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(groups))
-    each = F.arrays_zip(F.transform(found, lambda m: F.char_length(m)).alias("m"), F.transform(F.slice(between, F.lit(1), F.size(found)), lambda p: F.char_length(p)).alias("p"), value.alias("v"))
+    length = lambda a: F.transform(a, lambda m: F.char_length(m))
+    gaps = F.slice(between, F.lit(1), F.size(found))
+    ends = _prefix(F.zip_with(length(found), length(gaps), lambda m, p: m + p), lambda a, b: a + b)
+    each = F.arrays_zip(length(found).alias("m"), ends.alias("e"), value.alias("v"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = lambda a, x: a["at"] + x["p"]
-    folded = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct((start(a, x) + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(start(a, x).alias("start"), (start(a, x) + x["m"]).alias("end"), x["v"].alias("value")))).alias("out")),
-        lambda a: a["out"],
-    )
+    folded = F.transform(each, lambda x: F.struct((x["e"] - x["m"]).alias("start"), x["e"].alias("end"), x["v"].alias("value")))
     return F.when(text.rlike(pattern), folded).otherwise(none)
 
 
@@ -102,8 +123,8 @@ def with_spans(df: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALL
     scored = lambda v: F.transform(F.filter(parts(v), lambda p: _limit(p).isNotNull()), lambda p: F.struct(_limit(p).alias("most"), chars(p).alias("idx")))
     df = df.withColumn("_c", F.transform("_c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), scored(x["value"]).alias("parts"))))
     df = df.withColumn("_c", F.filter("_c", lambda x: F.exists(x["parts"], lambda p: _least_sum(p["idx"]) <= p["most"])))
-    free = F.filter("_c", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    return df.withColumn("spans", F.array_sort(F.concat("base", F.transform(free, _span(3))))).drop("_c")
+    free = F.when(F.size("_c") > 0, F.transform(_covered(F.col("_c"), F.col("base")), _span(3))).otherwise(F.transform(F.slice("_c", 1, 0), _span(3)))
+    return df.withColumn("spans", F.array_sort(F.concat("base", free))).drop("_c")
 
 
 def _joined(spans: str) -> Column:
