@@ -32,6 +32,13 @@ def last_number(text: Column) -> Column:
     return F.get(found, F.size(found) - 1).try_cast("double")
 
 
+def gold_number(text: Column) -> Column:
+    """The number `result` of the JSON behind a text's first line (of the whole text, if it has one line); without it the text's last number."""
+    payload = F.when(text.contains("\n"), F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1)).otherwise(text)
+    said = F.try_variant_get(F.try_parse_json(payload), "$.result", "string")
+    return F.coalesce(F.trim(said).try_cast("double"), last_number(text))
+
+
 def normalize_number(text: Column) -> Column:
     """A calculator operand: constants, currency, percent, brackets for minus, exponents; finite or null."""
     t = F.btrim(F.trim(text), F.lit("\"'"))

@@ -71,6 +71,18 @@ def gold_by_ordinal(chunks: DataFrame, gold: DataFrame, least: int = 12) -> Data
     return chunks.join(g, "sample_id", "left").withColumn("is_gold", F.coalesce(F.exists("_g", lambda x: (x != "") & hit(x)), F.lit(False))).drop("_g")
 
 
+def gold_coverage(chunks: DataFrame, gold: DataFrame, by: str = "split", least: int = 12) -> DataFrame:
+    """chunks (sample_id, ordinal, text, is_gold, by), gold (sample_id, gold, by) -> per split: samples, chunks, gold chunks, gold texts, and those of them that some chunk of the sample matches, each once."""
+    g = gold.where("gold is not null").withColumn("g", T.norm_corpus(F.col("gold"))).select("sample_id", by, "gold", "g").distinct()
+    t = T.norm_corpus(F.col("text"))
+    hit = (F.col("g") != "") & ((F.col("g").rlike("^[0-9]+$") & (F.col("g").try_cast("long") == F.col("ordinal"))) | ((F.char_length("g") >= least) & (t.contains(F.col("g")) | F.col("g").contains(t))))
+    met = chunks.select("sample_id", "ordinal", "text").join(g, "sample_id").where(hit).select("sample_id", by, "gold").distinct().groupBy(by).agg(F.count("*").alias("covered_gold"))
+    own = chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.count_if("is_gold").alias("gold_chunks"), F.count_distinct("sample_id").alias("samples"))
+    all_gold = g.groupBy(by).agg(F.count("*").alias("total_gold"))
+    j = own.join(all_gold, by, "left").join(met, by, "left").fillna(0, ["total_gold", "covered_gold"])
+    return j.select(by, "samples", "chunks", "gold_chunks", "total_gold", "covered_gold", F.round(F.coalesce(F.try_divide("covered_gold", "total_gold"), F.lit(0.0)), 9).alias("coverage"))
+
+
 def corpus_summary(chunks: DataFrame) -> DataFrame:
     """chunks (sample_id, chunk_type, is_gold) -> per type: chunks, samples, gold chunks and the share of samples with a gold chunk."""
     per = chunks.groupBy("chunk_type", "sample_id").agg(F.count("*").alias("c"), F.count_if("is_gold").alias("g"))

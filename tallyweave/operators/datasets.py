@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
+
 
 def shuffled(seed: int, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
@@ -97,6 +99,28 @@ def repair_merge(base: DataFrame, repairs: DataFrame) -> DataFrame:
     return base.join(good, "id", "left").select("id", F.coalesce("new", "program").alias("program"), F.col("new").isNotNull().alias("repaired"))
 
 
+def merge_repairs(base: DataFrame, repairs: DataFrame) -> DataFrame:
+    """base (id, program, answer), repairs (id, run, program) that were executed -> (id, program, answer, repaired): a repair that ran gives its program, and its value as the answer.
+
+    The value stands at the scale nearest to the old answer, whose percent sign stays. Of several repairs of an id the one with the greatest program counts.
+    """
+    good = repairs.where((F.trim("program") != "") & F.col("run.ok")).groupBy("id").agg(F.max(F.struct("program", F.col("run.result").alias("value"))).alias("new"))
+    value = F.coalesce(N.nearest_variant(F.col("new.value"), N.extract_num(F.col("answer"))), F.col("new.value"))
+    said = F.concat(N.format_number(value), F.when(F.col("answer").contains("%"), "%").otherwise(""))
+    done = F.col("new").isNotNull()
+    return base.join(good, "id", "left").select("id", F.when(done, F.col("new.program")).otherwise(F.col("program")).alias("program"), F.when(done, said).otherwise(F.col("answer")).alias("answer"), done.alias("repaired"))
+
+
+def staged_mix(rows: DataFrame, replay_train: DataFrame, replay_dev: DataFrame, dev: int, most_train: int, most_dev: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id, source, ok): the usable ones, of each source the first `dev` in hash order as dev; replays (id) up to their caps -> (id, source, split), and one row of counts with those dropped."""
+    w = Window.partitionBy("source").orderBy(shuffled(seed), "id")
+    first = rows.where("ok").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= dev).select("id", "source", F.lit("dev").alias("split"))
+    own = rows.where("ok").select("id", "source").join(first, ["id", "source"], "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    cut = lambda df, n, split: df.orderBy(shuffled(seed), "id").limit(n).select("id", F.lit("replay").alias("source"), F.lit(split).alias("split"))
+    out = own.union(cut(replay_train, most_train, "train")).union(cut(replay_dev, most_dev, "dev"))
+    return out, rows.agg(F.count_if("ok").alias("kept"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("dropped"))
+
+
 def usable(rows: DataFrame, source: str) -> DataFrame:
     """rows (source, answer, program) of one source that have an answer and a program; null and empty ones go."""
     return rows.where((F.col("source") == source) & (F.coalesce("answer", F.lit("")) != "") & (F.coalesce("program", F.lit("")) != ""))

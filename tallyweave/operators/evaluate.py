@@ -248,6 +248,22 @@ def error_report(preds: DataFrame, gold: DataFrame, evidence: DataFrame) -> Data
     return j.withColumn("key", key)
 
 
+def unsupported_ops(runs: DataFrame) -> DataFrame:
+    """runs (run) of programs -> one row: operations that failed a run as unsupported, as MAP<STRING,BIGINT> by name, from the error texts; none: an empty map."""
+    op = F.regexp_extract("run.error", r"unsupported op (\S+)", 1)
+    counts = runs.select(op.alias("op")).where("op <> ''").groupBy("op").agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("op", "n")))).alias("unsupported_op_count"))
+
+
+def type_hits(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
+    """ranked (query_id, chunk_id, chunk_type, rank), gold (query_id, chunk_id) -> a row a k: share of the queries with gold that have a gold table chunk, and a gold text chunk, within k."""
+    asked = gold.select("query_id").distinct()
+    hits = ranked.join(gold.distinct(), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min(F.when(F.col("chunk_type").contains("table"), F.col("rank"))).alias("table"), F.min(F.when(F.col("chunk_type").isin("pre_text", "post_text"), F.col("rank"))).alias("text"))
+    rows = asked.join(hits, "query_id", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    hit = lambda c: rate(F.coalesce(F.col(c) <= F.col("k"), F.lit(False)))
+    return rows.groupBy("k").agg(F.count("*").alias("num_queries_with_gold"), hit("table").alias("table_hit"), hit("text").alias("text_hit"))
+
+
 def error_counts(report: DataFrame) -> DataFrame:
     """error_report() -> (label, n, rate): counts that overlap, and their percentage of all rows with two decimals."""
     key, some = F.col("key"), F.col("gold_n") > 0
@@ -285,6 +301,6 @@ def agent_metrics(steps: DataFrame, golds: DataFrame) -> DataFrame:
     tool = F.col("action") == "tool_call"
     per = df.withColumns({"answer": F.when(final, F.struct("turn", answer.alias("a"))), "tool": tool}).groupBy("trace_id").agg(F.count("*").alias("steps"), F.count_if("json").alias("json"), F.count_if("tool").alias("tools"), F.count_if(F.col("tool") & F.coalesce("tool_ok", F.lit(False))).alias("tools_ok"), F.max("answer").alias("answer"))
     j = golds.join(per, "trace_id", "left").fillna(0, ["steps", "json", "tools", "tools_ok"])
-    hit = lambda tol: N.close(N.last_number(F.col("answer.a")), N.last_number(F.col("gold")), tol)
+    hit = lambda tol: N.close(N.last_number(F.col("answer.a")), N.gold_number(F.col("gold")), tol)
     share = lambda a, b: F.round(F.try_divide(F.sum(a), F.sum(b)), 9)
     return j.agg(F.count("*").alias("num_samples"), rate(F.col("answer").isNotNull()).alias("completion_rate"), share("json", "steps").alias("json_valid_step_rate"), share("tools_ok", "tools").alias("tool_success_rate"), rate(hit(0.01)).alias("final_numeric_acc_1pct"), rate(hit(0.05)).alias("final_numeric_acc_5pct"))

@@ -12,11 +12,12 @@ from ..functions import text as T
 from ..operators import assembly as B
 from ..operators import datasets as D
 from ..operators import evaluate as E
+from ..operators import retrieval as R
 from ..sources import io as S
 from ..sources.interim import shared_dir
 from . import fixtures as X
-from .registry import EXACT, FACTS, _close, query, table
-from .reports import _GOLD_CHUNKS, _PRIMARY, QUESTION, _labelled, _primary
+from .registry import EXACT, FACTS, SCALES, _close, query, table
+from .reports import _GOLD_CHUNKS, _PRIMARY, _ROWS, QUESTION, _labelled, _primary, reports
 
 _OK = f"({EXACT} OR {_close('x', 'g', 0.05)})"
 
@@ -174,3 +175,63 @@ def split_by_file(spark, d) -> DataFrame:
     orders.where("o_orderstatus <> 'O'").write.json(f"{at}/b")
     rows = S.read_split_files(spark, {"train": f"{at}/a", "dev": f"{at}/b"}, "id long")
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"SELECT 'table_sum=' || count(*) AS unsupported FROM {X.duck_qa()} q WHERE k = 6")
+def unsupported_ops(spark, d) -> DataFrame:
+    """Unsupported operations by name from the runs' errors; the map is shown as text."""
+    got = E.unsupported_ops(E.tool_parsed(X.tool(spark, d)))
+    return got.select(F.array_join(F.transform(F.map_entries("unsupported_op_count"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("unsupported"))
+
+
+@query(f"SELECT id, gold, {_shown('raw_output', 'answer')} AS answer FROM {FACTS} WHERE NOT {_OK} ORDER BY id LIMIT 30")
+def bad_answers(spark, d) -> DataFrame:
+    """The first thirty misses, as the report shows."""
+    return E.bad_preview(X.qa(spark, d))
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT * FROM {_PRIMARY.replace('rank <= 5', 'rank <= 20')} p0), g AS MATERIALIZED (SELECT * FROM {_GOLD_CHUNKS} g0 WHERE is_gold), h AS (SELECT g.sample_id, min(rank) FILTER (contains(p.chunk_type, 'table')) AS t, min(rank) FILTER (p.chunk_type IN ('pre_text', 'post_text')) AS x FROM g LEFT JOIN p ON p.sample_id = g.sample_id AND p.chunk_type = g.chunk_type AND p.chunk_index = g.chunk_index GROUP BY 1)
+SELECT k, count(*) AS num_queries_with_gold, round(count(*) FILTER (t <= k) / count(*), 9) AS table_hit, round(count(*) FILTER (x <= k) / count(*), 9) AS text_hit FROM h, (SELECT unnest([1, 3, 5, 10, 20]) AS k) k GROUP BY k""")
+def retrieval_types(spark, d) -> DataFrame:
+    """How often a gold table chunk and a gold text chunk are among the best."""
+    c = _labelled(spark, d).withColumn("chunk_id", F.concat_ws(":", "chunk_type", "chunk_index"))
+    rows = c.join(reports(spark, d).select(F.col("id").alias("sample_id"), F.col("question").alias("query")), "sample_id").withColumnRenamed("sample_id", "query_id")
+    best = R.lexical_rerank(rows, 20).withColumn("chunk_type", F.split_part("chunk_id", F.lit(":"), F.lit(1)))
+    return E.type_hits(best, c.where("is_gold").select(F.col("sample_id").alias("query_id"), "chunk_id"))
+
+
+@query(f"""SELECT id, CASE WHEN k >= 5 THEN 'subtract(' || a || ', ' || b || '), divide(#0, ' || b || ')' ELSE {_shown('raw_output', 'program')} END AS program, k >= 5 AS repaired, round(CASE WHEN k < 5 THEN x WHEN u <> 0 AND abs(u) < 1e-4 THEN round(u / power(10.0, floor(log10(abs(u)))), 9)
+ WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END, 2) + 0.0 AS value
+FROM (SELECT *, list_sort([{{'e': abs(s * (a - b) / b - g) / greatest(abs(g), 1e-6), 'm': abs(s * (a - b) / b), 'v': s * (a - b) / b}} FOR s IN {SCALES}])[1].v AS u FROM {FACTS}) f""")
+def repaired_programs(spark, d) -> DataFrame:
+    """Repairs of missing, unsupported and nested programs that ran, and others that failed, merged into the predictions."""
+    from ..functions.programs import execute_programs
+
+    base = E.parsed(X.qa(spark, d))
+    program = F.when(F.col("k") >= 5, F.format_string("subtract(%d, %d), divide(#0, %d)", "a", "b", "b")).when(F.col("k") == 2, "table_sum(a, none)")
+    repairs = execute_programs(base.select("id", "k", "a", "b").withColumn("program", program).where("program is not null"), "program", "run", "strict")
+    got = D.merge_repairs(base.select("id", "program", "answer"), repairs.select("id", "program", "run"))
+    return got.select("id", "program", "repaired", (F.round(N.extract_num(F.col("answer")), 2) + 0.0).alias("value"))
+
+
+@query(f"""WITH n AS (SELECT id, max(i) AS n FROM {_ROWS} l GROUP BY id) SELECT CASE WHEN id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS samples, CAST(sum(n + 4) AS BIGINT) AS chunks, CAST(sum(1 + (n >= 2)::INT) AS BIGINT) AS gold_chunks, 2 * count(*) AS total_gold, CAST(sum(1 + (n >= 2)::INT) AS BIGINT) AS covered_gold,
+round(sum(1 + (n >= 2)::INT) / (2 * count(*)), 9) AS coverage FROM n GROUP BY 1""")
+def gold_coverage(spark, d) -> DataFrame:
+    """By split, how many gold texts some chunk covers."""
+    split = F.when(F.col("sample_id") % 10 == 0, "dev").otherwise("train").alias("split")
+    gold = reports(spark, d).select(F.col("id").alias("sample_id"), F.explode("gold").alias("gold")).select("*", split)
+    return B.gold_coverage(_labelled(spark, d).select("*", split), gold)
+
+
+_MIX = """(WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat('3:', CAST(id AS VARCHAR))), id) AS n FROM (SELECT o_orderkey AS id, o_orderstatus AS source FROM orders WHERE o_orderkey % 7 <> 0) o),
+ c AS (SELECT c_custkey AS id, c_custkey % 5 = 0 AS dev, row_number() OVER (PARTITION BY c_custkey % 5 = 0 ORDER BY md5(concat('3:', CAST(c_custkey AS VARCHAR))), c_custkey) AS n FROM customer)
+ SELECT id, source, CASE WHEN n <= 100 THEN 'dev' ELSE 'train' END AS split FROM r UNION ALL SELECT id, 'replay', CASE WHEN dev THEN 'dev' ELSE 'train' END FROM c WHERE n <= CASE WHEN dev THEN 200 ELSE 1800 END)"""
+
+
+@query(f"SELECT source, split, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) AS dropped FROM {_MIX} m GROUP BY 1, 2")
+def staged_mix(spark, d) -> DataFrame:
+    """A hundred dev rows a source, replays up to their caps, and how many rows were dropped."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), (F.col("o_orderkey") % 7 != 0).alias("ok"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    mixed, counts = D.staged_mix(rows, old.where("id % 5 <> 0"), old.where("id % 5 = 0"), 100, 1800, 200, 3)
+    return mixed.groupBy("source", "split").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).crossJoin(F.broadcast(counts.select("dropped")))

@@ -244,12 +244,18 @@ def html_strip(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.strip_tags(F.col("html")).alias("text"))
 
 
-@query()
+#: Pages as html_strip gives them, with the references that the given tables use decoded, `&amp;` last.
+_CLEAN = f"""(SELECT page_id, host, regexp_replace(replace(replace(replace(text, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM ({ORACLE_SQL['html_strip']}) s)"""
+_WINDOWS = f"""(SELECT page_id, host, i AS chunk_index, array_to_string(list_slice(w, 120*i + 1, 120*i + 160), ' ') AS text FROM (SELECT page_id, host, w, unnest(range(0, (len(w) + 119) // 120)) AS i FROM (SELECT page_id, host, [x FOR x IN string_split(text, ' ') IF x <> ''] AS w FROM {_CLEAN} a) a) b
+WHERE i = 0 OR len(w) - 120*i >= 25)"""
+
+
+@query(f"SELECT page_id, host, text FROM {_CLEAN} c")
 def html_clean(spark, d) -> DataFrame:
     return R.cleaned_pages(table(spark, d, "pages"))
 
 
-@query()
+@query(f"SELECT page_id, chunk_index, text FROM {_WINDOWS} w")
 def page_chunks(spark, d) -> DataFrame:
     return R.page_chunks(table(spark, d, "pages"))
 
@@ -496,7 +502,16 @@ def lexical_rerank(spark, d) -> DataFrame:
     return R.lexical_rerank(rows)
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP)
+_WEB = "list_distinct([t FOR t IN regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9_+.$%-]*') IF length(t) > 1 AND t NOT IN (" + _STOPS + ")])"
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT page_id || '-' || chunk_index AS chunk_id, page_id, chunk_index, lower(' ' || text) AS body, len(string_split(text, ' ')) AS words, {_WEB.format("concat_ws(' ', ' ' || text, host)")} AS t FROM {_WINDOWS} w),
+q AS MATERIALIZED (SELECT item_id AS query_id, lower({_SQUEEZED}) AS phrase, {_WEB.format('text')} AS t FROM benchmark),
+s AS (SELECT query_id, chunk_id, page_id, chunk_index, words, floor((3.0::DOUBLE * n / greatest(size, 1) + 0.15::DOUBLE * n + said + 0.2::DOUBLE / greatest(page_id, 1)) * 1e6 + 0.5) / 1e6 AS score FROM (SELECT query_id, chunk_id, page_id, chunk_index, words, len(list_intersect(q.t, c.t)) AS n, len(q.t) AS size, CASE WHEN contains(body, phrase) THEN 2.0 ELSE 0.0 END AS said FROM q, c) x),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, chunk_index, chunk_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, chunk_index, chunk_id) <= 10),
+r AS (SELECT query_id, rank, chunk_id, words AS used, true AS kept FROM l WHERE rank = 1 UNION ALL SELECT l.query_id, l.rank, l.chunk_id, CASE WHEN r.used < 600 AND r.used + l.words <= 600 THEN r.used + l.words ELSE r.used END, r.used < 600 AND r.used + l.words <= 600 FROM r JOIN l ON l.query_id = r.query_id AND l.rank = r.rank + 1)
+SELECT query_id, max(used) OVER (PARTITION BY query_id) AS used, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INT) AS pos, chunk_id FROM r WHERE kept""")
 def web_retrieval(spark, d) -> DataFrame:
     """Stored pages to chunks to the best ones per benchmark item, within a word budget."""
     p = table(spark, d, "pages")
