@@ -55,7 +55,7 @@ def _covered(spans: Column, by: Column) -> Column:
     """Of spans (start, end, ...) those that lie within none of by (start, end), in order: the farthest end of what starts no later is a running maximum."""
     mark = lambda x, kind, end: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), end.alias("reach"))
     both = F.array_sort(F.concat(F.transform(by, lambda x: mark(x, 0, x["end"])), F.transform(spans, lambda x: mark(x, 1, F.lit(0)))))
-    reached = lambda b: F.zip_with(b, _prefix(F.transform(b, lambda x: x["reach"]), F.greatest), lambda x, r: F.when((x["kind"] == 1) & (r < x["end"]), F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    reached = lambda b: F.zip_with(b, _prefix(F.transform(b, lambda x: x["reach"]), lambda a, b: F.greatest(a, b)), lambda x, r: F.when((x["kind"] == 1) & (r < x["end"]), F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     return F.array_compact(F.get(F.transform(F.array(both), reached), 0))
 
 
