@@ -82,7 +82,9 @@ def resolve_revisits(records: DataFrame, stretches: int = STRETCHES) -> DataFram
     payloads = full.select(F.col("record_id").alias("source_id"), "payload")
     if full.groupBy("record_id").count().where("count > 1").limit(1).count():
         payloads = payloads.dropDuplicates(["source_id"])
-    got = found.join(payloads, "source_id", "left")
+    # what has no source needs no payload, and would all be one null key
+    resolved = found.where("source_id is not null").join(payloads, "source_id")
+    got = resolved.unionByName(found.where("source_id is null").withColumn("payload", F.lit(None).cast("string")))
     new, old = F.from_json("headers_json", "map<string,string>"), F.from_json("old_json", "map<string,string>")
     allowed = lambda k: F.lower(k).isin(*PERMITTED)
     fresh = F.map_filter(new, lambda k, v: allowed(k))
