@@ -144,13 +144,26 @@ def fused_rerank(candidates: DataFrame, k: int = 10, tokens=T.bm25_tokens) -> Da
     return ranked(candidates.select("query_id", "chunk_id", F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + 0.05 * F.col("score"), 6).alias("score")), k)
 
 
-def web_lexical(candidates: DataFrame, k: int = 10) -> DataFrame:
-    """candidates (query_id, chunk_id, query, title, text, url, source_rank, chunk_index): 3 coverage + 0.15 overlap + phrase 2 + 0.2 / source rank."""
+# What asks for a market value, and the hosts that answer it well or badly.
+CAP_WORDS = ("market cap", "市值")
+CAP_HOSTS, CAP_OTHERS = ("companiesmarketcap.com",), ("tesla.com", "apple.com")
+
+
+def cap_bonus(query: Column, url: Column, hosts: tuple[str, ...] = CAP_HOSTS, others: tuple[str, ...] = CAP_OTHERS) -> Column:
+    """2 for a query about a market value on one of `hosts`, 0.4 less on one of `others` whose address doesn't speak of it; else 0."""
+    asked, host = F.lower(F.coalesce(query, F.lit(""))), F.coalesce(T.host(url), F.lit(""))
+    some = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
+    worse = some(host, others) & ~F.lower(F.coalesce(url, F.lit(""))).contains("marketcap")
+    return F.when(some(asked, CAP_WORDS), F.when(some(host, hosts), 2.0).otherwise(0.0) - F.when(worse, 0.4).otherwise(0.0)).otherwise(0.0)
+
+
+def web_lexical(candidates: DataFrame, k: int = 10, bonus: Column | None = None) -> DataFrame:
+    """candidates (query_id, chunk_id, query, title, text, url, source_rank, chunk_index): 3 coverage + 0.15 overlap + phrase 2 + 0.2 / source rank + bonus (a Column of candidates, such as cap_bonus())."""
     q = T.web_tokens(F.col("query"))
     body = F.concat_ws(" ", "title", "text")
     overlap = F.size(F.array_intersect(q, T.web_tokens(F.concat_ws(" ", body, T.host(F.col("url"))))))
     phrase = F.when(F.lower(body).contains(F.lower(T.squeeze(F.col("query")))), 2.0).otherwise(0.0)
-    score = F.round(3.0 * overlap / F.greatest(F.size(q), F.lit(1)) + 0.15 * overlap + phrase + 0.2 / F.greatest("source_rank", F.lit(1)), 6)
+    score = F.round(3.0 * overlap / F.greatest(F.size(q), F.lit(1)) + 0.15 * overlap + phrase + 0.2 / F.greatest("source_rank", F.lit(1)) + (F.lit(0.0) if bonus is None else bonus), 6)
     return ranked(candidates.withColumn("score", score), k, order=[F.desc("score"), F.asc("source_rank"), F.asc("chunk_index"), F.asc("chunk_id")]).select("query_id", "chunk_id", "score", "rank")
 
 

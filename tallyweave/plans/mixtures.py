@@ -20,8 +20,8 @@ from ..sources import io as S
 from ..sources.interim import shared_dir, written
 from ..streaming import running
 from . import fixtures as X
-from .registry import _STATUS, EXACT, FACTS, GOLDS, ORACLE_SQL, _close, _lists, _scaled, query, table
-from .reports import _CHUNKS, _GOLD_CHUNKS, _PRIMARY, _Q, _REPORTS, _ROWS, QUESTION, _labelled, reports
+from .registry import _STATUS, _WEB, EXACT, FACTS, GOLDS, ORACLE_SQL, _close, _scaled, query, table
+from .reports import _CHUNKS, _GOLD_CHUNKS, _PRIMARY, _Q, _REPORTS, _ROWS, _SNIPPETS, QUESTION, _labelled, _snippets, reports
 
 _OK = f"({EXACT} OR {_close('x', 'g', 0.05)})"
 _CATEGORY = "CASE id % 4 WHEN 0 THEN 'percent_rate' WHEN 1 THEN 'sum_total' WHEN 2 THEN 'average' ELSE 'difference' END"
@@ -231,3 +231,29 @@ def report_retrieval_fused(spark, d) -> DataFrame:
     firsts = best.where("is_gold").groupBy("query_id").agg(F.min("rank").alias("first"))
     per = c.groupBy(F.col("sample_id").alias("query_id")).agg(F.max("is_gold").alias("some"), F.count("*").alias("n")).join(firsts, "query_id", "left").join(used, "query_id", "left")
     return per.agg(F.count("*").alias("num_samples"), F.count_if("some").alias("gold_available"), F.round(F.avg("n"), 6).alias("avg_chunks"), F.round(F.avg("used"), 6).alias("avg_context_words"), *[E.rate(F.coalesce(F.col("first") <= k, F.lit(False)), F.col("some")).alias(f"recall_at_{k}") for k in (1, 3, 5, 8, 15)])
+
+
+_HOST = r"coalesce(nullif(lower(regexp_extract(href, '^[a-zA-Z]+://([^/?#:]*)', 1)), ''), '')"
+_SQUASHED = r"trim(regexp_replace(query, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
+_LEXICAL = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r, chunk_id) AS rank FROM (SELECT query_id, chunk_id, title, body, href, rank AS r, round(3.0::DOUBLE * n / greatest(size, 1) + 0.15::DOUBLE * n + said + 0.2::DOUBLE / greatest(rank, 1) + CASE WHEN query_id % 2 = 0 THEN CASE WHEN contains(host, 'example.net') THEN 2.0 ELSE 0.0 END - CASE WHEN contains(host, 'example.org') AND NOT contains(lower(href), 'marketcap') THEN 0.4 ELSE 0.0 END ELSE 0.0 END, 6)::DOUBLE AS score
+ FROM (SELECT *, {_HOST} AS host, len(list_intersect({_WEB.format('query')}, {_WEB.format("concat_ws(' ', title, body, " + _HOST + ")")})) AS n, len({_WEB.format('query')}) AS size, CASE WHEN contains(lower(concat_ws(' ', title, body)), lower({_SQUASHED})) THEN 2.0 ELSE 0.0 END AS said
+ FROM (SELECT * REPLACE (CASE WHEN query_id % 2 = 0 THEN 'market cap ' ELSE '' END || query AS query) FROM {_SNIPPETS} s0) s) x) y)"""
+
+
+def _web_ranked(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = _snippets(spark, d).withColumns({"query": F.concat(F.when(F.col("query_id") % 2 == 0, "market cap ").otherwise(""), "query"), "text": F.col("body"), "url": F.col("href"), "source_rank": F.col("rank"), "chunk_index": F.lit(0)})
+    return rows, R.web_lexical(rows, 10, R.cap_bonus(F.col("query"), F.col("url"), ("example.net",), ("example.org",)))
+
+
+@query(f"SELECT query_id, chunk_id, score, rank FROM {_LEXICAL} l WHERE rank <= 10")
+def web_lexical(spark, d) -> DataFrame:
+    """Pages ranked by words, phrase, place and, for queries about market values, host."""
+    return _web_ranked(spark, d)[1]
+
+
+@query(f"""SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || 'URL: ' || href || chr(10) || 'Chunk: ' || body, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(href, ' ' ORDER BY rank) AS citations FROM {_LEXICAL} l WHERE rank <= 3 GROUP BY 1""")
+def web_citations(spark, d) -> DataFrame:
+    """The three best pages of a query as context with their addresses."""
+    rows, best = _web_ranked(spark, d)
+    picked = best.where("rank <= 3").select("query_id", "chunk_id", F.col("rank").alias("pos")).join(rows.select("query_id", "chunk_id", "title", "url", "text"), ["query_id", "chunk_id"])
+    return B.citations(picked)

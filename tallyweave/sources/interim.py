@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder of this application within spark.checkpoint.dir; a local session without that setting gets one of its own, a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="spark-", dir="/tmp")]
         at = _own[0]
