@@ -35,7 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tallyweave_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Gives disk back: deletes written() tables that nothing reads any more, and has the driver collect garbage, upon which Spark's cleaner removes the shuffle files of what is gone."""
+    import gc
+
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._tallyweave_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

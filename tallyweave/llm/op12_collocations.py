@@ -1,8 +1,8 @@
 """Phrase collocations by SETM: relations of occurrences, kept sorted and joined with themselves at the next place.
 
 The relation of length one holds each document's words as (place, id) in order of place; pieces are a place apart, so places follow each other only
-within a piece. For each further length: (1) merge-join: occurrences at places p and p + 1 make one of the next length; (2) group-count: partial counts
-by the pair of ids per task, then their sums, of which those of LEAST or more are the frequent groups; (3) semi-join: occurrences of frequent groups only
+within a piece. For each further length: (1) merge-join: occurrences at places p and p + 1 make one of the next length; (2) group-count: short hashes of pairs
+are counted first, packed, so that rare pairs, most of all, cost a few bytes; then the pairs of ids that may be frequent, exactly: partial counts per task, then their sums, of which those of LEAST or more are the frequent groups; (3) semi-join: occurrences of frequent groups only
 are written as the next relation. The ids of a document's occurrences stay in one row, sorted, so the merge-join needs no shuffle and the relation is
 written as Parquet arrays.
 
@@ -11,7 +11,8 @@ through can't become a result, since counts are exact and both parts of a freque
 groups are counted by two of them.
 
 At scale: texts are read once; partial counts are what is shuffled; a frequent group carries the counts of all its beginnings and ends, so that scores need no
-further join.
+further join. A relation is deleted when the next one is written, and shuffle files are
+released as it goes, so the disk holds one length at a time.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, join_dealt_anew, plain_maybe_in, plain_places, table, written
+from .common import bitmap, join_dealt_anew, plain_maybe_in, plain_places, release, table, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 _LOWER = {**{b: b for b in range(256)}, **{b: b + 32 for b in range(65, 91)}, **{b: 10 for b in b".,;:!?\x0a\x0b\x0c\x0d"}, 9: 32}
 PLAIN = bytes(_LOWER[b] for b in range(256))
 BLANK, BREAK = -1, -2
-#: Distinct words that a task remembers, and occurrences that it counts, before it passes counts on.
-MEMO, HELD = 500_000, 4_000_000
+#: Bits of a pair's short hash, whole bytes.
+SHORT = 48
+#: Distinct words that a task remembers, and occurrences that it counts, before it passes counts on; occurrences in a piece of its output; rows of its input looked at together.
+MEMO, HELD, PIECE, ROWS = 300_000, 4_000_000, 500_000, 1_000
 
 
 class Ids(dict):
@@ -59,23 +62,31 @@ def _lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
-WORD = pa.list_(pa.struct([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64())]))
+WORD = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """The first relation: (at, id) arrays a document; beside it rows of (lang, words) with a task's counts."""
 
-    def counts(lang: str, ids: Ids, held: list[np.ndarray]) -> pa.RecordBatch:
+    def counts(lang: str, ids: Ids, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        names = {v: k for k, v in ids.items()}
-        # a row holds a bounded number of words
-        parts = [slice(i, i + 20_000) for i in range(0, len(found), 20_000)]
-        words = [[{"id": i, "word": names[i].decode("utf-8", "surrogatepass"), "n": c} for i, c in zip(found[s].tolist(), n[s].tolist(), strict=True)] for s in parts]
-        none = pa.nulls(len(parts), pa.list_(pa.int32())), pa.nulls(len(parts), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*none, pa.array([lang] * len(parts), pa.string()), pa.array(words, WORD)], ["at", "id", "lang", "words"])
+        held.clear()
+        # in order, so that neighbours are alike and pack well
+        words = sorted(w for w, i in ids.items() if i >= 0)
+        n = n[np.searchsorted(found, [ids[w] for w in words])]
+        ids.clear()
+        for s in range(0, len(words), 20_000):  # a row holds a bounded number of words
+            said = pa.array([w.decode("utf-8", "surrogatepass") for w in words[s : s + 20_000]], pa.string())
+            each = pa.ListArray.from_arrays(pa.array([0, len(said)], pa.int32()), pa.StructArray.from_arrays([said, pa.array(n[s : s + 20_000], pa.int64())], ["word", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64())), pa.array([lang], pa.string()), each], ["at", "id", "lang", "words"])
+
+    def rows(ends: list[int], at: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        cols = [_lists(np.array(ends), np.concatenate(at), pa.int32()), _lists(np.array(ends), np.concatenate(ids), pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(at), pa.string()), pa.nulls(len(at), WORD)], ["at", "id", "lang", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[Ids, list[np.ndarray]]] = {}
+        many = 0
         for b in batches:
             at, ids, ends = [], [], [0]
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -88,19 +99,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 ids.append(got[place])
                 held.append(ids[-1])
                 ends.append(ends[-1] + len(place))
-                if len(memo) > MEMO or len(held) > 50 and sum(map(len, held)) > HELD:
-                    yield counts(lang, *known.pop(lang))
-            n = len(ends) - 1
-            if n:
-                cols = [_lists(np.array(ends), np.concatenate(at), pa.int32()), _lists(np.array(ends), np.concatenate(ids), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.string()), pa.nulls(n, WORD)], ["at", "id", "lang", "words"])
-        for lang, (memo, held) in known.items():
-            yield counts(lang, memo, held)
-
-    schema = "at array<int>, id array<long>, lang string, words array<struct<id:long,word:string,n:long>>"
+                many += len(place)
+                if ends[-1] > PIECE:
+                    yield rows(ends, at, ids)
+                    at, ids, ends = [], [], [0]
+                if many > HELD or sum(len(m) for m, _ in known.values()) > MEMO:
+                    for tongue in list(known):
+                        yield from counts(tongue, *known.pop(tongue))
+                    many = 0
+            if at:
+                yield rows(ends, at, ids)
+        for tongue in list(known):
+            yield from counts(tongue, *known.pop(tongue))
+
+    schema = "at array<int>, id array<long>, lang string, words array<struct<word:string,n:long>>"
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, schema)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(i, ROWS) for i in range(0, b.num_rows, ROWS))
+
+
 def _adjacent(b: pa.RecordBatch, held: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Merge-join of a relation's frequent part with itself: row, place, p, q of what stands at a place and the next."""
     at, ids = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
@@ -112,14 +132,88 @@ def _adjacent(b: pa.RecordBatch, held: np.ndarray, bits: int) -> tuple[np.ndarra
     return row[i], at[i], ids[i], ids[i + 1]
 
 
-def pair_counts(relation: DataFrame, frequent: tuple) -> DataFrame:
-    """(p, q, n): partial counts summed, LEAST or more."""
+def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and their counts up to LEAST."""
+    every, many = np.concatenate(h), np.concatenate(n)
+    order = np.argsort(every)
+    every, many = every[order], many[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.minimum(np.add.reduceat(many.astype(np.int64), first), LEAST).astype(np.uint8)
+
+
+def possible_pairs(relation: DataFrame, frequent: tuple, words: int) -> DataFrame:
+    """(k): hashes of SHORT bits that stand for LEAST or more pairs, in place of the pairs themselves.
+
+    Most pairs of a task are rare everywhere. Of those only hashes are dealt out: in order, as differences, packed by ranges of hashes, a few bytes each, with counts that stop at LEAST.
+    `words` sets the number of ranges, so that what meets in one place doesn't grow with the input (up to 2^16 ranges).
+    """
     held, bits = frequent
+    split = min(16, max(0, (words // 500_000).bit_length()))
+    width = 1 << (SHORT - split)
+
+    def packed(h: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(h), return_counts=True)
+        h.clear()
+        n = np.minimum(n, LEAST).astype(np.uint8)
+        cuts = np.searchsorted(keys, np.arange((1 << split) + 1, dtype=np.int64) * width)
+        rows = []
+        for b in range(1 << split):
+            own = keys[cuts[b] : cuts[b + 1]]
+            if len(own):
+                steps = np.diff(own, prepend=b * width).view(np.uint8).reshape(-1, 8)[:, : SHORT // 8].T.tobytes()
+                rows.append((b, len(own), pa.compress(steps + n[cuts[b] : cuts[b + 1]].tobytes(), "zstd", asbytes=True)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "size", "packed"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, many = [], 0
+        for b in _pieces(batches):
+            _, _, p, q = _adjacent(b, held.value, bits)
+            h.append(pair_id(p, q) >> (63 - SHORT))
+            many += len(p)
+            if many > HELD:
+                yield from packed(h)
+                many = 0
+        if many:
+            yield from packed(h)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, h, n, many = None, [], [], 0
+        often = lambda: (lambda k, c: pa.RecordBatch.from_arrays([pa.array(k[c >= LEAST])], ["k"]))(*_summed(h, n))
+        for b in batches:
+            for where, size, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if where != at:
+                    if h:
+                        yield often()
+                    at, h, n, many = where, [], [], 0
+                raw = np.frombuffer(pa.decompress(raw, size * (SHORT // 8 + 1), "zstd", asbytes=True), np.uint8)
+                steps = np.zeros((size, 8), np.uint8)
+                steps[:, : SHORT // 8] = raw[: size * (SHORT // 8)].reshape(SHORT // 8, size).T
+                h.append(np.cumsum(steps.view(np.int64)[:, 0]) + where * width)
+                n.append(raw[size * (SHORT // 8) :])
+                many += size
+                if many > HELD:  # distinct ones again
+                    k, c = _summed(h, n)
+                    h, n, many = [k], [c], len(k) // 2
+        if h:
+            yield often()
+
+    dealt = relation.select("at", "id").mapInArrow(deal, "range int, size int, packed binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "k long")
+
+
+def pair_counts(relation: DataFrame, frequent: tuple, possible: tuple) -> DataFrame:
+    """(p, q, n): partial counts of the possible pairs summed, LEAST or more."""
+    held, bits = frequent
+    maybe, maybe_bits = possible
 
     def counted(p: list[np.ndarray], q: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(p), np.concatenate(q)
+        p.clear()
+        q.clear()
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         n = np.diff(np.append(first, len(a)))
         for s in range(0, len(first), 100_000):
@@ -128,8 +222,10 @@ def pair_counts(relation: DataFrame, frequent: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ps, qs, many = [], [], 0
-        for b in batches:
+        for b in _pieces(batches):
             _, _, p, q = _adjacent(b, held.value, bits)
+            some = plain_maybe_in(maybe.value, maybe_bits, (pair_id(p, q) >> (63 - SHORT)).astype(np.uint64))
+            p, q = p[some], q[some]
             if len(p):
                 ps.append(p)
                 qs.append(q)
@@ -140,7 +236,9 @@ def pair_counts(relation: DataFrame, frequent: tuple) -> DataFrame:
         if many:
             yield from counted(ps, qs)
 
-    return relation.select("at", "id").mapInArrow(run, "p long, q long, n long").groupBy("p", "q").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
+    # a task's rows are sums already: a partial sum would find nothing to add
+    partial = relation.select("at", "id").mapInArrow(run, "p long, q long, n long").repartition("p", "q")
+    return partial.groupBy("p", "q").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
 
 
 def extended(relation: DataFrame, frequent: tuple, longer: tuple) -> DataFrame:
@@ -149,7 +247,7 @@ def extended(relation: DataFrame, frequent: tuple, longer: tuple) -> DataFrame:
     held2, bits2 = longer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             row, at, p, q = _adjacent(b, held.value, bits)
             ids = pair_id(p, q)
             some = np.flatnonzero(plain_maybe_in(held2.value, bits2, ids.astype(np.uint64)))
@@ -170,6 +268,17 @@ def with_ids(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "p long, q long, a long, id long")
 
 
+def with_word_ids(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Ids] = {}
+        for b in batches:
+            ids = [known.setdefault(lang, Ids(lang)).__missing__(w.encode("utf-8", "surrogatepass")) for lang, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            known.clear()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], ["lang", "phrase", "a", "id"])
+
+    return words.mapInArrow(run, "lang string, phrase string, a long, id long")
+
+
 def least_cut(a: Column, n: Column, before: Column, after: Column) -> Column:
     """(score, k, l, r) of the lowest floor(1000 a n / (l r)), ties to the smallest k; exact up to 38 digits."""
     big = lambda c: c.cast("decimal(19,0)")
@@ -190,21 +299,33 @@ def collocations(docs: DataFrame, longest: int = LONGEST, top: int = TOP) -> Dat
     A null lang is `und`; null and empty texts have no words; repeated rows count as often as they stand; an empty table gives no row; further columns
     are ignored; equal scores go by a, then by the phrase's bytes.
     """
+    spark = docs.sparkSession
     relation = written(occurrences(docs), "occurrences")
-    words = written(relation.select("lang", F.explode("words").alias("w")).groupBy("lang", "w.id").agg(F.min("w.word").alias("phrase"), F.sum("w.n").alias("a")), "words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+    partial = relation.where("words is not null").select("lang", F.inline("words"))
+    totals = written(partial.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = partial.repartition("lang", "word").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
     one = F.array("a")
-    groups = [written(words.where(F.col("a") >= LEAST).select("lang", "id", "phrase", F.col("phrase").alias("last"), "a", one.alias("before"), one.alias("after")), "frequent1")]
-    relation, frequent = relation.where("at is not null"), bitmap(groups[0].select(F.col("id").alias("k")), of=plain_places)
+    groups = [written(with_word_ids(words).select("lang", "id", "phrase", F.col("phrase").alias("last"), "a", one.alias("before"), one.alias("after")), "frequent1")]
+    del partial, words
+    release(spark)
+    held, frequent = relation, bitmap(groups[0].select(F.col("id").alias("k")), of=plain_places)
+    relation = held.where("at is not null")
     for size in range(2, longest + 1):
-        pairs = written(with_ids(pair_counts(relation, frequent)), f"pairs{size}")
+        possible = bitmap(written(possible_pairs(relation, frequent, n_words), f"possible{size}"), of=plain_places)
+        pairs = written(with_ids(pair_counts(relation, frequent, possible)), f"pairs{size}")
         p, q = groups[-1].select(F.col("id").alias("p"), "lang", "phrase", "before"), groups[-1].select(F.col("id").alias("q"), "last", "after")
         named = join_dealt_anew(join_dealt_anew(pairs, p, ["p"]), q, ["q"])
         joined = named.select("lang", "id", "p", "q", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", F.concat("before", one).alias("before"), F.concat("after", one).alias("after"))
         groups.append(written(joined, f"frequent{size}"))
         if size < longest:
             longer = bitmap(pairs.select(F.col("id").alias("k")), of=plain_places)
-            relation, frequent = written(extended(relation, frequent, longer), f"occurrences{size}"), longer
+            wider, frequent = written(extended(relation, frequent, longer), f"occurrences{size}"), longer
+            del pairs, named, joined, relation
+            release(spark, held)
+            held = relation = wider
+    del relation
+    release(spark, held)
     kept = []
     for group, wider in zip(groups[1:], [*groups[2:], None], strict=True):
         if wider is not None:
