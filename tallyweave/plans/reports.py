@@ -358,8 +358,8 @@ def canonical_args(spark, d) -> DataFrame:
 
 # --- overrides, examples, recorded calls ------------------------------------------------------------------------------------
 
-#: In hundredths, ties broken alike on both sides.
-_SHOWN = "CAST(floor((CASE WHEN v IS NULL THEN x WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END) * 100 + 0.500001) AS BIGINT)"
+#: In hundredths, ties broken alike on both sides; the reader of numbers takes no exponent, so of what is below 1e-4 it sees the digits.
+_SHOWN = "CAST(floor((CASE WHEN v IS NULL THEN x WHEN u <> 0 AND abs(u) < 1e-4 THEN round(u / power(10.0, floor(log10(abs(u)))), 9) WHEN u = 0 OR (abs(u) >= 1000 AND abs(u - round(u)) < 1e-6) THEN round(u) ELSE round(u * power(10.0, 9 - floor(log10(abs(u))))) / power(10.0, 9 - floor(log10(abs(u)))) END) * 100 + 0.500001) AS BIGINT)"
 
 
 def _override(spark, d, scale: str) -> DataFrame:
