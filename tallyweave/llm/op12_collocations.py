@@ -141,6 +141,11 @@ def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return every[first], np.minimum(np.add.reduceat(many.astype(np.int64), first), LEAST).astype(np.uint8)
 
 
+def _split(words: int) -> int:
+    """Bits of a range's number: ranges of about 500,000 words each, 2^16 at most."""
+    return min(16, (words // 500_000).bit_length())
+
+
 def possible_pairs(relation: DataFrame, frequent: tuple, words: int) -> DataFrame:
     """(k): hashes of SHORT bits that stand for LEAST or more pairs, in place of the pairs themselves.
 
@@ -148,7 +153,7 @@ def possible_pairs(relation: DataFrame, frequent: tuple, words: int) -> DataFram
     `words` sets the number of ranges, so that what meets in one place doesn't grow with the input (up to 2^16 ranges).
     """
     held, bits = frequent
-    split = min(16, max(0, (words // 500_000).bit_length()))
+    split = _split(words)
     width = 1 << (SHORT - split)
 
     def packed(h: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -202,43 +207,72 @@ def possible_pairs(relation: DataFrame, frequent: tuple, words: int) -> DataFram
     return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "k long")
 
 
-def pair_counts(relation: DataFrame, frequent: tuple, possible: tuple) -> DataFrame:
-    """(p, q, n): partial counts of the possible pairs summed, LEAST or more."""
+def _pairs_summed(p: list[np.ndarray], q: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and their counts."""
+    a, b, many = np.concatenate(p), np.concatenate(q), np.concatenate(n)
+    order = np.lexsort((b, a))
+    a, b, many = a[order], b[order], many[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(many, first) if len(a) else many
+
+
+def pair_counts(relation: DataFrame, frequent: tuple, possible: tuple, words: int) -> DataFrame:
+    """(p, q, a): counts of the possible pairs, LEAST or more: partial ones packed by ranges of the pair's id, like possible_pairs(), and summed exactly."""
     held, bits = frequent
     maybe, maybe_bits = possible
 
-    def counted(p: list[np.ndarray], q: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = np.concatenate(p), np.concatenate(q)
+    split = _split(words)
+
+    def packed(p: list[np.ndarray], q: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b, n = _pairs_summed(p, q, [np.ones(len(x), np.int64) for x in p])
         p.clear()
         q.clear()
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        del order
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        n = np.diff(np.append(first, len(a)))
-        for s in range(0, len(first), 100_000):
-            cut = first[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(n[s : s + 100_000], pa.int64())], ["p", "q", "n"])
+        where = pair_id(a, b) >> (63 - split) if split else np.zeros(len(a), np.int64)
+        order = np.argsort(where, kind="stable")
+        a, b, n, where = a[order], b[order], n[order], where[order]
+        cuts = np.searchsorted(where, np.arange((1 << split) + 1))
+        rows = [(r, e - s, pa.compress(a[s:e].tobytes() + b[s:e].tobytes() + n[s:e].tobytes(), "zstd", asbytes=True)) for r, s, e in zip(range(1 << split), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if e > s]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "size", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ps, qs, many = [], [], 0
         for b in _pieces(batches):
             _, _, p, q = _adjacent(b, held.value, bits)
             some = plain_maybe_in(maybe.value, maybe_bits, (pair_id(p, q) >> (63 - SHORT)).astype(np.uint64))
-            p, q = p[some], q[some]
-            if len(p):
-                ps.append(p)
-                qs.append(q)
-                many += len(p)
+            ps.append(p[some])
+            qs.append(q[some])
+            many += len(ps[-1])
             if many > HELD:
-                yield from counted(ps, qs)
-                ps, qs, many = [], [], 0
+                yield from packed(ps, qs)
+                many = 0
         if many:
-            yield from counted(ps, qs)
+            yield from packed(ps, qs)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, many = None, [], 0
+
+        def often() -> pa.RecordBatch:
+            a, b, n = _pairs_summed(*map(list, zip(*parts, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(x[n >= LEAST]) for x in (a, b, n)], ["p", "q", "a"])
 
-    # a task's rows are sums already: a partial sum would find nothing to add
-    partial = relation.select("at", "id").mapInArrow(run, "p long, q long, n long").repartition("p", "q")
-    return partial.groupBy("p", "q").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
+        for b in batches:
+            for where, size, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if where != at:
+                    if parts:
+                        yield often()
+                    at, parts, many = where, [], 0
+                three = np.frombuffer(pa.decompress(raw, 24 * size, "zstd", asbytes=True), np.int64)
+                parts.append((three[:size], three[size : 2 * size], three[2 * size :]))
+                many += size
+                if many > HELD:  # distinct ones again
+                    parts = [_pairs_summed(*map(list, zip(*parts, strict=True)))]
+                    many = len(parts[0][0]) // 2
+        if parts:
+            yield often()
+
+    dealt = relation.select("at", "id").mapInArrow(deal, "range int, size int, packed binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "p long, q long, a long")
 
 
 def extended(relation: DataFrame, frequent: tuple, longer: tuple) -> DataFrame:
@@ -313,7 +347,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, top: int = TOP) -> Dat
     relation = held.where("at is not null")
     for size in range(2, longest + 1):
         possible = bitmap(written(possible_pairs(relation, frequent, n_words), f"possible{size}"), of=plain_places)
-        pairs = written(with_ids(pair_counts(relation, frequent, possible)), f"pairs{size}")
+        pairs = written(with_ids(pair_counts(relation, frequent, possible, n_words)), f"pairs{size}")
         p, q = groups[-1].select(F.col("id").alias("p"), "lang", "phrase", "before"), groups[-1].select(F.col("id").alias("q"), "last", "after")
         named = join_dealt_anew(join_dealt_anew(pairs, p, ["p"]), q, ["q"])
         joined = named.select("lang", "id", "p", "q", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", F.concat("before", one).alias("before"), F.concat("after", one).alias("after"))
