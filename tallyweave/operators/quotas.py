@@ -28,7 +28,7 @@ def allocated(rows: DataFrame, pools: list[tuple[str, int]], total: int, seed: i
     empty ones, take nothing.
     """
     names, limits = [p for p, _ in pools], [n for _, n in pools]
-    each = rows.select("id", F.explode("pools").alias("pool")).where(F.col("pool").isin(names)).distinct()
+    each = rows.select("id", F.explode_outer("pools").alias("pool")).where(F.col("pool").isin(names)).distinct()
     known = written(_places(each, seed, total + sum(limits)), "pools")
     turn = F.array_position(F.array(*map(F.lit, names)), F.col("pool")).cast("int")
 
@@ -68,7 +68,8 @@ def hard_set(preds: DataFrame, wrong: int = 1500, focus: int = 650, anchor: int
 
 def tagged_mixture(rows: DataFrame, caps: dict[str, int], seed: int) -> DataFrame:
     """rows (id, tags array<string>) -> (id, tag): up to caps[tag] ids of each tag in hash order; an id may stand under several tags, under each once."""
-    each = rows.select("id", F.explode("tags").alias("pool")).where(F.col("pool").isin(list(caps))).distinct()
+    # outer: else Spark filters on the size of the tags below and writes what they are made of, programs' runs and all, out once more for each mention
+    each = rows.select("id", F.explode_outer("tags").alias("pool")).where(F.col("pool").isin(list(caps))).distinct()
     limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
     return _places(each, seed, max(caps.values())).where(F.col("place") <= F.try_element_at(limit, F.col("pool"))).select("id", F.col("pool").alias("tag"))
 
