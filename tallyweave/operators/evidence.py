@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.programs import bound
+from ..sources.interim import written
+from . import within
+from .assembly import context_of_chunk
+
 KEY = ["sample_id", "chunk_type", "chunk_index"]
 
 
@@ -44,6 +49,41 @@ def typed_grid(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, queries: D
     per = grid.join(cell.groupBy("query_id", "k", "w").agg(F.sum("n").alias("n"), F.sum("h").alias("h")), ["query_id", "k", "w"], "left").fillna(0, ["n", "h", "n_gold"])
     share = F.coalesce(F.try_divide(F.col("h"), F.col("n_gold")), F.lit(0.0))
     by_size = per.groupBy("k", "w", "n").agg(F.count("*").alias("c"), F.sum((F.col("h") > 0).cast("long")).alias("any"), F.sum(((F.col("n_gold") > 0) & (F.col("h") == F.col("n_gold"))).cast("long")).alias("all"), F.sum(share).alias("share"), F.sum("n_gold").alias("golds"))
+    golds = truth.groupBy("type").agg(F.count("*").alias("gold"))
+    types = cell.groupBy("k", "w", "type").agg(F.sum("n").alias("evidence"), F.sum("h").alias("h"))
+    return _summary(by_size, golds, types, spark_settings(queries, ks, settings))
+
+
+def report_grid(reports: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20), windows: tuple[tuple[int, int], ...] = ((0, 0), (1, 1), (1, 2), (2, 2)), cap: int = 40) -> DataFrame:
+    """typed_grid() where each query is a report's own: reports (best: its ranked chunks, chunks: all of them, with is_gold) -> a row a k and window.
+
+    A report gives its counts by type for every setting within its row. Equal counts are put together in each task before the shuffle, so that one has a row for each shape of
+    a report, not for each report.
+    """
+    tally = lambda cs, **sums: F.transform(F.array_sort(F.array_distinct(F.transform(cs, lambda c: c["chunk_type"]))), lambda t: F.struct(t.alias("type"), *[F.size(F.filter(cs, lambda c: (c["chunk_type"] == t) & test(c))).alias(n) for n, test in sums.items()]))
+    every, golden = lambda c: F.lit(True), lambda c: c["is_gold"]
+    upto = lambda found, k: bound(F.filter(found, lambda c: c["rank"] <= k), lambda cs: tally(cs, n=every, h=golden))
+
+    def cells(tw: int, tb: int) -> Column:
+        found = within.evidence(F.filter("best", lambda c: c["rank"] <= max(ks)), F.col("chunks"), lambda t, i: context_of_chunk(t, i, tw, tb), cap)
+        return bound(found, lambda f: F.array(*[F.struct(F.lit(k).alias("k"), F.struct(F.lit(tw).alias("text"), F.lit(tb).alias("tab")).alias("w"), upto(f, k).alias("types")) for k in ks]))
+
+    gold = bound(F.filter("chunks", golden), lambda cs: tally(cs, n=every))
+    shapes = reports.select(gold.alias("golds"), F.flatten(F.array(*[cells(*w) for w in windows])).alias("cells")).groupBy("golds", "cells").agg(F.count("*").alias("c"))
+    shapes = written(shapes, "shapes")
+    total = lambda a, c: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x[c])
+    per = shapes.select("c", total(F.col("golds"), "n").alias("n_gold"), F.explode("cells").alias("x")).select("c", "n_gold", "x.k", "x.w", "x.types", total(F.col("x.types"), "n").alias("n"), total(F.col("x.types"), "h").alias("h"))
+    share = F.coalesce(F.try_divide(F.col("h"), F.col("n_gold")), F.lit(0.0))
+    of = lambda when: F.sum(F.when(when, F.col("c")).otherwise(0))
+    by_size = per.groupBy("k", "w", "n").agg(of(F.col("h") > 0).alias("any"), of((F.col("n_gold") > 0) & (F.col("h") == F.col("n_gold"))).alias("all"), F.sum(share * F.col("c")).alias("share"), F.sum(F.col("n_gold") * F.col("c")).alias("golds"), F.sum("c").alias("c"))
+    golds = shapes.select("c", F.inline("golds")).groupBy("type").agg(F.sum(F.col("n") * F.col("c")).alias("gold"))
+    types = per.select("k", "w", "c", F.inline("types")).groupBy("k", "w", "type").agg(F.sum(F.col("n") * F.col("c")).alias("evidence"), F.sum(F.col("h") * F.col("c")).alias("h"))
+    settings = F.explode(F.array(*[F.struct(F.lit(a).alias("text"), F.lit(b).alias("tab")) for a, b in windows]))
+    return _summary(by_size, golds, types, spark_settings(reports, ks, settings))
+
+
+def _summary(by_size: DataFrame, golds: DataFrame, types: DataFrame, settings: DataFrame) -> DataFrame:
+    """Rates and counters a setting, from queries by (k, w, n), gold chunks by type and evidence by (k, w, type)."""
     w = Window.partitionBy("k", "w")  # a row for each size up to the cap
     by_size = by_size.withColumns({"upto": F.sum("c").over(w.orderBy("n")), "total": F.sum("c").over(w)})
     at = F.floor(F.col("total") * 0.95)
@@ -53,10 +93,8 @@ def typed_grid(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, queries: D
         F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 2).alias("avg_evidence_chunks"), F.coalesce(F.min(F.when((at > 0) & (F.col("upto") >= at), F.col("n"))), F.max("n")).alias("p95_evidence_chunks"),
     )
     as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("type", c)))))
-    golds = truth.groupBy("type").agg(F.count("*").alias("gold"))
-    types = cell.groupBy("k", "w", "type").agg(F.sum("n").alias("evidence"), F.sum("h").alias("h"))
     # types are few, so the settings meet them all
-    every = spark_settings(queries, ks, settings).join(F.broadcast(golds)).join(types, ["k", "w", "type"], "full")
+    every = settings.join(F.broadcast(golds)).join(types, ["k", "w", "type"], "full")
     every = every.withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "missed": F.coalesce("gold", F.lit(0)) - F.coalesce("h", F.lit(0)), "gold": F.coalesce("gold", F.lit(0))})
     counters = every.groupBy("k", "w").agg(as_map("gold").alias("gold_types"), as_map("missed").alias("missed_types"), as_map("evidence").alias("evidence_types"))
     return rates.join(counters, ["k", "w"], "left").select("k", F.col("w.text").alias("text_window"), F.col("w.tab").alias("table_window"), *rates.columns[2:], "gold_types", "missed_types", "evidence_types")

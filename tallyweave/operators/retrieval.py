@@ -49,6 +49,11 @@ def containing(documents: DataFrame, passages: DataFrame, words: int = 5) -> Dat
     return found.union(documents.join(short, F.col("text").contains(F.col("q"))).select("query_id", "doc_id").distinct())
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    """Inverse frequency of a term that df of n chunks have; negative for terms of more than half of them."""
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, tokens=T.bm25_tokens) -> DataFrame:
     """queries (query_id, sample_id, text), chunks (sample_id, chunk_id, text): top k chunks of the query's own sample.
 
@@ -59,8 +64,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.5, b:
     size = tok.select("sample_id", "chunk_id", F.size("t").alias("len"))
     stats = size.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     tf = tok.select("sample_id", "chunk_id", F.explode("t").alias("term")).groupBy("sample_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = tf.groupBy("sample_id", "term").agg(F.count("*").alias("df")).join(stats, "sample_id").withColumn("raw", raw)
+    idf = tf.groupBy("sample_id", "term").agg(F.count("*").alias("df")).join(stats, "sample_id").withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = idf.groupBy("sample_id").agg(F.avg("raw").alias("mean"))
     idf = idf.join(mean, "sample_id").select("sample_id", "term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     q = queries.select("query_id", "sample_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "sample_id", "term").agg(F.count("*").alias("qtf"))
@@ -128,20 +132,30 @@ def score_fusion(a: DataFrame, b: DataFrame, k: int = 40) -> DataFrame:
     return ranked(both.select("query_id", "chunk_id", F.round(z("a") + z("b"), 6).alias("score")), k)
 
 
+def lexical_score(q: Column, t: Column, kind: Column) -> Column:
+    """Overlap of distinct tokens of question and chunk + 0.7 number overlap + bonus for table rows and headers."""
+    digits = lambda a: F.filter(a, lambda x: x.rlike("[0-9]"))
+    share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0))
+    bonus = F.when(kind == "table_row", 0.08).when(kind == "table_header", 0.03).otherwise(0.0)
+    return F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(share(q, t) + 0.7 * share(digits(q), digits(t)) + bonus)
+
+
+def fused_score(q: Column, t: Column, score: Column) -> Column:
+    """Coverage of the question's distinct tokens plus 0.05 of the fused score."""
+    return F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + 0.05 * score
+
+
 def lexical_rerank(candidates: DataFrame, k: int = 10) -> DataFrame:
     """candidates (query_id, chunk_id, query, text, chunk_type): overlap + 0.7 number overlap + bonus for table rows and headers."""
     q, t = F.array_distinct(T.bm25_tokens(F.col("query"))), F.array_distinct(T.bm25_tokens(F.col("text")))
-    digits = lambda a: F.filter(a, lambda x: x.rlike("[0-9]"))
-    share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0))
-    bonus = F.when(F.col("chunk_type") == "table_row", 0.08).when(F.col("chunk_type") == "table_header", 0.03).otherwise(0.0)
-    score = F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(share(q, t) + 0.7 * share(digits(q), digits(t)) + bonus)
+    score = lexical_score(q, t, F.col("chunk_type"))
     return ranked(candidates.select("query_id", "chunk_id", F.round(score, 6).alias("score")), k)
 
 
 def fused_rerank(candidates: DataFrame, k: int = 10, tokens=T.bm25_tokens) -> DataFrame:
     """candidates (query_id, chunk_id, query, text, score): coverage of the query's tokens plus 0.05 of the fused score."""
     q, t = F.array_distinct(tokens(F.col("query"))), F.array_distinct(tokens(F.col("text")))
-    return ranked(candidates.select("query_id", "chunk_id", F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + 0.05 * F.col("score"), 6).alias("score")), k)
+    return ranked(candidates.select("query_id", "chunk_id", F.round(fused_score(q, t, F.col("score")), 6).alias("score")), k)
 
 
 # What asks for a market value, and the hosts that answer it well or badly.

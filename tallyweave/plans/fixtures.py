@@ -32,10 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shares(spark: SparkSession, sf_dir: str, name: str, rows: int) -> int:
+    """Partitions of about so many of the table's rows, and as many as the session's shuffles have at least: a task's time and memory stay the same as the table grows. The count is in the files' footers."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, name).count() // rows))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> None:
     """Three narrow columns, dealt out evenly: each row becomes texts that cost far more to score than to move."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).createOrReplaceTempView("fx_orders")
+    rows.repartition(shares(spark, sf_dir, "orders", 100_000)).createOrReplaceTempView("fx_orders")
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:

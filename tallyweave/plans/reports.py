@@ -12,23 +12,31 @@ from ..operators import assembly as B
 from ..operators import datasets as D
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..operators import within as I
 from . import fixtures as X
 from .registry import _STATUS, _YEARS, EXACT, FACTS, GOLDS, ORACLE_SQL, SCALES, _close, _duck_lists, _facts, _lists, _rate, _scaled, candidate_status, evidence_grid, query, table
 
 QUESTION = "concat(CASE id % 4 WHEN 0 THEN 'What is the percentage change' WHEN 1 THEN 'What is the total' WHEN 2 THEN 'What is the average amount' ELSE 'How much higher is line 2' END, ' of order ', CAST(id AS {string}), '?')"
 
 
-def reports(spark, d) -> DataFrame:
-    """(id, pre_text, rows, post_text, question, answer, program, gold): orders with their lines as a table, in order of line, quantity and price."""
+def reports(spark, d, beside=None) -> DataFrame:
+    """(id, pre_text, rows, post_text, question, answer, program, gold): orders with their lines as a table, in order of line, quantity and price.
+
+    Texts are made once orders and lines have met, so that only numbers are shuffled; partitions grow in number with the lines. beside: a function of the orders (id) that adds columns.
+    """
+    n = X.shares(spark, d, "lineitem", 400_000)
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.round("l_extendedprice").cast("long").alias("p")).alias("x"))
-    cells = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.array(F.concat(F.lit("line "), x["l_linenumber"].cast("string")), x["q"].cast("string"), x["p"].cast("string")))
-    lines = li.groupBy("id").agg(F.concat(F.array(F.array(F.lit("label"), F.lit("quantity"), F.lit("amount"))), cells).alias("rows"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.round("o_totalprice").cast("long").cast("string").alias("total"))
+    lines = li.repartition(n, "id").groupBy("id").agg(F.collect_list("x").alias("x"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.round("o_totalprice").cast("long").alias("total"))
+    more = beside(o) if beside else o
+    cells = F.transform(F.array_sort("x"), lambda x: F.array(F.concat(F.lit("line "), x["l_linenumber"].cast("string")), x["q"].cast("string"), x["p"].cast("string")))
     status = F.concat(F.lit("Its status is "), "o_orderstatus", F.lit("."))
-    return o.join(lines, "id").select(
-        "id", F.array(F.concat(F.lit("Order "), F.col("id").cast("string"), F.lit(" was placed by customer "), F.col("o_custkey").cast("string"), F.lit(".")), status).alias("pre_text"), "rows",
-        F.array(F.concat(F.lit("The total price is "), "total", F.lit(" dollars."))).alias("post_text"), F.expr(QUESTION.format(string="STRING")).alias("question"), F.col("total").alias("answer"),
-        F.concat(F.lit("add("), "total", F.lit(", 0)")).alias("program"), F.array(status, F.lit("2")).alias("gold"),
+    total = F.col("total").cast("string")
+    return more.repartition(n, "id").join(lines, "id").select(
+        "id", F.array(F.concat(F.lit("Order "), F.col("id").cast("string"), F.lit(" was placed by customer "), F.col("o_custkey").cast("string"), F.lit(".")), status).alias("pre_text"),
+        F.concat(F.array(F.array(F.lit("label"), F.lit("quantity"), F.lit("amount"))), cells).alias("rows"),
+        F.array(F.concat(F.lit("The total price is "), total, F.lit(" dollars."))).alias("post_text"), F.expr(QUESTION.format(string="STRING")).alias("question"), total.alias("answer"),
+        F.concat(F.lit("add("), total, F.lit(", 0)")).alias("program"), F.array(status, F.lit("2")).alias("gold"), *[c for c in more.columns if c not in o.columns],
     )
 
 
@@ -45,9 +53,14 @@ def report_chunks(spark, d) -> DataFrame:
     return B.report_chunks(reports(spark, d))
 
 
-def _labelled(spark, d) -> DataFrame:
+def _marked(spark, d) -> DataFrame:
+    """Reports with the list of their chunks, gold ones marked."""
     r = reports(spark, d)
-    return B.gold_by_ordinal(B.report_chunks(r).withColumn("ordinal", F.col("chunk_index")), r.select(F.col("id").alias("sample_id"), F.explode("gold").alias("gold")))
+    return r.withColumn("chunks", B.marked(B.chunk_list(r), F.col("gold"), "chunk_index"))
+
+
+def _labelled(spark, d) -> DataFrame:
+    return I.rows_of(_marked(spark, d), F.col("chunks"), F.col("id").alias("sample_id"))
 
 
 _GOLD_CHUNKS = f"(SELECT sample_id, chunk_type, chunk_index, text, chunk_index = 2 OR (chunk_type = 'pre_text' AND chunk_index = 1) AS is_gold FROM {_CHUNKS} c)"
@@ -69,13 +82,20 @@ _PRIMARY = f"""(SELECT * FROM (SELECT query_id, sample_id, chunk_type, chunk_ind
  FROM (SELECT sample_id, chunk_type, chunk_index, {_TOKENS.format('question')} AS q, {_TOKENS.format('text')} AS t FROM {_CHUNKS} c JOIN (SELECT id, {_Q} AS question FROM {_REPORTS} r) q ON q.id = c.sample_id) z) y) w WHERE rank <= 5)"""
 
 
-def _primary(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reports, their chunks, and the five best chunks of each question by the lexical score."""
+def _primary(spark, d) -> DataFrame:
+    """Reports with their chunks, and the five best of them by the lexical score."""
     r = reports(spark, d)
-    c = B.report_chunks(r).withColumn("chunk_id", F.concat_ws(":", "chunk_type", "chunk_index"))
-    rows = c.join(r.select(F.col("id").alias("sample_id"), F.col("question").alias("query")), "sample_id").withColumn("query_id", F.col("sample_id"))
-    best = R.lexical_rerank(rows, 5).withColumnsRenamed({"query_id": "sample_id"}).join(c, ["sample_id", "chunk_id"])
-    return r, c, best.withColumn("query_id", F.col("sample_id")).select("query_id", "sample_id", "chunk_type", "chunk_index", "text", "rank")
+    r = r.withColumn("chunks", B.chunk_list(r))
+    return r.withColumn("best", I.lexical_best(F.col("chunks"), F.col("question"), 5))
+
+
+def _evidence(best: str, cap: int = 18):
+    return I.evidence(F.col(best), F.col("chunks"), B.context_of_chunk, cap)
+
+
+def _prompts(r: DataFrame, evidence) -> DataFrame:
+    r = r.withColumn("evidence", evidence)
+    return B.prompts(r.withColumns({"context": I.assembled(F.col("evidence")), "n_chunks": F.size("evidence")}), ASK)
 
 
 def _duck_expanded(primary: str, cap: int = 18) -> str:
@@ -90,8 +110,7 @@ def _duck_expanded(primary: str, cap: int = 18) -> str:
 
 @query(f"SELECT query_id, chunk_type, chunk_index, pos, reason FROM {_duck_expanded(_PRIMARY)} e")
 def evidence_expand(spark, d) -> DataFrame:
-    _, c, p = _primary(spark, d)
-    return B.expanded(p, c).select("query_id", "chunk_type", "chunk_index", "pos", "reason")
+    return I.rows_of(_primary(spark, d), _evidence("best"), F.col("id").alias("query_id")).select("query_id", "chunk_type", "chunk_index", "pos", "reason")
 
 
 ASK = "Write a program and the answer from the evidence."
@@ -104,25 +123,20 @@ FROM {_REPORTS} r LEFT JOIN (SELECT query_id, string_agg('[' || pos || '] (' ||
 
 @query(_duck_prompts(f"(SELECT p.query_id, p.rank AS pos, p.chunk_type, c.text FROM {_PRIMARY} p JOIN {_CHUNKS} c USING (sample_id, chunk_type, chunk_index))"))
 def generation_topk(spark, d) -> DataFrame:
-    r, _, p = _primary(spark, d)
-    return B.generation_rows(r, B.assembled(p.withColumnRenamed("rank", "pos")), ASK)
+    return _prompts(_primary(spark, d), F.transform("best", lambda c: c.withField("pos", c["rank"])))
 
 
 @query(_duck_prompts(_duck_expanded(_PRIMARY)))
 def generation_expanded(spark, d) -> DataFrame:
-    r, c, p = _primary(spark, d)
-    return B.generation_rows(r, B.assembled(B.expanded(p, c)), ASK)
+    return _prompts(_primary(spark, d), _evidence("best"))
 
 
 @query(_duck_prompts(_duck_expanded(f"(SELECT sample_id AS query_id, sample_id, chunk_type, chunk_index, row_number() OVER (PARTITION BY sample_id ORDER BY chunk_type, chunk_index) AS rank FROM {_GOLD_CHUNKS} g WHERE is_gold)", 40)))
 def generation_gold(spark, d) -> DataFrame:
     """Evidence from the gold chunks alone, with their neighbours."""
-    from pyspark.sql import Window
-
-    r, c = reports(spark, d), _labelled(spark, d)
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("chunk_type", "chunk_index"))
-    gold = c.where("is_gold").select(F.col("sample_id").alias("query_id"), "sample_id", "chunk_type", "chunk_index", rank.alias("rank"))
-    return B.generation_rows(r, B.assembled(B.expanded(gold, c, cap=40)), ASK)
+    own = F.array_sort(F.transform(F.filter("chunks", lambda c: c["is_gold"]), lambda c: F.struct(c["chunk_type"], c["chunk_index"])))
+    gold = F.transform(own, lambda c, i: F.struct(c["chunk_type"].alias("chunk_type"), c["chunk_index"].alias("chunk_index"), (i + 1).alias("rank")))
+    return _prompts(_marked(spark, d).withColumn("primary", gold), _evidence("primary", 40))
 
 
 _CONTEXT = "'Order ' || id || ' was placed by customer ' || c || '.' || chr(10) || 'Its status is ' || s || '.' || chr(10) || chr(10) || '| label | quantity | amount |' || chr(10) || '| --- | --- | --- |' || chr(10) || body || chr(10) || chr(10) || 'The total price is ' || total || ' dollars.'"
@@ -163,17 +177,18 @@ p AS (SELECT sample_id, min(rank) FILTER (is_gold) AS first, sum(words) FILTER (
 SELECT count(*) AS num_samples, count(*) FILTER (has) AS gold_available, round(avg(n), 9) AS avg_chunks, round(avg(used), 9) AS avg_context_words, {", ".join(f"round(count(*) FILTER (has AND first <= {k}) / count(*) FILTER (has), 9) AS recall_at_{k}" for k in (1, 3, 5, 8, 15))} FROM p JOIN g USING (sample_id)""")
 def report_retrieval(spark, d) -> DataFrame:
     """From report to recall: chunks, BM25, the fused rerank, eight chunks within 700 words."""
-    r, c = reports(spark, d), _labelled(spark, d).withColumn("chunk_id", F.concat_ws(":", "chunk_type", "chunk_index"))
-    q = r.select(F.col("id").alias("query_id"), F.col("id").alias("sample_id"), F.col("question").alias("text"))
-    # chunk ids are a report's own, so queries are joined to their own report's chunks
-    own = c.withColumn("chunk_id", F.struct("sample_id", "chunk_id").cast("struct<s:bigint,c:string>"))
-    first = R.bm25(q, own.select("sample_id", "chunk_id", "text"), 40).select("query_id", "chunk_id", "score")
-    both = first.join(own.select("chunk_id", "text", "is_gold"), "chunk_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
-    best = R.fused_rerank(both, 15).join(own.select("chunk_id", "is_gold", F.size(F.split("text", " ")).alias("words")), "chunk_id")
-    used = R.word_budget(best.where("rank <= 8").select("query_id", F.col("chunk_id.c").alias("chunk_id"), "rank", "words"), 700).groupBy("query_id").agg(F.max("used").alias("used"))
-    firsts = best.where("is_gold").groupBy("query_id").agg(F.min("rank").alias("first"))
-    per = c.groupBy(F.col("sample_id").alias("query_id")).agg(F.max("is_gold").alias("some"), F.count("*").alias("n")).join(firsts, "query_id", "left").join(used, "query_id", "left")
-    return per.agg(F.count("*").alias("num_samples"), F.count_if("some").alias("gold_available"), F.round(F.avg("n"), 9).alias("avg_chunks"), F.round(F.avg("used"), 9).alias("avg_context_words"), *[E.rate(F.coalesce(F.col("first") <= k, F.lit(False)), F.col("some")).alias(f"recall_at_{k}") for k in (1, 3, 5, 8, 15)])
+    asked = _marked(spark, d).where(F.size("chunks") > 0).withColumns({"asked": T.bm25_tokens(F.col("question")), "chunks": F.transform("chunks", lambda c: c.withField("tokens", T.bm25_tokens(c["text"])))})
+    scores = asked.withColumn("scores", I.bm25_scores(F.transform("chunks", lambda c: c["tokens"]), F.col("asked")))
+    scored = scores.withColumn("scored", F.transform("chunks", lambda c, i: c.withField("score", F.get("scores", i))))
+    first = I.best(F.col("scored"), lambda c: c["score"], I.chunk_id, 40)
+    return _recall(scored.withColumn("best", I.fused_best(first, F.col("asked"), 15)), 9)
+
+
+def _recall(r: DataFrame, digits: int) -> DataFrame:
+    """reports (chunks, best: fifteen of them by rank) -> one row: how often and where gold is found, and the words of eight chunks within 700."""
+    words = F.transform(F.filter("best", lambda c: c["rank"] <= 8), lambda c: F.size(F.split(c["text"], " ")))
+    per = r.select(F.size("chunks").alias("n"), F.exists("chunks", lambda c: c["is_gold"]).alias("some"), F.array_min(F.transform(F.filter("best", lambda c: c["is_gold"]), lambda c: c["rank"])).alias("first"), I.words_used(words, 700).alias("used"))
+    return per.agg(F.count("*").alias("num_samples"), F.count_if("some").alias("gold_available"), F.round(F.avg("n"), digits).alias("avg_chunks"), F.round(F.avg("used"), digits).alias("avg_context_words"), *[E.rate(F.coalesce(F.col("first") <= k, F.lit(False)), F.col("some")).alias(f"recall_at_{k}") for k in (1, 3, 5, 8, 15)])
 
 
 # --- ladders, controllers and pairs -------------------------------------------------------------------------------------
