@@ -57,8 +57,8 @@ def typed_grid(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, queries: D
 def report_grid(reports: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20), windows: tuple[tuple[int, int], ...] = ((0, 0), (1, 1), (1, 2), (2, 2)), cap: int = 40) -> DataFrame:
     """typed_grid() where each query is a report's own: reports (best: its ranked chunks, chunks: all of them, with is_gold) -> a row a k and window.
 
-    A report gives its counts by type for every setting within its row. Equal counts are put together in each task before the shuffle, so that one has a row for each shape of
-    a report, not for each report.
+    What counts is a report's shape: the types, indexes and gold flags of its chunks and their ranks. Equal shapes are put together in each task before the shuffle, and settings are
+    tried once a shape.
     """
     tally = lambda cs, **sums: F.transform(F.array_sort(F.array_distinct(F.transform(cs, lambda c: c["chunk_type"]))), lambda t: F.struct(t.alias("type"), *[F.size(F.filter(cs, lambda c: (c["chunk_type"] == t) & test(c))).alias(n) for n, test in sums.items()]))
     every, golden = lambda c: F.lit(True), lambda c: c["is_gold"]
@@ -69,7 +69,9 @@ def report_grid(reports: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20), windo
         return bound(found, lambda f: F.array(*[F.struct(F.lit(k).alias("k"), F.struct(F.lit(tw).alias("text"), F.lit(tb).alias("tab")).alias("w"), upto(f, k).alias("types")) for k in ks]))
 
     gold = bound(F.filter("chunks", golden), lambda cs: tally(cs, n=every))
-    shapes = reports.select(gold.alias("golds"), F.flatten(F.array(*[cells(*w) for w in windows])).alias("cells")).groupBy("golds", "cells").agg(F.count("*").alias("c"))
+    fields = lambda c, *names: F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in ("chunk_type", "chunk_index", "is_gold", *names)]))
+    shapes = reports.select(fields("best", "rank").alias("best"), fields("chunks").alias("chunks")).groupBy("best", "chunks").agg(F.count("*").alias("c"))
+    shapes = shapes.select(gold.alias("golds"), F.flatten(F.array(*[cells(*w) for w in windows])).alias("cells"), "c")
     shapes = written(shapes, "shapes")
     total = lambda a, c: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x[c])
     per = shapes.select("c", total(F.col("golds"), "n").alias("n_gold"), F.explode("cells").alias("x")).select("c", "n_gold", "x.k", "x.w", "x.types", total(F.col("x.types"), "n").alias("n"), total(F.col("x.types"), "h").alias("h"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.programs import bound
 
 
 def ranked(scores: DataFrame, k: int, by: str = "query_id", order: list[Column] | None = None) -> DataFrame:
@@ -88,7 +89,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int =
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, held=held) -> Iterator[pa.RecordBatch]:
             asked = held.value
-            for b in batches:
+            # scores of one block and 256 vectors are held at a time
+            for b in (big.slice(at, 256) for big in batches for at in range(0, big.num_rows, 256)):
                 fits = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(b.column(1)), asked.shape[1]), False)
                 b = b.filter(fits)
                 if not b.num_rows:
@@ -132,12 +134,16 @@ def score_fusion(a: DataFrame, b: DataFrame, k: int = 40) -> DataFrame:
     return ranked(both.select("query_id", "chunk_id", F.round(z("a") + z("b"), 6).alias("score")), k)
 
 
-def lexical_score(q: Column, t: Column, kind: Column) -> Column:
-    """Overlap of distinct tokens of question and chunk + 0.7 number overlap + bonus for table rows and headers."""
-    digits = lambda a: F.filter(a, lambda x: x.rlike("[0-9]"))
-    share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0))
+def with_digits(tokens: Column) -> Column:
+    return F.filter(tokens, lambda x: x.rlike("[0-9]"))
+
+
+def lexical_score(q: Column, numbers: Column, t: Column, kind: Column) -> Column:
+    """Overlap of distinct tokens of question and chunk + 0.7 number overlap + bonus for table rows and headers; numbers: how many tokens of the question have digits."""
     bonus = F.when(kind == "table_row", 0.08).when(kind == "table_header", 0.03).otherwise(0.0)
-    return F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(share(q, t) + 0.7 * share(digits(q), digits(t)) + bonus)
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    some = lambda t: bound(F.array_intersect(q, t), lambda both: share(F.size(both), F.size(q)) + 0.7 * share(F.size(with_digits(both)), numbers) + bonus)
+    return bound(t, lambda t: F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(some(t)))
 
 
 def fused_score(q: Column, t: Column, score: Column) -> Column:
@@ -148,7 +154,7 @@ def fused_score(q: Column, t: Column, score: Column) -> Column:
 def lexical_rerank(candidates: DataFrame, k: int = 10) -> DataFrame:
     """candidates (query_id, chunk_id, query, text, chunk_type): overlap + 0.7 number overlap + bonus for table rows and headers."""
     q, t = F.array_distinct(T.bm25_tokens(F.col("query"))), F.array_distinct(T.bm25_tokens(F.col("text")))
-    score = lexical_score(q, t, F.col("chunk_type"))
+    score = lexical_score(q, F.size(with_digits(q)), t, F.col("chunk_type"))
     return ranked(candidates.select("query_id", "chunk_id", F.round(score, 6).alias("score")), k)
 
 

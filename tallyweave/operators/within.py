@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.programs import bound
-from .retrieval import fused_score, lexical_score, raw_idf
+from .retrieval import fused_score, lexical_score, raw_idf, with_digits
 
 
 def together(then, **values: Column) -> Column:
@@ -25,13 +25,14 @@ def chunk_id(c: Column) -> Column:
 def best(chunks: Column, score, id_of, k: int) -> Column:
     """The k chunks with the greatest score, ties by id, with score and rank from 1."""
     keyed = F.transform(chunks, lambda c: F.struct((-F.round(score(c), 6)).alias("o"), id_of(c).alias("id"), c.alias("c")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s, i: s["c"].withField("score", -s["o"]).withField("rank", i + 1))
+    return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda s, i: s["c"].withField("score", -s["o"]).withField("rank", i + 1))
 
 
 def lexical_best(chunks: Column, question: Column, k: int) -> Column:
     """lexical_rerank() of a report's own chunks."""
-    score = lambda x, c: bound(F.array_distinct(T.bm25_tokens(c["text"])), lambda t: lexical_score(x["q"], t, c["chunk_type"]))
-    return together(lambda x: best(x["c"], lambda c: score(x, c), chunk_id, k), c=chunks, q=F.array_distinct(T.bm25_tokens(question)))
+    score = lambda x, c: lexical_score(x["q"], x["numbers"], F.array_distinct(T.bm25_tokens(c["text"])), c["chunk_type"])
+    ranked = lambda x: together(lambda y: best(y["c"], lambda c: score(y, c), chunk_id, k), c=x["c"], q=x["q"], numbers=F.size(with_digits(x["q"])))
+    return together(ranked, c=chunks, q=F.array_distinct(T.bm25_tokens(question)))
 
 
 def fused_best(chunks: Column, asked: Column, k: int, id_of=chunk_id) -> Column:
@@ -51,14 +52,22 @@ def bm25_scores(tokens: Column, asked: Column, k1: float = 1.5, b: float = 0.75,
         mean = F.try_divide(F.aggregate(F.transform(y["words"], raw), F.lit(0.0), lambda s, v: s + v), F.size(y["words"]))
         times = lambda ts, term: F.size(F.filter(ts, lambda t: t == term))
         known = F.filter(F.array_distinct(x["q"]), lambda term: F.array_contains(y["words"], term))
-        terms = lambda m: F.transform(known, lambda term: bound(raw(term), lambda r: F.struct(term.alias("term"), (times(x["q"], term) * F.when(r < 0, eps * m).otherwise(r)).alias("w"))))
         part = lambda tf, w, size: w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / y["avgdl"]))
         add = lambda t: lambda s, q: s + bound(times(t, q["term"]), lambda tf: F.when(tf > 0, part(tf, q["w"], F.size(t))).otherwise(0.0))
-        return bound(bound(mean, terms), lambda qs: F.transform(x["t"], lambda t: F.round(F.aggregate(qs, F.lit(0.0), add(t)), 6)))
+        # the mean is asked for where some term is in more than half of the chunks
+        means = lambda qs: F.when(F.exists(qs, lambda q: q["raw"] < 0), mean)
+        weights = lambda qs: bound(means(qs), lambda m: F.transform(qs, lambda q: F.struct(q["term"].alias("term"), (times(x["q"], q["term"]) * F.when(q["raw"] < 0, eps * m).otherwise(q["raw"])).alias("w"))))
+        terms = bound(F.transform(known, lambda term: F.struct(term.alias("term"), raw(term).alias("raw"))), weights)
+        return bound(terms, lambda qs: F.transform(x["t"], lambda t: F.round(F.aggregate(qs, F.lit(0.0), add(t)), 6)))
 
     return together(of_report, t=tokens, q=asked)
 
 
+def with_scores(chunks: Column, scores: Column, name: str = "score") -> Column:
+    """chunks plus the score that stands at the same place; all scores are made once, which a column of them isn't sure to be."""
+    return bound(scores, lambda ss: F.transform(chunks, lambda c, i: c.withField(name, F.get(ss, i))))
+
+
 def words_used(words: Column, budget: int) -> Column:
     """word_budget()'s total over words in order of rank."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("kept"))
@@ -74,12 +83,14 @@ def evidence(primary: Column, chunks: Column, mentions, cap: int) -> Column:
     said = F.flatten(F.transform(primary, lambda p: F.transform(mentions(p["chunk_type"], p["chunk_index"]), lambda m: m.withField("rank", p["rank"]))))
 
     def found(x: Column) -> Column:
-        names = F.array_distinct(F.transform(x["said"], lambda m: F.struct(m["t"].alias("t"), m["i"].alias("i"))))
-        one = lambda n: F.get(F.filter(x["chunks"], lambda c: (c["chunk_type"] == n["t"]) & (c["chunk_index"] == n["i"])), 0)
-        first = lambda n: F.get(F.filter(x["said"], lambda m: (m["t"] == n["t"]) & (m["i"] == n["i"])), 0)
-        met = F.filter(F.transform(names, lambda n: F.struct(one(n).alias("c"), n.alias("n"))), lambda y: y["c"].isNotNull())
-        full = lambda y, i: bound(first(y["n"]), lambda m: y["c"].withField("rank", m["rank"]).withField("reason", m["reason"]).withField("pos", i + 1))
-        return F.transform(F.slice(met, 1, cap), full)
+        said_keys = F.transform(x["said"], lambda m: F.concat_ws(":", m["t"], m["i"].cast("string")))
+        return together(lambda y: kept(x, y), keys=F.transform(x["chunks"], chunk_id), said=said_keys)
+
+    def kept(x: Column, y: Column) -> Column:
+        names = F.slice(F.filter(F.array_distinct(y["said"]), lambda n: F.array_contains(y["keys"], n)), 1, cap)
+        at = lambda items, keys, n: F.get(items, F.array_position(keys, n).cast("int") - 1)
+        whole = lambda z, i: z["c"].withField("rank", z["m"]["rank"]).withField("reason", z["m"]["reason"]).withField("pos", i + 1)
+        return F.transform(names, lambda n, i: together(lambda z: whole(z, i), c=at(x["chunks"], y["keys"], n), m=at(x["said"], y["said"], n)))
 
     return together(found, said=said, chunks=chunks)
 
@@ -102,7 +113,7 @@ def z_scores(values: Column) -> Column:
 
 
 def rows_of(df: DataFrame, items: Column, *keys: Column) -> DataFrame:
-    """keys and the fields of each struct of items; outer, as Spark else makes the list once more to look at its size."""
+    """keys and the fields of each struct of items; outer, as Spark else makes the list once more to look at its size. For the same reason rows are left out by an empty or null list, not by a filter on what they are made of."""
     got = df.select(*keys, F.explode_outer(items).alias("_x"))
     return got.where("_x is not null").select(*got.columns[:-1], "_x.*")
 

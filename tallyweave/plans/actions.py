@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import actions as C
 from ..operators import evaluate as E
 from . import fixtures as X
-from .registry import _STATUS, FACTS, ORACLE_SQL, _rate, candidate_status, query, table
+from .registry import _STATUS, FACTS, ORACLE_SQL, _rate, query, table
 
 SCHEMAS = {"calculator": {"program": "string"}, "web_search": {"query": "string"}}
 
@@ -82,9 +82,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(conca
 @query(f"SELECT id, kind, prompt, chosen, rejected FROM {_COMPACT} p")
 def compact_pairs(spark, d) -> DataFrame:
     """The mixture's own sizes: 900 wrong ones, 900 anchors, 1,500 of other tasks."""
-    q = X.qa(spark, d).select("id", F.col("raw_output").alias("raw"), F.format_string("What is the change of %d?", "id").alias("question"), F.array(F.format_string("now %d", "a"), F.format_string("before %d", "b")).alias("evidence"), F.col("gold").alias("answer"), F.format_string("add(%d, 0)", "a").alias("chosen"))
+    q = E.candidate_status(X.tool(spark, d)).select("id", "status", F.col("raw_output").alias("raw"), F.format_string("What is the change of %d?", "id").alias("question"), F.array(F.format_string("now %d", "a"), F.format_string("before %d", "b")).alias("evidence"), F.col("gold").alias("answer"), F.format_string("add(%d, 0)", "a").alias("chosen"))
     said = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", "text")
-    return C.compact_pairs(candidate_status(spark, d).select("id", "status").join(q, "id"), C.replay_prompts(said), "Write one calculator call.", CAPS, 26)
+    return C.compact_pairs(q, C.replay_prompts(said), "Write one calculator call.", CAPS, 26)
 
 
 @query("""WITH c AS (SELECT o_orderkey AS id, 'get(' || o_custkey || ')' AS call, CASE WHEN o_orderkey % 3 = 0 THEN 'Find ' ELSE 'Get ' END || o_orderkey AS q FROM orders WHERE o_orderkey % 5 <> 4)

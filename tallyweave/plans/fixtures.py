@@ -22,7 +22,7 @@ SELECT id, a, b, k, concat(CAST(CAST(round(100.0*(a-b)/b) AS BIGINT) AS STRING),
 FROM (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS a, 1000+o_custkey AS b, o_orderkey % 8 AS k FROM {orders}) t
 """
 TOOL_SQL = """
-SELECT id, a, b, k, gold, CASE WHEN k=4 THEN raw_output ELSE concat('{"action": "tool_call", "tool_call": {"name": "',
+SELECT id, a, b, k, gold, raw_output, CASE WHEN k=4 THEN raw_output ELSE concat('{"action": "tool_call", "tool_call": {"name": "',
   CASE WHEN id % 11 = 0 THEN 'web_search' ELSE 'calculator' END, '", "arguments": {"program": "',
   regexp_extract(raw_output, '"program": "([^"]*)"', 1), '"}}}') END AS raw_tool FROM ({qa}) q
 """

@@ -177,9 +177,8 @@ p AS (SELECT sample_id, min(rank) FILTER (is_gold) AS first, sum(words) FILTER (
 SELECT count(*) AS num_samples, count(*) FILTER (has) AS gold_available, round(avg(n), 9) AS avg_chunks, round(avg(used), 9) AS avg_context_words, {", ".join(f"round(count(*) FILTER (has AND first <= {k}) / count(*) FILTER (has), 9) AS recall_at_{k}" for k in (1, 3, 5, 8, 15))} FROM p JOIN g USING (sample_id)""")
 def report_retrieval(spark, d) -> DataFrame:
     """From report to recall: chunks, BM25, the fused rerank, eight chunks within 700 words."""
-    asked = _marked(spark, d).where(F.size("chunks") > 0).withColumns({"asked": T.bm25_tokens(F.col("question")), "chunks": F.transform("chunks", lambda c: c.withField("tokens", T.bm25_tokens(c["text"])))})
-    scores = asked.withColumn("scores", I.bm25_scores(F.transform("chunks", lambda c: c["tokens"]), F.col("asked")))
-    scored = scores.withColumn("scored", F.transform("chunks", lambda c, i: c.withField("score", F.get("scores", i))))
+    asked = _marked(spark, d).withColumns({"asked": T.bm25_tokens(F.col("question")), "chunks": F.transform("chunks", lambda c: c.withField("tokens", T.bm25_tokens(c["text"])))})
+    scored = asked.withColumn("scored", I.with_scores(F.col("chunks"), I.bm25_scores(F.transform("chunks", lambda c: c["tokens"]), F.col("asked"))))
     first = I.best(F.col("scored"), lambda c: c["score"], I.chunk_id, 40)
     return _recall(scored.withColumn("best", I.fused_best(first, F.col("asked"), 15)), 9)
 
@@ -187,7 +186,8 @@ def report_retrieval(spark, d) -> DataFrame:
 def _recall(r: DataFrame, digits: int) -> DataFrame:
     """reports (chunks, best: fifteen of them by rank) -> one row: how often and where gold is found, and the words of eight chunks within 700."""
     words = F.transform(F.filter("best", lambda c: c["rank"] <= 8), lambda c: F.size(F.split(c["text"], " ")))
-    per = r.select(F.size("chunks").alias("n"), F.exists("chunks", lambda c: c["is_gold"]).alias("some"), F.array_min(F.transform(F.filter("best", lambda c: c["is_gold"]), lambda c: c["rank"])).alias("first"), I.words_used(words, 700).alias("used"))
+    one = F.struct(F.size("chunks").alias("n"), F.exists("chunks", lambda c: c["is_gold"]).alias("some"), F.array_min(F.transform(F.filter("best", lambda c: c["is_gold"]), lambda c: c["rank"])).alias("first"), I.words_used(words, 700).alias("used"))
+    per = I.rows_of(r, F.when(F.size("chunks") > 0, F.array(one)))
     return per.agg(F.count("*").alias("num_samples"), F.count_if("some").alias("gold_available"), F.round(F.avg("n"), digits).alias("avg_chunks"), F.round(F.avg("used"), digits).alias("avg_context_words"), *[E.rate(F.coalesce(F.col("first") <= k, F.lit(False)), F.col("some")).alias(f"recall_at_{k}") for k in (1, 3, 5, 8, 15)])
 
 
@@ -238,8 +238,8 @@ def candidate_eval(spark, d) -> DataFrame:
 @query(_turns(f", {_rate('k <> 4')} AS final_action_valid_rate, {_rate('k <> 4 AND ' + _scaled('x', 'pct', GOLDS, 0.01))} AS scaled_final_acc_at_1pct, {_rate('k <> 4 AND ' + _scaled('x', 'pct', GOLDS, 0.05))} AS scaled_final_acc_at_5pct"))
 def controller_eval(spark, d) -> DataFrame:
     final = F.when(F.col("k") == 4, "no idea").otherwise(F.concat(F.lit('{"action": "final", "answer": "'), F.col("said"), F.lit('"}')))
-    said = X.qa(spark, d).select("id", F.regexp_extract("raw_output", '"answer": "([^"]*)"', 1).alias("said"))
-    return E.controller_metrics(X.tool(spark, d).join(said, "id").withColumn("raw_final", final))
+    said = F.regexp_extract("raw_output", '"answer": "([^"]*)"', 1)
+    return E.controller_metrics(X.tool(spark, d).withColumn("said", said).withColumn("raw_final", final))
 
 
 @query(f"SELECT id, ok, CASE WHEN ok THEN round(w / 1e9, 15) END AS billion, CASE WHEN ok THEN round(abs(w) / 1e9, 15) END AS abs_billion FROM (SELECT id, w, w IS NOT NULL AS ok FROM {FACTS} f0) t")
