@@ -10,12 +10,15 @@ compares all pairs of the prefix buckets whose ends the first left in different
 a bucket's size.
 
 At scale: rows shuffled are narrow (node and bucket), buckets are counted with partial sums, and texts are shuffled only where
-a bitmap of bounded size says that they are candidates, or copies to be dropped.
+a bitmap of bounded size says that they are candidates, or copies to be dropped; what is compared travels as compressed text, since sets of hashes don't shrink.
+Tables and shuffle files are given back as soon as nothing reads them any more, so the disk holds one search at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_places, join_dealt_anew, maybe_in, written
+from .common import bitmap, bitmap_places, join_dealt_anew, maybe_in, release, written
 from .components import connected_components
 from .op8_simhash import LOWER, PIECE, covering_masks
 
@@ -130,7 +133,9 @@ def _reach(n: str, i: str, m: str, j: str) -> Column:
 def _shared(nodes: DataFrame) -> DataFrame:
     """(node, n, i, key) for the prefixes' keys that two nodes or more have, and a few that pass the bitmap besides."""
     twice = nodes.select(F.explode("p").alias("k")).groupBy("k").count().where("count > 1").select("k")
-    held, bits = bitmap(written(twice, "twice"))
+    twice = written(twice, "twice")
+    held, bits = bitmap(twice)
+    release(nodes.sparkSession, twice)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,10 +149,14 @@ def _shared(nodes: DataFrame) -> DataFrame:
 def _members(nodes: DataFrame) -> DataFrame:
     """(key, node, n, i, b, m, j) for each node in a prefix bucket of two or more: b, m, j are the bucket's leader."""
     rows = _shared(nodes)
-    draw = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)))
-    leader = F.min(F.struct(draw.alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("leader")
+    # the drawn number gives the node back, so only one of them is moved; both tables are read from files, so a plain join deals them out for itself
+    draw = F.xxhash64(F.pmod("key", F.lit(LEADERS)))
+    leader = F.min(F.struct(F.col("node").bitwiseXOR(draw).alias("h"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("leader")
     buckets = written(rows.groupBy("key").agg(F.count("*").alias("size"), leader).where("size > 1").select("key", "leader"), "leaders")
-    return written(join_dealt_anew(rows, buckets, ["key"]).select("key", "node", "n", "i", "leader.b", "leader.m", "leader.j"), "prefixes")
+    release(nodes.sparkSession)
+    out = written(rows.join(buckets, "key").select("key", "node", "n", "i", F.col("leader.h").bitwiseXOR(draw).alias("b"), "leader.m", "leader.j"), "prefixes")
+    release(nodes.sparkSession, rows, buckets)
+    return out
 
 
 def _led(members: DataFrame) -> DataFrame:
@@ -156,25 +165,34 @@ def _led(members: DataFrame) -> DataFrame:
     return members.where(ok).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
-def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the prefix buckets that can be similar and whose ends have different roots."""
+def _rest(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the prefix buckets that can be similar and whose ends have different roots, but those of done."""
     named = join_dealt_anew(members.select("key", "node", "n", "i"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "rooted")
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     x = written(join_dealt_anew(named, mixed, ["key"]), "mixed")
     y = x.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     ok = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _fits("n", "m") & _reach("n", "i", "m", "j")
-    return join_dealt_anew(x, y, ["key"]).where(ok).select(F.col("node").alias("a"), "b")
+    release(members.sparkSession, named)
+    out = written(join_dealt_anew(x, y, ["key"]).where(ok).select(F.col("node").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    release(members.sparkSession, x)
+    return out
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a node and the leader of a covering bucket that it is in, where their sizes allow the similarity."""
-    keys = F.array(*[F.struct(F.lit(len(SEEDS) * i + j).alias("t"), F.get("f", j).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(RADIUS)) for j in range(len(SEEDS))])
-    rows = nodes.select("node", "n", F.explode(keys).alias("x")).select("x.t", "x.key", "node", "n")
-    leader = F.min(F.struct(F.xxhash64("t", "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))).alias("leader")
-    buckets = written(rows.groupBy("t", "key").agg(F.count("*").alias("size"), leader).where("size > 1"), "buckets")
-    member = join_dealt_anew(rows, buckets, ["t", "key"]).select("node", "n", "leader.b", "leader.m")
-    return member.where(_fits("n", "m") & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    # a bucket goes by one hash of its table and key: two that meet by chance add candidates, which are compared like others
+    keys = F.array(*[F.xxhash64(F.lit(len(SEEDS) * i + j), F.get("f", j).bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(RADIUS)) for j in range(len(SEEDS))])
+    rows = nodes.select("node", "n", F.explode(keys).alias("key"))
+    draw = F.xxhash64("key")
+    leader = F.min(F.struct(F.col("node").bitwiseXOR(draw).alias("h"), F.col("n").alias("m"))).alias("leader")
+    buckets = written(rows.groupBy("key").agg(F.count("*").alias("size"), leader).where("size > 1").select("key", "leader"), "buckets")
+    release(nodes.sparkSession)
+    member = rows.join(buckets, "key").select("node", "n", F.col("leader.h").bitwiseXOR(draw).alias("b"), "leader.m")
+    member = member.where(_fits("n", "m") & (F.col("node") != F.col("b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    out = written(member.distinct(), "candidates")
+    release(nodes.sparkSession, buckets)
+    return out
 
 
 def _texts(keyed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -194,23 +212,29 @@ def _similar(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(join_dealt_anew(nodes.select("node", "first.*"), ends, ["node"]), "wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(_words(t.as_py())).tobytes() for t in b.column(1)], pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(b" ".join(_words(t.as_py())), 1) for t in b.column(1)], pa.binary())], ["node", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lru_cache(8)(lambda z: shingles(zlib.decompress(z).split()))
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                u, v = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                u, v = one(x.as_py()), one(y.as_py())
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append((OVER + UNDER) * both >= OVER * (len(u) + len(v)))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # rows equal in id and text give a set twice; one is enough
-    s = written(_texts(keyed, wanted).select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
-    both = pairs.join(s.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(s.withColumnsRenamed({"node": "b", "s": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    # rows equal in id and text give a text twice; one is enough
+    s = written(_texts(keyed, wanted).select("node", "text").mapInArrow(pack, "node long, s binary"), "packed")
+    release(keyed.sparkSession, wanted)
+    first = written(pairs.join(s.withColumnsRenamed({"node": "a", "s": "x"}), "a"), "sides")
+    release(keyed.sparkSession)
+    both = first.join(s.withColumnsRenamed({"node": "b", "s": "y"}), "b")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    release(keyed.sparkSession, s, first)
+    return out
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
@@ -224,16 +248,24 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     doc = F.col("doc_id").cast("long")
     key = [F.coalesce(doc, F.lit(NONE)).alias("d"), F.xxhash64("doc_id", "text").alias("k")]
     keyed = docs.select("text", *key)
-    rows = written(_features(keyed), "features")
+    spark = docs.sparkSession
+    release(spark)
+    features = written(_features(keyed), "features")
     # null ids, kept as the least long, come last
     order = F.struct((F.col("d") == NONE).alias("late"), "d", "k")
-    nodes = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max_by("f", "n").alias("f"), F.max_by("p", "n").alias("p")), "nodes")
-    members = _members(nodes)
-    pairs = written(_candidates(nodes).union(_led(members)).distinct(), "pairs")
-    edges = written(_similar(pairs, keyed, nodes), "similar")
-    more = written(_rest(members, connected_components(edges)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    edges = written(edges.union(_similar(more, keyed, nodes)), "similar")
+    wide = written(features.groupBy("node").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max_by("f", "n").alias("f"), F.max_by("p", "n").alias("p")), "nodes")
+    rows, nodes = written(features.select("node", "d", "k"), "rows"), written(wide.select("node", "first"), "nodes")
+    release(spark, features)
+    members, covering = _members(wide), _candidates(wide)
+    release(spark, wide)
+    pairs = written(covering.union(_led(members)).distinct(), "pairs")
+    release(spark, covering)
+    edges = _similar(pairs, keyed, nodes)
+    more = _rest(members, connected_components(edges), pairs)
+    release(spark, members, pairs)
+    edges = edges.union(_similar(more, keyed, nodes))
     roots = written(connected_components(edges), "roots")
+    release(spark, more)
     rooted = join_dealt_anew(nodes.select("node", "first"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     heads = written(join_dealt_anew(rooted.select("node", "root"), firsts, ["root"]).select("node", "kept"), "heads")

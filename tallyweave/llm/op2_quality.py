@@ -198,9 +198,13 @@ def _counted(docs: DataFrame) -> DataFrame:
     return _vector(counts.withColumns({"lang_k": key("lang"), "source_k": key("source")}))
 
 
-def _verdict(counted: DataFrame, cutoff: float) -> DataFrame:
-    est = mcd_estimates(counted.where("not base_failed").select(*G, *X))
-    return _distance(counted.join(est, G, "left")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
+def _estimates(counted: DataFrame) -> DataFrame:
+    return mcd_estimates(counted.where("not base_failed").select(*G, *X))
+
+
+def _verdict(counted: DataFrame, est: DataFrame, cutoff: float) -> DataFrame:
+    # rows that fail the base rules have no x*, hence no distance
+    return _distance(counted.join(est, G, "left")).withColumn("kept", F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -214,22 +218,19 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     judged alike and stay repeated; an empty table gives no row; further columns are ignored.
     """
     base = written(_counted(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return _verdict(base, cutoff).select("doc_id", *COUNTS, F.col("d2").alias("distance"), "kept")
+    return _verdict(base, _estimates(base), cutoff).select("doc_id", *COUNTS, F.col("d2").alias("distance"), "kept")
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they were.
 
-    Texts are counted once, into a narrow table; the rejected rows' keys, hashes of 128 bits over id, text, lang and source, are joined back. Null and
+    Texts are counted once for the estimates and again where they are judged, in place: that costs less than a shuffle of the texts. Null and
     empty texts go, as they fail the base rules; null lang or source form groups of their own; repeated rows are judged
     alike; an empty table gives no row.
     """
-    named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] + ["doc_id", "text", "lang", "source"])
-    keys = {"_k": F.xxhash64("doc_id", "text", "lang", "source"), "_j": F.xxhash64(F.lit(2), "text", "source", "lang", "doc_id")}
-    plain = docs.select("doc_id", "text", "lang", "source").withColumns(keys)
-    base = written(_counted(plain).select("_k", "_j", "base_failed", *G, *X), "quality")
-    gone = written(_verdict(base, cutoff).where(~F.col("kept")).select("_k", "_j").distinct(), "rejected")
-    stay = named.withColumns(keys).join(gone, ["_k", "_j"], "left_anti")
+    base = written(_counted(docs.select("text", "lang", "source")).select("base_failed", *G, *X), "quality")
+    named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] + ["text", "lang", "source"])
+    stay = _verdict(_counted(named), _estimates(base), cutoff).where("kept")
     return stay.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
