@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.programs import bound
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, origin: str | None = None) -> DataFrame:
     """One record a line; blank lines are skipped, a corrupt one fails the read. origin: a column for the file's name."""
@@ -51,19 +53,26 @@ def report_from_prompt(prompts: DataFrame) -> DataFrame:
     """(id, text) prompts with section markers -> (id, section, pos, line, cells), pos within the context.
 
     The context stands between `Financial context:` (or the text's beginning) and an empty line with `Question:`. A line that begins with a marker opens its section, what follows in
-    that line is dropped; lines before the first marker and blank ones are dropped, and within a table those that begin with `|` and a dash. Null texts have no lines.
+    that line is dropped; lines before the first marker and blank ones are dropped, and within a table those that begin with `|` and a dash. Null texts have no lines. Each prompt is read within its row: nothing is shuffled or sorted, and prompts with equal ids don't mix.
     """
     own = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)^.*?Financial context:", "")
     context = F.regexp_replace(own, r"(?s)\n\nQuestion:.*$", "")
-    lines = prompts.select("id", F.posexplode(F.split(context, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
-    mark = F.regexp_extract(F.lower("line"), r"^(pre-text|table|post-text):", 1)
-    w = Window.partitionBy("id").orderBy("pos")
-    carried = lines.withColumn("mark", F.when(mark != "", F.replace(mark, F.lit("-"), F.lit("_")))).withColumn("section", F.last("mark", ignorenulls=True).over(w))
-    rule = (F.col("section") == "table") & F.col("line").rlike(r"^\|\s*-")
-    body = carried.where(F.col("mark").isNull() & F.col("section").isNotNull() & (F.col("line") != "") & ~rule)
+    lines = F.transform(F.split(context, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    mark = lambda x: F.replace(F.regexp_extract(F.lower(x), r"^(pre-text|table|post-text):", 1), F.lit("-"), F.lit("_"))
+
+    def body(x: Column, m: Column, i: Column) -> Column:
+        """The lines of the section that mark m, the i-th, opens: those up to the next mark."""
+        upto = F.coalesce(F.get(x["marks"], i + 1)["pos"], F.size(x["lines"]))
+        own = F.transform(F.slice(x["lines"], m["pos"] + 2, upto - m["pos"] - 1), lambda line, j: F.struct(m["mark"].alias("section"), (m["pos"] + 1 + j).alias("pos"), line.alias("line")))
+        return F.filter(own, lambda r: (r["line"] != "") & ~((r["section"] == "table") & r["line"].rlike(r"^\|\s*-")))
+
+    marks = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(mark(x).alias("mark"), i.alias("pos"))), lambda m: m["mark"] != "")
+    held = bound(lines, lambda ls: F.struct(ls.alias("lines"), marks(ls).alias("marks")))
+    found = bound(held, lambda x: F.flatten(F.transform(x["marks"], lambda m, i: body(x, m, i))))
+    # outer, as the list would else be made once more for a filter on its size
+    rows = prompts.select("id", F.explode_outer(found).alias("r")).where("r is not null").select("id", "r.*")
     cells = F.when(F.col("section") == "table", F.transform(F.split(F.btrim("line", F.lit("| ")), r"\|"), lambda c: F.trim(c)))
-    return body.select("id", "section", "pos", "line", cells.alias("cells"))
+    return rows.select("id", "section", "pos", "line", cells.alias("cells"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -46,3 +46,13 @@ def test_sentences_are_split_once(spark):
 def test_pairs_read_orders_once(spark):
     for name in ("pairs_mixed", "compact_pairs", "controller_eval"):
         assert plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")).count("o_totalprice") <= 4, name
+
+
+def test_prompts_are_read_within_their_rows(spark):
+    from tallyweave.sources import io as S
+
+    texts = ["Pre-text:\na\nTable:\n| 1 |\nPost-text:\nb", "Table:\n|-\n| 2 |\n\nPre-text:\n\nc"]
+    got = S.report_from_prompt(spark.createDataFrame([(1, t) for t in texts], "id long, text string"))
+    assert "Window" not in plan(got) and "Window" not in plan(registry.QUERIES["report_from_prompt"](spark, "/root/testdata/sf0.001"))
+    want = [("post_text", 5, "b"), ("pre_text", 1, "a"), ("pre_text", 6, "c"), ("table", 2, "| 2 |"), ("table", 3, "| 1 |")]
+    assert sorted((r.section, r.pos, r.line) for r in got.collect()) == want
