@@ -62,9 +62,9 @@ def duck_tool() -> str:
     return f"({TOOL_SQL.replace('{qa}', QA_SQL.replace('{orders}', 'orders'))})"
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as chunks; the first line is the header, the others rows."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+def chunks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Lines of documents, or of those given, as chunks; the first line is the header, the others rows."""
+    lines = (table(spark, sf_dir, "documents") if docs is None else docs).select(F.col("doc_id").alias("sample_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
     return lines.where(F.trim("text") != "").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 

@@ -61,3 +61,8 @@ def test_prompts_are_read_within_their_rows(spark):
 def test_turns_are_chosen_from_paths(spark):
     got = plan(registry.QUERIES["turn_prompt_rows"](spark, "/root/testdata/sf0.001")).lower()
     assert "parse_json" not in got and "parsejson" not in got and "takeordered" not in got
+
+
+def test_gold_passages_are_found_once(spark):
+    got = plan(registry.QUERIES["gold_label_text"](spark, "/root/testdata/sf0.001"))
+    assert "xxhash64" not in got and "LeftSemi" in got
