@@ -3,7 +3,8 @@
 Texts with the same words are one node. Two searches give candidates, which are compared exactly. The covering search: nodes get
 SEEDS independent fingerprints of their distinct words, each searched with the covering tables of radius 2. The prefix search, which
 misses no pair: in any one order of all shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1 members.
-The order is by count in a sample, then by hash; the sample decides the cost, not the result.
+The order is by count in a sample, then by hash; the sample decides the cost, not the result. It is a fixed share of the texts: in a
+sample of fixed size, shingles of buckets that grow with the input would soon count as rare, and their pairs grow with the square.
 
 The first round compares the members of the covering and of the prefix buckets with leaders. The second
 compares all pairs of the prefix buckets whose ends the first left in different components: pairs within one add nothing to it. So no link is lost, whatever
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_places, join_dealt_anew, maybe_in, release, written
+from .common import bitmap, bitmap_places, join_dealt_anew, maybe_in, plain_maybe_in, plain_places, release, written
 from .components import connected_components
 from .op8_simhash import LOWER, PIECE, covering_masks
 
@@ -36,8 +37,9 @@ OVER, UNDER = 4, 5
 SEEDS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(6))
 RADIUS = 2
 NONE = -(1 << 63)
-#: Texts sampled for the order of shingles, and the count in the sample from which a shingle comes after the others.
-SAMPLE, COMMON = 20_000, 10
+#: One text in RATE is sampled for the order of shingles; those with a count of OFTEN in the sample come after the others. From COMMON on,
+#: or COMMON in each SAMPLE texts of a larger sample, they go by the count itself.
+RATE, OFTEN, COMMON, SAMPLE = 8, 2, 10, 20_000
 #: Leaders that a prefix bucket's node may have, by the bucket's key.
 LEADERS = 8
 BASE = 0x9E3779B97F4A7C15
@@ -60,12 +62,12 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return np.unique((x * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first members of s by count (common is sorted; others count as 0) and hash: a similar set has one of them among its own first."""
-    rank = np.zeros(len(s), np.int64)
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, often: np.ndarray, bits: int) -> np.ndarray:
+    """The first members of s by rank and hash: a similar set has one of them among its own first. Ranks: none for those of no bitmap, then the bitmap, then the counts of common (sorted)."""
+    rank = plain_maybe_in(often, bits, s.view(np.uint64)).astype(np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        rank = np.where(common[at] == s, counts[at], 0)
+        rank = np.where(common[at] == s, counts[at], rank)
     return s[np.lexsort((s, rank))[: len(s) + OVER * -len(s) // UNDER + 1]]
 
 
@@ -86,25 +88,27 @@ def word_fingerprints(words: list[bytes]) -> list[int]:
     return out
 
 
-def _common(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that COMMON or more of about SAMPLE texts have, sorted, and their counts: bounded by the sample, whatever the number of texts."""
-    total = keyed.count()
-    some = keyed if total <= SAMPLE else keyed.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < SAMPLE * (1 << 30) // total)
+def _order(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The order by the counts in one text of RATE. What reaches the driver is bounded whatever the number of texts: a bitmap, and the shingles of the highest counts."""
+    some = keyed.where(F.pmod(F.xxhash64("k"), F.lit(RATE)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(_words(t.as_py())))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(_words(t.as_py())))], ["k"])
 
-    got = some.select("text").mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON).toArrow()
-    key, count = got.column("key").to_numpy(), got.column("count").to_numpy()
-    order = np.argsort(key)
-    return key[order], count[order]
+    often = written(some.mapInArrow(run, "k long").groupBy("k").count().where(F.col("count") >= OFTEN), "often")
+    held, bits = bitmap(often, of=plain_places)
+    got = often.where(F.col("count") >= max(COMMON, COMMON * some.count() // SAMPLE)).toArrow()
+    release(keyed.sparkSession, often)
+    key, count = got.column("k").to_numpy(), got.column("count").to_numpy()
+    at = np.argsort(key)
+    return key[at], count[at], held.value, bits
 
 
 def _features(keyed: DataFrame) -> DataFrame:
     """(d, k, node, n, f, p): node names the words of a text in order, n counts its distinct shingles, f are its fingerprints, p its prefix."""
-    held = keyed.sparkSession.sparkContext.broadcast(_common(keyed))
+    held = keyed.sparkSession.sparkContext.broadcast(_order(keyed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

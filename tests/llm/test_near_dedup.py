@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from tallyweave.llm import near_dedup
 from tallyweave.llm.near_dedup import keep_one_each
 
 SCHEMA = "doc_id long, text string"
@@ -50,3 +53,16 @@ def test_all_pairs(spark):
     pairs, want = brute(rows)
     assert pairs > 300
     assert {x.doc_id for x in keep_one_each(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == want
+
+
+def test_shared_passage_is_no_prefix_however_many_texts_there_are(spark, monkeypatch):
+    """A passage of 60 texts in 400 comes last in the order, though a sample of fixed size would hardly see it."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 40)
+    r = random.Random(3)
+    many = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(9)) for _ in range(n)]
+    passage = many(30)
+    texts = [" ".join(many(100) + (passage if i < 60 else [])) for i in range(400)]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "d long, text string").withColumn("k", F.xxhash64("d", "text"))
+    shared = set(near_dedup.shingles([w.encode() for w in passage]).tolist())
+    prefixes = [set(x.p) for x in near_dedup._features(keyed).collect()]
+    assert len(prefixes) == 400 and not any(p & shared for p in prefixes)
