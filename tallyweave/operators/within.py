@@ -5,12 +5,14 @@ Chunks are an array of structs, as report_chunks() makes them. Scores and orders
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.programs import bound
-from .retrieval import fused_score, lexical_score, raw_idf, with_digits
+from . import lists
+from .retrieval import lexical_score, with_digits
 
 
 def together(then, **values: Column) -> Column:
@@ -35,32 +37,16 @@ def lexical_best(chunks: Column, question: Column, k: int) -> Column:
     return together(ranked, c=chunks, q=F.array_distinct(T.bm25_tokens(question)))
 
 
-def fused_best(chunks: Column, asked: Column, k: int, id_of=chunk_id) -> Column:
-    """fused_rerank() of chunks with fields score and tokens; asked: the question's tokens."""
-    return together(lambda x: best(x["c"], lambda c: fused_score(x["q"], F.array_distinct(c["tokens"]), c["score"]), id_of, k), c=chunks, q=F.array_distinct(asked))
-
-
 def bm25_scores(tokens: Column, asked: Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Column:
     """bm25() of a report's own chunks: a score for each array of tokens; asked: the question's tokens."""
 
-    def of_report(x: Column) -> Column:
-        total = F.aggregate(x["t"], F.lit(0), lambda s, t: s + F.size(t))
-        return together(lambda y: weighed(x, y), sets=F.transform(x["t"], lambda t: F.array_distinct(t)), words=F.array_distinct(F.flatten(x["t"])), avgdl=total / F.greatest(F.size(x["t"]), F.lit(1)))
+    def run(own, said):
+        (chunks, of), (words, whose), rows = lists.flat(own), lists.flat(said), len(own)
+        held, chunk = lists.flat(chunks)
+        held, words = lists.numbered(held, words)
+        return lists.listed(pa.array(lists.bm25_scores(held, chunk, of, words, whose, rows, k1, b, eps)[0]), of, rows)
 
-    def weighed(x: Column, y: Column) -> Column:
-        raw = lambda term: raw_idf(F.size(x["t"]), F.size(F.filter(y["sets"], lambda s: F.array_contains(s, term))))
-        mean = F.try_divide(F.aggregate(F.transform(y["words"], raw), F.lit(0.0), lambda s, v: s + v), F.size(y["words"]))
-        times = lambda ts, term: F.size(F.filter(ts, lambda t: t == term))
-        known = F.filter(F.array_distinct(x["q"]), lambda term: F.array_contains(y["words"], term))
-        part = lambda tf, w, size: w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / y["avgdl"]))
-        add = lambda t: lambda s, q: s + bound(times(t, q["term"]), lambda tf: F.when(tf > 0, part(tf, q["w"], F.size(t))).otherwise(0.0))
-        # the mean is asked for where some term is in more than half of the chunks
-        means = lambda qs: F.when(F.exists(qs, lambda q: q["raw"] < 0), mean)
-        weights = lambda qs: bound(means(qs), lambda m: F.transform(qs, lambda q: F.struct(q["term"].alias("term"), (times(x["q"], q["term"]) * F.when(q["raw"] < 0, eps * m).otherwise(q["raw"])).alias("w"))))
-        terms = bound(F.transform(known, lambda term: F.struct(term.alias("term"), raw(term).alias("raw"))), weights)
-        return bound(terms, lambda qs: F.transform(x["t"], lambda t: F.round(F.aggregate(qs, F.lit(0.0), add(t)), 6)))
-
-    return together(of_report, t=tokens, q=asked)
+    return lists.in_column(run, "array<double>")(tokens, asked)
 
 
 def with_scores(chunks: Column, scores: Column, name: str = "score") -> Column:
@@ -68,13 +54,6 @@ def with_scores(chunks: Column, scores: Column, name: str = "score") -> Column:
     return bound(scores, lambda ss: F.transform(chunks, lambda c, i: c.withField(name, F.get(ss, i))))
 
 
-def words_used(words: Column, budget: int) -> Column:
-    """word_budget()'s total over words in order of rank."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("kept"))
-    skip = lambda a, w: (a["used"] >= budget) | ((a["kept"] > 0) & (a["used"] + w > budget))
-    return F.aggregate(words, start, lambda a, w: F.when(skip(a, w), a).otherwise(F.struct((a["used"] + w).cast("long").alias("used"), (a["kept"] + 1).alias("kept"))), lambda a: a["used"])
-
-
 def evidence(primary: Column, chunks: Column, mentions, cap: int) -> Column:
     """primary: chunks with rank, in its order; mentions(kind, index) -> array<struct<t, i, reason>> of a primary -> array<struct<chunk_type, chunk_index, text, rank, reason, pos>>.
 
@@ -101,36 +80,7 @@ def assembled(found: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.transform(found, line), "\n"))
 
 
-def z_scores(values: Column) -> Column:
-    """Each value's distance from the mean in population deviations; a deviation below 1e-8: 0."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-
-    def scaled(x: Column) -> Column:
-        spread = F.sqrt(total(F.transform(x["v"], lambda v: (v - x["mean"]) * (v - x["mean"]))) / F.greatest(F.size(x["v"]), F.lit(1)))
-        return bound(spread, lambda sd: F.transform(x["v"], lambda v: F.when(sd < 1e-8, 0.0).otherwise((v - x["mean"]) / sd)))
-
-    return bound(values, lambda vs: together(scaled, v=vs, mean=total(vs) / F.greatest(F.size(vs), F.lit(1))))
-
-
 def rows_of(df: DataFrame, items: Column, *keys: Column) -> DataFrame:
     """keys and the fields of each struct of items; outer, as Spark else makes the list once more to look at its size. For the same reason rows are left out by an empty or null list, not by a filter on what they are made of."""
     got = df.select(*keys, F.explode_outer(items).alias("_x"))
     return got.where("_x is not null").select(*got.columns[:-1], "_x.*")
-
-
-def score_fused(scored: Column, id_of, k: int) -> Column:
-    """score_fusion() of the k best by each of two scores, fields a and b of a report's own chunks (null: not on that side): the k best by the sum of both z-scores."""
-
-    def side(x: Column, name: str) -> Column:
-        mine = F.filter(x, lambda c: c[name].isNotNull())
-        return F.when(F.size(mine) <= k, F.transform(mine, id_of)).otherwise(F.transform(best(mine, lambda c: c[name], id_of, k), id_of))
-
-    def met(x: Column, y: Column) -> Column:
-        held = lambda c, name: F.when(F.array_contains(y[name], id_of(c)), c[name])
-        both = F.transform(x, lambda c: c.withField("a", held(c, "a")).withField("b", held(c, "b")))
-        some = F.transform(F.filter(both, lambda c: c["a"].isNotNull() | c["b"].isNotNull()), lambda c: c.withField("a", F.coalesce(c["a"], F.lit(0.0))).withField("b", F.coalesce(c["b"], F.lit(0.0))))
-        z = lambda cs, name: z_scores(F.transform(cs, lambda c: c[name]))
-        summed = lambda w: F.transform(w["c"], lambda c, i: c.withField("score", F.get(w["a"], i) + F.get(w["b"], i)))
-        return bound(some, lambda cs: best(together(summed, c=cs, a=z(cs, "a"), b=z(cs, "b")), lambda c: c["score"], id_of, k))
-
-    return bound(scored, lambda x: together(lambda y: met(x, y), a=side(x, "a"), b=side(x, "b")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..operators import agents as A
 from ..operators import assembly as B
 from ..operators import datasets as D
 from ..operators import evaluate as E
+from ..operators import lists as L
 from ..operators import retrieval as R
 from ..operators import within as I
 from . import fixtures as X
@@ -56,7 +60,7 @@ def report_chunks(spark, d) -> DataFrame:
 def _marked(spark, d) -> DataFrame:
     """Reports with the list of their chunks, gold ones marked."""
     r = reports(spark, d)
-    return r.withColumn("chunks", B.marked(B.chunk_list(r), F.col("gold"), "chunk_index"))
+    return r.withColumn("chunks", B.chunk_list(r)).withColumn("chunks", B.marked(F.col("chunks"), F.col("gold"), "chunk_index"))
 
 
 def _labelled(spark, d) -> DataFrame:
@@ -177,17 +181,28 @@ p AS (SELECT sample_id, min(rank) FILTER (is_gold) AS first, sum(words) FILTER (
 SELECT count(*) AS num_samples, count(*) FILTER (has) AS gold_available, round(avg(n), 9) AS avg_chunks, round(avg(used), 9) AS avg_context_words, {", ".join(f"round(count(*) FILTER (has AND first <= {k}) / count(*) FILTER (has), 9) AS recall_at_{k}" for k in (1, 3, 5, 8, 15))} FROM p JOIN g USING (sample_id)""")
 def report_retrieval(spark, d) -> DataFrame:
     """From report to recall: chunks, BM25, the fused rerank, eight chunks within 700 words."""
-    asked = _marked(spark, d).withColumns({"asked": T.bm25_tokens(F.col("question")), "chunks": F.transform("chunks", lambda c: c.withField("tokens", T.bm25_tokens(c["text"])))})
-    scored = asked.withColumn("scored", I.with_scores(F.col("chunks"), I.bm25_scores(F.transform("chunks", lambda c: c["tokens"]), F.col("asked"))))
-    first = I.best(F.col("scored"), lambda c: c["score"], I.chunk_id, 40)
-    return _recall(scored.withColumn("best", I.fused_best(first, F.col("asked"), 15)), 9)
 
+    def found(kinds, indexes, texts, question, gold):
+        (text, of), (own, whose), rows = L.flat(texts), L.flat(gold), len(question)
+        text, index = L.strings(text), L.flat(indexes)[0]
+        ids = L.id_order(pa.compute.binary_join_element_wise(L.flat(kinds)[0], index.cast(pa.string()), ":"))
+        (words, chunk), (asked, by) = L.tokens(text), L.tokens(L.strings(question))
+        words, asked = L.numbered(words, asked)
+        scores, share = L.bm25_scores(words, chunk, of, asked, by, rows)
+        first = np.sort(L.best(scores, ids, of, 40)[0])
+        places, rank = L.fused_best(share[first], scores[first], ids[first], of[first], 15)
+        return L.recalled(text, L.gold_flags(text, L.integers(index), of, L.strings(own), whose), of, first[places], rank, rows)
 
-def _recall(r: DataFrame, digits: int) -> DataFrame:
-    """reports (chunks, best: fifteen of them by rank) -> one row: how often and where gold is found, and the words of eight chunks within 700."""
-    words = F.transform(F.filter("best", lambda c: c["rank"] <= 8), lambda c: F.size(F.split(c["text"], " ")))
-    one = F.struct(F.size("chunks").alias("n"), F.exists("chunks", lambda c: c["is_gold"]).alias("some"), F.array_min(F.transform(F.filter("best", lambda c: c["is_gold"]), lambda c: c["rank"])).alias("first"), I.words_used(words, 700).alias("used"))
-    per = I.rows_of(r, F.when(F.size("chunks") > 0, F.array(one)))
+    r = reports(spark, d)
+    r = r.withColumn("chunks", B.chunk_list(r)).select("chunks.chunk_type", "chunks.chunk_index", "chunks.text", "question", "gold")
+    return _recall(L.in_batches(r, found, RECALLED), 9)
+
+
+RECALLED = "n int, some boolean, first int, used long"
+
+
+def _recall(per: DataFrame, digits: int) -> DataFrame:
+    """reports as lists.recalled() has them -> one row: how often and where gold is found, and the words of eight chunks within 700."""
     return per.agg(F.count("*").alias("num_samples"), F.count_if("some").alias("gold_available"), F.round(F.avg("n"), digits).alias("avg_chunks"), F.round(F.avg("used"), digits).alias("avg_context_words"), *[E.rate(F.coalesce(F.col("first") <= k, F.lit(False)), F.col("some")).alias(f"recall_at_{k}") for k in (1, 3, 5, 8, 15)])
 
 
