@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 #: How many reports are worked on at a time: what a worker holds beside Spark's batch.
 ROWS = 2000
 _MICRO = Decimal("0.000001")
-_LETTER, _DIGIT, _SINGLE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[ord("a") : ord("z") + 1] = True
-_DIGIT[ord("0") : ord("9") + 1] = True
-_SINGLE[[ord("%"), ord("$")]] = True
+# a byte's class: letters, digits, others
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[ord("a") : ord("z") + 1] = 1
+_CLASS[ord("0") : ord("9") + 1] = 2
 _KEPT = re.compile(r"[^a-z0-9.%\-\x00]+")
 _BROKEN = re.compile("2019(?<=[a-z]2019)(?=[a-z])")
-_BLANKS = bytes(i if not i or _LETTER[i] or _DIGIT[i] or chr(i) in ".%-" else ord(" ") for i in range(256))
+_BLANKS = bytes(i if not i or _CLASS[i] or chr(i) in ".%-" else ord(" ") for i in range(256))
 
 
 def flat(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -84,38 +84,34 @@ def normed(texts: list[str]) -> list[str]:
     return [t.strip(" ") for t in s.split("\x00")]
 
 
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the stretches where mask holds; its first and last values don't."""
-    turns = np.flatnonzero(mask[1:] != mask[:-1]) + 1
-    return turns[::2], turns[1::2]
-
-
 def tokens(texts: list[str], signed: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The tokens of text.bm25_tokens(), or of text.signed_tokens(), of all texts, and the text of each; in no order."""
     b = np.frombuffer(f"\x00{_joined(texts)}\x00".encode(), np.uint8)
-    number = _DIGIT[b]
+    kind = _CLASS[b]
     dots = np.flatnonzero(b == ord("."))
-    dots = dots[number[dots - 1] & number[dots + 1]]
+    dots = dots[(kind[dots - 1] == 2) & (kind[dots + 1] == 2)]
     if len(dots):
         # of a chain of points between digits every other one joins them: 1.2.3 reads 1.2 and 3
-        before = np.cumsum(number)[dots]
+        before = np.cumsum(kind == 2)[dots]
         apart = np.concatenate([[True], np.diff(before) != np.diff(dots) - 1])
         order = np.arange(len(dots))
-        dots = dots[(order - np.maximum.accumulate(np.where(apart, order, 0))) % 2 == 0]
-        number[dots] = True
-    letters, numbers = _runs(_LETTER[b]), _runs(number)
+        kind[dots[(order - np.maximum.accumulate(np.where(apart, order, 0))) % 2 == 0]] = 2
+    # the stretches of a class; a NUL stands at both ends
+    turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    of_turn = kind[turns]
+    letters, numbers = ((turns[at], turns[at + 1]) for at in (np.flatnonzero(of_turn == 1), np.flatnonzero(of_turn == 2)))
     if signed:
         start, end = numbers
         spans = [letters, (start - np.isin(b[start - 1], [ord("-"), ord("+")]), end + (b[end] == ord("%")))]
     else:
-        single = np.flatnonzero(_SINGLE[b])
+        single = np.flatnonzero((b == ord("%")) | (b == ord("$")))
         spans = [letters, numbers, (single, single + 1)]
     start, end = np.concatenate([s for s, _ in spans]), np.concatenate([e for _, e in spans])
     ends = np.cumsum(end - start)
     held = b[np.arange(ends[-1] if len(ends) else 0) + np.repeat(end - ends, end - start)]
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(held)])
     # the first NUL stands before the first text
-    return words, np.cumsum(b == 0)[start] - 1
+    return words, np.cumsum(b == 0, dtype=np.int32)[start].astype(np.int64) - 1
 
 
 def numbered(*words: pa.Array) -> list[np.ndarray]:

@@ -23,27 +23,55 @@ from .registry import _STATUS, _YEARS, EXACT, FACTS, GOLDS, ORACLE_SQL, SCALES,
 QUESTION = "concat(CASE id % 4 WHEN 0 THEN 'What is the percentage change' WHEN 1 THEN 'What is the total' WHEN 2 THEN 'What is the average amount' ELSE 'How much higher is line 2' END, ' of order ', CAST(id AS {string}), '?')"
 
 
+def _orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.round("o_totalprice").cast("long").alias("total"))
+
+
+def _lines_of(spark, d, n: int, *values) -> DataFrame:
+    """Lines dealt by order, which is their id, into n partitions."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), *values).repartition(n, "id")
+
+
+def _told() -> dict:
+    """What a report of an order says around its table."""
+    order = F.concat(F.lit("Order "), F.col("id").cast("string"), F.lit(" was placed by customer "), F.col("o_custkey").cast("string"), F.lit("."))
+    return {"pre_text": F.array(order, _status()), "post_text": F.array(F.concat(F.lit("The total price is "), F.col("total").cast("string"), F.lit(" dollars.")))}
+
+
+def _status():
+    return F.concat(F.lit("Its status is "), "o_orderstatus", F.lit("."))
+
+
 def reports(spark, d, beside=None) -> DataFrame:
     """(id, pre_text, rows, post_text, question, answer, program, gold): orders with their lines as a table, in order of line, quantity and price.
 
     Texts are made once orders and lines have met, so that only numbers are shuffled; partitions grow in number with the lines. beside: a function of the orders (id) that adds columns.
     """
     n = X.shares(spark, d, "lineitem", 400_000)
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.round("l_extendedprice").cast("long").alias("p")).alias("x"))
-    lines = li.repartition(n, "id").groupBy("id").agg(F.collect_list("x").alias("x"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.round("o_totalprice").cast("long").alias("total"))
+    x = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.round("l_extendedprice").cast("long").alias("p")).alias("x")
+    lines = _lines_of(spark, d, n, x).groupBy("id").agg(F.collect_list("x").alias("x"))
+    o = _orders(spark, d)
     more = beside(o) if beside else o
-    cells = F.transform(F.array_sort("x"), lambda x: F.array(F.concat(F.lit("line "), x["l_linenumber"].cast("string")), x["q"].cast("string"), x["p"].cast("string")))
-    status = F.concat(F.lit("Its status is "), "o_orderstatus", F.lit("."))
-    total = F.col("total").cast("string")
+    # sort_array compares as array_sort does, without a lambda
+    cells = F.transform(F.sort_array("x"), lambda x: F.array(F.concat(F.lit("line "), x["l_linenumber"].cast("string")), x["q"].cast("string"), x["p"].cast("string")))
+    total, told = F.col("total").cast("string"), _told()
     return more.repartition(n, "id").join(lines, "id").select(
-        "id", F.array(F.concat(F.lit("Order "), F.col("id").cast("string"), F.lit(" was placed by customer "), F.col("o_custkey").cast("string"), F.lit(".")), status).alias("pre_text"),
-        F.concat(F.array(F.array(F.lit("label"), F.lit("quantity"), F.lit("amount"))), cells).alias("rows"),
-        F.array(F.concat(F.lit("The total price is "), total, F.lit(" dollars."))).alias("post_text"), F.expr(QUESTION.format(string="STRING")).alias("question"), total.alias("answer"),
-        F.concat(F.lit("add("), total, F.lit(", 0)")).alias("program"), F.array(status, F.lit("2")).alias("gold"), *[c for c in more.columns if c not in o.columns],
+        "id", told["pre_text"].alias("pre_text"), F.concat(F.array(F.array(F.lit("label"), F.lit("quantity"), F.lit("amount"))), cells).alias("rows"), told["post_text"].alias("post_text"),
+        F.expr(QUESTION.format(string="STRING")).alias("question"), total.alias("answer"), F.concat(F.lit("add("), total, F.lit(", 0)")).alias("program"), F.array(_status(), F.lit("2")).alias("gold"),
+        *[c for c in more.columns if c not in o.columns],
     )
 
 
+def most_windows(spark, d, n: int, shown) -> DataFrame:
+    """(r, m): m windows or fewer has each report whose id leaves r by n. shown: a function that changes the texts. Counted from orders and lines apart, as a table has a row a line and its header."""
+    parts = X.shares(spark, d, "lineitem", 400_000)
+    texts = shown(_orders(spark, d).repartition(parts, "id").withColumns(_told()).withColumn("rows", F.array().cast("array<array<string>>")))
+    around = texts.select((F.col("id") % n).alias("r"), B.most_windows(texts).alias("m")).groupBy("r").agg(F.max("m").alias("m"))
+    rows = _lines_of(spark, d, parts).groupBy("id").agg((F.count("*") + 1).cast("int").alias("rows"))
+    most = rows.groupBy((F.col("id") % n).alias("r")).agg(F.max("rows").alias("rows"))
+    return around.join(most, "r").select("r", (F.col("m") + F.col("rows")).alias("m"))
+
+
 _ROWS = "(SELECT o_orderkey AS id, o_custkey AS c, o_orderstatus AS s, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS total, 'line ' || l_linenumber AS label, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) AS p, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT), CAST(round(l_extendedprice) AS BIGINT)) AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 _REPORTS = f"(SELECT id, any_value(c) AS c, any_value(s) AS s, any_value(total) AS total, string_agg('| ' || label || ' | ' || q || ' | ' || p || ' |', chr(10) ORDER BY i) AS body FROM {_ROWS} l GROUP BY id)"
 _CHUNKS = f"""(SELECT id AS sample_id, 'pre_text' AS chunk_type, 0 AS chunk_index, 'Order ' || id || ' was placed by customer ' || c || '.' AS text FROM {_REPORTS} a UNION ALL SELECT id, 'pre_text', 1, 'Its status is ' || s || '.' FROM {_REPORTS} b
@@ -182,10 +210,10 @@ SELECT count(*) AS num_samples, count(*) FILTER (has) AS gold_available, round(a
 def report_retrieval(spark, d) -> DataFrame:
     """From report to recall: chunks, BM25, the fused rerank, eight chunks within 700 words."""
 
-    def found(kinds, indexes, texts, question, gold):
-        (text, of), (own, whose), rows = L.flat(texts), L.flat(gold), len(question)
-        text, index = L.strings(text), L.flat(indexes)[0]
-        ids = L.id_order(pa.compute.binary_join_element_wise(L.flat(kinds)[0], index.cast(pa.string()), ":"))
+    def found(chunks, question, gold):
+        (chunk, of), (own, whose), rows = L.flat(chunks), L.flat(gold), len(question)
+        kind, index, text = chunk.flatten()
+        text, ids = L.strings(text), L.id_order(pa.compute.binary_join_element_wise(kind, index.cast(pa.string()), ":"))
         (words, chunk), (asked, by) = L.tokens(text), L.tokens(L.strings(question))
         words, asked = L.numbered(words, asked)
         scores, share = L.bm25_scores(words, chunk, of, asked, by, rows)
@@ -194,8 +222,7 @@ def report_retrieval(spark, d) -> DataFrame:
         return L.recalled(text, L.gold_flags(text, L.integers(index), of, L.strings(own), whose), of, first[places], rank, rows)
 
     r = reports(spark, d)
-    r = r.withColumn("chunks", B.chunk_list(r)).select("chunks.chunk_type", "chunks.chunk_index", "chunks.text", "question", "gold")
-    return _recall(L.in_batches(r, found, RECALLED), 9)
+    return _recall(L.in_batches(r.select(B.chunk_list(r).alias("chunks"), "question", "gold"), found, RECALLED), 9)
 
 
 RECALLED = "n int, some boolean, first int, used long"

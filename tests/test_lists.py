@@ -12,6 +12,7 @@ from tallyweave.operators import assembly as B
 from tallyweave.operators import lists as L
 from tallyweave.operators import retrieval as R
 from tallyweave.plans import registry
+from tallyweave.plans import reports as P
 
 ODD = [
     "", " ", "A1b2 3.4.5.6 .7 8. 9..1 1.2x3.4", "5%-3 +-4.5% --6%% $7.8$ 1-2", "x\x002019y\x00 z", "the company2019s 2019 a2019 2019b c2019d2019e", "Kelvin İstanbul 4٤ café 5", "a b\n\tc", "!!!", "-.%", "1.2.3.4.5 6.7.8",
@@ -88,8 +89,43 @@ def test_words_within_a_budget(spark):
     assert dict(enumerate(L.words_used(w, r, q, 60, 700).tolist())) == want
 
 
-@pytest.mark.parametrize("name", ["report_retrieval"])
+def test_fused_scores(spark):
+    """Two scores, the second with gaps, against the long form; some reports have more chunks than either side takes."""
+    rng = random.Random(11)
+    rows = [(q, i, rng.randrange(9) / 4, rng.choice([None, rng.randrange(9) / 8, rng.randrange(10**6) / 1e6])) for q in range(40) for i in range(rng.choice([1, 2, 5, 30]))]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, a double, b double")
+    top = lambda c: R.ranked(df.select("query_id", "chunk_id", F.col(c).alias("score")).where("score is not null"), 7)
+    want = {(r.query_id, r.chunk_id): (r["rank"], r.score) for r in R.score_fusion(top("a"), top("b"), 7).collect()}
+    of, ids, a = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
+    dense = pa.array([[r[3] for r in rows if r[0] == q] + [None, 1.0][: q % 3] for q in range(40)], pa.list_(pa.float64()))
+    at, score = L.score_fused(a, *L.dealt(dense, of), ids, of, 40, 7)
+    place, rank = L.best(score, ids[at], of[at], 7)
+    assert {(int(of[at[p]]), int(ids[at[p]])): (int(r), float(score[p])) for p, r in zip(place, rank, strict=True)} == want
+    # a list that ends early or isn't there has nothing for the chunks behind it
+    held, known = L.dealt(pa.array([[1.0], None, [2.0, None, 3.0]]), np.array([0, 0, 1, 2, 2, 2]))
+    assert held[known].tolist() == [1.0, 2.0, 3.0] and known.tolist() == [True, False, False, True, False, True]
+
+
+def test_windows_at_most(spark):
+    texts = [["A. B? C! D", "x.y", " ", None], ["..  !? a. b"], [], None, ["One.  Two.\nThree. Four. Five"]]
+    df = spark.createDataFrame([(t, [["h", "k"], ["1", None], ["", ""]], t) for t in texts], "pre_text array<string>, rows array<array<string>>, post_text array<string>")
+    got = df.select(F.size(B.window_list(df)).alias("n"), B.most_windows(df).alias("m")).collect()
+    assert all(r.n <= r.m <= r.n + 12 for r in got)
+    for spoken, n in (("/root/testdata/sf0.001", 7), ("/root/testdata/sf0.001", 2000)):
+        shown = lambda r: r.withColumn("pre_text", F.array(F.concat_ws(" ", F.array_join("pre_text", " "), F.lit("One. Two. Three."))))
+        r = shown(P.reports(spark, spoken))
+        each = r.select((F.col("id") % n).alias("r"), F.size(B.window_list(r)).alias("n")).join(P.most_windows(spark, spoken, n, shown), "r", "left")
+        assert each.where("m is null or n > m").count() == 0
+
+
+def test_products_are_counted_without_reports(spark):
+    """The lengths of the lists of products come from orders and lines apart: no join of these, no tables made."""
+    got = P.most_windows(spark, "/root/testdata/sf0.001", 7, lambda r: r)._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count("Join") == 1 and "round(l_extendedprice" not in got and "collect_list" not in got
+
+
+@pytest.mark.parametrize("name", ["report_retrieval", "report_retrieval_fused"])
 def test_reports_are_ranked_in_batches(spark, name):
     """One pass over the reports' chunks, and no lambda that compares a question's tokens with theirs."""
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert got.count("MapInArrow") == 1 and "regexp_extract_all" not in got and "aggregate(" not in got
+    assert got.count("MapInArrow") == 1 and "regexp_extract_all" not in got and "aggregate(" not in got and "array_intersect" not in got
